@@ -1,0 +1,46 @@
+"""A bounded per-worker cache of results by white-space-separated word."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+class WordCache:
+    """Two generations of results; together they never hold more than twice ``limit`` words.
+
+    ``compute`` gets the list of words that neither generation has.  A word of more
+    than ``long_word`` bytes is computed and not kept.
+    """
+
+    def __init__(self, compute: Callable[[list[bytes]], list], limit: int = 150_000, long_word: int = 64):
+        self.compute, self.limit, self.long_word = compute, limit, long_word
+        self.young: dict[bytes, object] = {}
+        self.old: dict[bytes, object] = {}
+
+    def lookup(self, words: set[bytes]) -> dict[bytes, object]:
+        """Results for all of ``words``; the mapping may hold others as well."""
+        young, old = self.young, self.old
+        missing = words - young.keys()
+        if not missing:
+            return young
+        if len(young) + len(missing) > self.limit:
+            self.old = old = young
+            self.young = young = {}
+            missing = words
+        fresh = []
+        for w in missing:
+            found = old.get(w)
+            if found is None:
+                fresh.append(w)
+            else:
+                young[w] = found
+        fresh.sort()
+        for w, value in zip(fresh, self.compute(fresh)):
+            young[w] = value
+        if any(len(w) > self.long_word for w in fresh):
+            view = dict(young)
+            for w in fresh:
+                if len(w) > self.long_word:
+                    del young[w]
+            return view
+        return young
