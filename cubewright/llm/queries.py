@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .decontam import contamination
 from .simhash import simhash_groups
 from .tokencount import token_counts
 
@@ -24,6 +25,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -42,10 +52,43 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
+        "op4_winnowing": op4_winnowing,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
     }
 
 
+_WORDS = (
+    "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+OP4_SQL = f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+spans AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m,
+         array_to_string(w[s + 1 : s + least(len(w), 13)], ' ') AS span
+  FROM (SELECT *, unnest(range(greatest(len(w) - 12, 1))) AS s FROM items WHERE len(w) > 0)),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+at AS (
+  SELECT rid, m, s, array_to_string(w[s + 1 : s + m], ' ') AS span
+  FROM (SELECT rid, w, m, unnest(range(len(w) - m + 1)) AS s
+        FROM docs, (SELECT DISTINCT m FROM spans) WHERE len(w) >= m)),
+found AS (SELECT at.rid, at.s, at.m, spans.item_id FROM at JOIN spans USING (span, m)),
+hit AS (
+  SELECT rid, count(DISTINCT pos) AS n_hit
+  FROM (SELECT rid, unnest(range(s, s + m)) AS pos FROM (SELECT DISTINCT rid, s, m FROM found)) GROUP BY rid),
+named AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+  FROM found GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_winnowing": OP4_SQL}
