@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .decontam import contamination
+from .langid import fit_languages, identify_languages
 from .simhash import simhash_groups
+from .text import id_bucket
 from .tokencount import token_counts
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +36,12 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    marked = docs.withColumn("held_out", id_bucket(F.col("doc_id"), 3) == 1)
+    return identify_languages(marked, fit_languages(docs), keep=["doc_id", "held_out"])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -53,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op4_winnowing": op4_winnowing,
+        "op7_string_kernel": op7_string_kernel,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
     }
@@ -72,11 +81,11 @@ spans AS (
   FROM (SELECT *, unnest(range(greatest(len(w) - 12, 1))) AS s FROM items WHERE len(w) > 0)),
 docs AS (
   SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
-at AS (
+places AS (
   SELECT rid, m, s, array_to_string(w[s + 1 : s + m], ' ') AS span
   FROM (SELECT rid, w, m, unnest(range(len(w) - m + 1)) AS s
         FROM docs, (SELECT DISTINCT m FROM spans) WHERE len(w) >= m)),
-found AS (SELECT at.rid, at.s, at.m, spans.item_id FROM at JOIN spans USING (span, m)),
+found AS (SELECT rid, s, m, item_id FROM places JOIN spans USING (span, m)),
 hit AS (
   SELECT rid, count(DISTINCT pos) AS n_hit
   FROM (SELECT rid, unnest(range(s, s + m)) AS pos FROM (SELECT DISTINCT rid, s, m FROM found)) GROUP BY rid),
