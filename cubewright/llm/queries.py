@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .decontam import contamination
 from .langid import fit_languages, identify_languages
+from .pii import KINDS, fit_spans, personal_data
 from .simhash import simhash_groups
 from .text import id_bucket
 from .tokencount import token_counts
@@ -36,6 +37,26 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = personal_data(docs, fit_spans(docs), keep=["doc_id"])
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[_kind_count(base, kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def _kind_count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     marked = docs.withColumn("held_out", id_bucket(F.col("doc_id"), 3) == 1)
@@ -61,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op4_winnowing": op4_winnowing,
+        "op6_personal_data": op6_personal_data,
         "op7_string_kernel": op7_string_kernel,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
