@@ -15,6 +15,7 @@ from .pii import KINDS, fit_spans, personal_data
 from .simhash import simhash_groups
 from .text import id_bucket
 from .tokencount import token_counts
+from .warc import archived_pages
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
@@ -63,6 +64,17 @@ def op7_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(marked, fit_languages(docs), keep=["doc_id", "held_out"])
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archived_pages(_table(spark, sf_dir, "pages"))
+    return captures.select(
+        F.col("id").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("refers_to_id").alias("refers_to"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -84,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_winnowing": op4_winnowing,
         "op6_personal_data": op6_personal_data,
         "op7_string_kernel": op7_string_kernel,
+        "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
     }
@@ -121,5 +134,17 @@ FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
 
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top <> page_id THEN top END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": OP4_SQL}
+    return {"op4_winnowing": OP4_SQL, "op8_warc": OP8_SQL}
