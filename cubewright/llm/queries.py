@@ -15,6 +15,7 @@ from .pii import KINDS, fit_spans, personal_data
 from .simhash import simhash_groups
 from .text import id_bucket
 from .tokencount import token_counts
+from .urlfilter import judge_urls
 from .warc import archived_pages
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +26,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op1_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -92,6 +106,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_link_graph": op1_link_graph,
         "op2_simhash": op2_simhash,
         "op4_winnowing": op4_winnowing,
         "op6_personal_data": op6_personal_data,
