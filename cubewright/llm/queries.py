@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .decontam import contamination
 from .langid import fit_languages, identify_languages
+from .linequality import fit_lines, quality_counts
 from .pii import KINDS, fit_spans, personal_data
 from .simhash import simhash_groups
 from .text import id_bucket
@@ -52,6 +53,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_counts(docs, fit_lines(docs, _table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = personal_data(docs, fit_spans(docs), keep=["doc_id"])
@@ -109,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_link_graph": op1_link_graph,
         "op2_simhash": op2_simhash,
         "op4_winnowing": op4_winnowing,
+        "op5_line_labels": op5_line_labels,
         "op6_personal_data": op6_personal_data,
         "op7_string_kernel": op7_string_kernel,
         "op8_warc": op8_warc,
