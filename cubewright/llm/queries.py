@@ -13,6 +13,7 @@ from .decontam import contamination
 from .langid import fit_languages, identify_languages
 from .linequality import fit_lines, quality_counts
 from .pii import KINDS, fit_spans, personal_data
+from .ppm import language_model_scores
 from .simhash import simhash_groups
 from .text import id_bucket
 from .tokencount import token_counts
@@ -44,6 +45,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (id_bucket(F.col("doc_id"), 10) == 0).alias("held"))
+    return language_model_scores(docs, "held")
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -114,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_link_graph": op1_link_graph,
         "op2_simhash": op2_simhash,
+        "op3_ppm": op3_ppm,
         "op4_winnowing": op4_winnowing,
         "op5_line_labels": op5_line_labels,
         "op6_personal_data": op6_personal_data,
