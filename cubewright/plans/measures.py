@@ -16,6 +16,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..model import Refused
+
 Formula = Column | Callable[[], Column]
 AGGREGATES = ("sum", "avg", "min", "max", "count", "distinct_count", "rows")
 
@@ -169,6 +171,26 @@ total, average, least, greatest = (_aggregate(k) for k in ("sum", "avg", "min",
 count_values, distinct_count, count_rows = (_aggregate(k) for k in ("count", "distinct_count", "rows"))
 
 
+# Names of aggregates in free text, first match first.
+AGGREGATE_NAMES = (
+    ("DISTINCTCOUNT", "distinct_count"), ("COUNT DISTINCT", "distinct_count"), ("COUNT(DISTINCT", "distinct_count"), ("COUNTROWS", "rows"),
+    ("AVERAGE", "avg"), ("AVG", "avg"), ("SUM", "sum"), ("MIN", "min"), ("MAX", "max"), ("COUNT", "count"),
+)
+
+
+def named_aggregate(text: str, table: str, value: Formula | str | None = None) -> Aggregate:
+    """The aggregate that a free text such as ``Count Distinct`` names; refused if it names none."""
+    for part, kind in AGGREGATE_NAMES:
+        if part in text.upper():
+            return Aggregate(kind, table, value)
+    raise Refused(f"no aggregate is named in {text!r}")
+
+
+def single_aggregate(node: Node) -> Aggregate | None:
+    """The measure's one aggregate if it is nothing else, so that a chart may group by it alone."""
+    return node if isinstance(node, Aggregate) and node.where is None else None
+
+
 def divide(left: Any, right: Any, alternate: float | None = None) -> Divide:
     return Divide(as_node(left), as_node(right), alternate)
 

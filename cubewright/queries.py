@@ -171,6 +171,8 @@ def _structural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_model(spark, sf_dir).table("part").where("p_type is not null").select(F.col("p_type").alias("dim")).distinct().orderBy("dim").limit(500)
 
 
+_measure("AGG-15_named_aggregate", M.named_aggregate("Count Distinct", "lineitem", "l_suppkey"), "SELECT count(DISTINCT l_suppkey) AS value FROM lineitem")
+
 # Measure algebra and contexts -------------------------------------------------
 
 _GROSS, _VALUE = "(SELECT sum(l_extendedprice) FROM lineitem)", "(SELECT sum(o_totalprice) FROM orders)"
@@ -415,6 +417,17 @@ def _format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "DSP-08_small_formats",
+    """SELECT * FROM (VALUES (CAST(1234.5 AS DOUBLE), '+1,234.5', '1234.5', '20m 34s'), (-3, '-3', '-3', '--'), (0.25, '+0.25', '0.25', '0s'), (NULL, '—', NULL, '--'), (59.99999, '+60', '59.99999', '59s'))
+    t(x, signed, plain, duration)""",
+)
+def _small_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("x")
+    rows = spark.createDataFrame([(1234.5,), (-3.0,), (0.25,), (None,), (59.99999,)], "x double")
+    return rows.select("x", display.signed_difference(x).alias("signed"), display.plain_number(x).alias("plain"), display.duration(x).alias("duration"))
+
+
 # Verdicts -----------------------------------------------------------------------
 
 _EXPECTED = "(SELECT o_orderpriority AS dimension, sum(o_totalprice) AS v FROM orders GROUP BY 1)"
@@ -698,6 +711,42 @@ def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_tables(*_two_schemas(spark))
 
 
+@query(
+    "WIN-05_best_datasets",
+    """WITH s AS (SELECT o_orderpriority AS "table", o_orderstatus AS dataset, count(CASE WHEN o_orderkey % 3 > 0 THEN 1 END) AS covered FROM orders GROUP BY 1, 2)
+    SELECT "table", dataset, covered FROM s QUALIFY row_number() OVER (PARTITION BY "table" ORDER BY covered DESC, dataset) = 1""",
+)
+def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderpriority").alias("table"), F.col("o_orderstatus").alias("dataset"), F.col("o_orderkey").cast("string").alias("column"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.lit(1.0)).alias("confidence"),
+    )
+    return matching.best_datasets(scores).select("table", "dataset", "covered")
+
+
+@query("JOIN-08_relevant_tables", "SELECT * FROM (VALUES ('orders'), ('customer'), ('lineitem')) t(\"table\")")
+def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hints = [(r.from_table, r.to_table) for r in load_model(spark, sf_dir).relationships if "calendar" not in (r.from_table, r.to_table)]
+    return matching.relevant_tables(spark.createDataFrame([("orders",)], "table string"), spark.createDataFrame(hints, "from_table string, to_table string"))
+
+
+@query(
+    "VAL-09_row_comparison",
+    """SELECT 'region' AS dataset, (SELECT count(*) FROM region) AS rows, true AS equal UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), true
+    UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderstatus <> 'F') = (SELECT count(*) FROM orders)""",
+)
+def _row_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = catalog.parquet_folder(spark, sf_dir, ["region", "nation", "orders"])
+    source = catalog.Catalog({"dbo.dim_region": model["region"], "nation_data": model["nation"], "fact_orders": model["orders"].where("o_orderstatus <> 'F'")})
+    return model.compare_rows(source).select("dataset", "rows", "equal")
+
+
+@query("VAL-12_failed_comparisons", "SELECT 'CMP-001' AS rule_id, o_orderpriority AS entity, CAST(count(*) AS VARCHAR) AS actual FROM orders GROUP BY ALL HAVING count(*) % 2 = 1")
+def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderpriority").alias("entity")).agg(F.count("*").alias("actual"))
+    return rules.failed_comparisons(counted.withColumn("passed", F.col("actual") % 2 == 0)).select("rule_id", "entity", "actual")
+
+
 @query("SET-04_missing_columns", "SELECT 'Sales' AS \"table\", CAST(2 AS BIGINT) AS shared, 'Margin' AS missing UNION ALL SELECT 'Customer', 1, ''")
 def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.compare_columns(*_two_schemas(spark)).select("table", "shared", F.array_join("missing", ",").alias("missing"))
