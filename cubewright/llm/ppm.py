@@ -32,9 +32,10 @@ from .scratch import Scratch
 
 ORDER = 4
 EDGE = 0xFF
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 #: Bytes that are looked up at once.
 _PIECE = 1 << 20
+_PIECE_DOCS = 512
 _DOC, _WORD, _GRAM = 0, 1, 2
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SUFFIX = 0xFFFF
@@ -223,30 +224,39 @@ class Lookup:
 
 def _score_batch(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
-        kind, pos, value = (keys.column(c).to_numpy() for c in ("kind", "pos", "value"))
-        first = keys.column("first").to_numpy()
-        is_word = kind == _WORD
+        pos, value = keys.column("pos").to_numpy(), keys.column("value").to_numpy()
+        is_word = pos >= 0
         seen = np.zeros(int(is_word.sum()))
-        seen[pos[is_word]] = value[is_word]
+        seen[pos[is_word]] = np.floor(value[is_word])
+        new = int((is_word & (value % 1 > 0) & (value >= 1)).sum())
+        lookup = Lookup(-1 - pos[~is_word], value[~is_word])
         logs = np.log10(seen + 0.1)
-        lookup = Lookup(pos[~is_word], value[~is_word])
-        texts = _encoded(docs.column("text").to_pylist())
-        split = [words_of(t) for t in texts]
-        place = {w: i for i, w in enumerate(sorted(set().union(*split)))}
-        n_tokens, n_known, word_logs = [], [], []
-        for words in split:
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            n_tokens.append(len(words) + 1)
-            n_known.append(int((seen[at] > 0).sum()))
-            word_logs.append(float(logs[at].sum()))
-        scores = []
-        for a, b in pieces(texts):
-            codes, begins = framed(texts[a:b])
-            scores.append(np.add.reduceat(lookup(codes), begins))
+        del keys, pos, value, is_word
+        column = docs.column("text")
+        # The texts are held once, as Arrow has them; a piece of them at a time becomes Python objects.
+        parts = [(a, min(a + _PIECE_DOCS, len(column))) for a in range(0, len(column), _PIECE_DOCS)]
+        known: set[bytes] = set()
+        for a, b in parts:
+            for text in _encoded(column[a:b].to_pylist()):
+                known.update(words_of(text))
+        place = {w: i for i, w in enumerate(sorted(known))}
+        del known
+        n_tokens, n_known, word_logs, scores = [], [], [], []
+        for first, last in parts:
+            texts = _encoded(column[first:last].to_pylist())
+            for text in texts:
+                words = words_of(text)
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                n_tokens.append(len(words) + 1)
+                n_known.append(int((seen[at] > 0).sum()))
+                word_logs.append(float(logs[at].sum()))
+            for a, b in pieces(texts):
+                codes, begins = framed(texts[a:b])
+                scores.append(np.add.reduceat(lookup(codes), begins))
         held = docs.column("held").to_pylist()
         train = [0 if h else n for h, n in zip(held, n_tokens)]
-        new_words = np.zeros(len(texts), np.int64)
-        new_words[0] = int((first & is_word & (value > 0)).sum())
+        new_words = np.zeros(len(held), np.int64)
+        new_words[0] = new
         columns = [
             docs.column("id").combine_chunks(), docs.column("held").combine_chunks(), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
             pa.array(word_logs, pa.float64()), pa.array(np.concatenate(scores), pa.float64()), pa.array(train, pa.int64()), pa.array(new_words, pa.int64()),
@@ -270,13 +280,11 @@ def language_model_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id"
     rows = scratch.table(batch_rows(given), "batches", compression="zstd")
     grams = rows.where(F.col("kind") == _GRAM).select("batch", "pos", "n")
     values = gram_scores(grams.select("pos", "n"), scratch)
-    by_gram = grams.join(values, "pos").select("batch", F.lit(_GRAM).alias("kind"), "pos", "value", F.lit(False).alias("first"))
+    # One narrow row for each key of a batch: a gram's place is below zero, and a word's count has a half added in one of its batches.
+    by_gram = grams.join(values, "pos").select("batch", (-1 - F.col("pos")).alias("pos"), "value")
     same = Window.partitionBy("key")
-    by_word = (
-        rows.where(F.col("kind") == _WORD)
-        .select("batch", "pos", F.sum("n").over(same).cast("double").alias("value"), (F.col("batch") == F.min("batch").over(same)).alias("first"))
-        .select("batch", F.lit(_WORD).alias("kind"), "pos", "value", "first")
-    )
+    once = F.when(F.col("batch") == F.min("batch").over(same), 0.5).otherwise(0.0)
+    by_word = rows.where(F.col("kind") == _WORD).select("batch", "pos", (F.sum("n").over(same) + once).alias("value"))
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
