@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, without_rows
 from .text import ascii_lower
 
 SPAN, GRAM = 13, 6
@@ -174,29 +174,17 @@ def contamination(
     a null id count once each id, null ids not at all in item_ids.  An empty
     benchmark finds nothing.  Kept columns with the new names are replaced.
     """
-    scratch = Scratch(docs.sparkSession, "decontam")
     new = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
     kept = [c for c in (keep or [id_col]) if c not in new]
+    scratch = Scratch(docs.sparkSession, "decontam")
     bench = Benchmark(benchmark, scratch, item_col, item_text_col)
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), words_of(F.col(f"`{text_col}`")).alias("words"))
-    rows = scratch.table(
-        candidate_spans(base, bench).select(
-            F.monotonically_increasing_id().alias("row"), "kept", F.size("words").cast("bigint").alias("n_words"), "spans"
-        ),
-        "candidates",
-    )
-    spread = rows.select("row", F.explode("spans").alias("s")).select("row", "s.start", "s.len", "s.span")
-    known = bench.spans.select("span", "len").distinct()
+    rows, hits, counted = _matches(docs, bench, scratch, text_col, kept)
     items = bench.spans.select("span", "len", "item_id").where(F.col("item_id").isNotNull())
-    hint = F.broadcast if bench.small else (lambda df: df)
-    hits = scratch.table(spread.join(hint(known), ["span", "len"], "left_semi"), "hits")
-    ends = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))))
-    counted = hits.groupBy("row").agg(_covered(ends).alias("n_hit"))
     named = (
-        hits.select("row", "span", "len").distinct().join(hint(items), ["span", "len"])
+        hits.select("row", "span", "len").distinct().join(F.broadcast(items) if bench.small else items, ["span", "len"])
         .groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     )
-    found = counted.join(named, "row", "left")
+    found = counted.drop("n_words").join(named, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return rows.select("row", "kept", "n_words").join(found, "row", "left").select(
@@ -205,14 +193,38 @@ def contamination(
         n_hit.alias("n_hit"),
         F.size(ids).cast("bigint").alias("n_items"),
         ids.alias("item_ids"),
-        ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
+        _contaminated(n_hit, F.col("n_words")).alias("contaminated"),
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names: str) -> DataFrame:
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (n_hit * 20 >= n_words)
+
+
+def _matches(docs: DataFrame, bench: Benchmark, scratch: Scratch, text_col: str, kept: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written rows (row, kept, n_words, spans), their verified spans, and the words hit in each row that has any."""
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), words_of(F.col(f"`{text_col}`")).alias("words"))
+    rows = scratch.table(
+        candidate_spans(base, bench).select(
+            F.monotonically_increasing_id().alias("row"), "kept", F.size("words").cast("bigint").alias("n_words"), "spans"
+        ),
+        "candidates",
+    )
+    spread = rows.select("row", "n_words", F.explode("spans").alias("s")).select("row", "n_words", "s.start", "s.len", "s.span")
+    known = bench.spans.select("span", "len").distinct()
+    hits = scratch.table(spread.join(F.broadcast(known) if bench.small else known, ["span", "len"], "left_semi"), "hits")
+    ends = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))))
+    return rows, hits, hits.groupBy("row").agg(_covered(ends).alias("n_hit"), F.first("n_words").alias("n_words"))
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """``docs`` without contaminated rows; columns and their order stay."""
     columns = docs.columns
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # free of clashes with the operator's names
-    text = f"c{columns.index(text_col)}"
-    judged = contamination(renamed, benchmark, text_col=text, keep=renamed.columns, **names)
-    return judged.where(~F.col("contaminated")).select(*[F.col(c).alias(n) for c, n in zip(renamed.columns, columns)])
+    names = [f"c{i}" for i in range(len(columns))]  # free of clashes with the operator's names
+    scratch = Scratch(docs.sparkSession, "decontam")
+    bench = Benchmark(benchmark, scratch, item_col, item_text_col)
+    rows, _, counted = _matches(docs.toDF(*names), bench, scratch, names[columns.index(text_col)], names)
+    bad = scratch.table(counted.where(_contaminated(F.col("n_hit"), F.col("n_words"))).select("row"), "contaminated")
+    return without_rows(rows.select("row", "kept"), bad, "row").select(*[F.col("kept")[n].alias(c) for n, c in zip(names, columns)])

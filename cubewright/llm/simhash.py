@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, without_rows
 
 BYTES = 8
 MAX_BITS = 2
@@ -169,18 +169,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Columns and their order are those of ``docs``.  Of repeated rows with that
     same id one remains.  Groups without any id (null) keep one row as well.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "dedup")
     columns = docs.columns
-    scratch = Scratch(spark, "dedup")
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    rows = scratch.table(keyed.select("__row", F.col(id_col).alias("id"), simhash_column(F.col(text_col)).alias("fp")), "fingerprints")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", F.col("__row").alias("row"))
+    names = [f"c{i}" for i in range(len(columns))]  # free of clashes with the columns below
+    id_name, text_name = names[columns.index(id_col)], names[columns.index(text_col)]
+    # Written once with row numbers and fingerprints: numbers made anew in a later job could differ.
+    rows = scratch.table(
+        docs.toDF(*names).select(F.monotonically_increasing_id().alias("row"), simhash_column(F.col(text_name)).alias("fp"), *names), "rows"
+    )
+    order = F.struct(F.col(id_name).isNull().alias("none"), F.col(id_name).alias("id"), F.col("row").alias("row"))
     groups = scratch.table(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     roots = connected_components(near_links(groups.select("fp"), scratch), scratch)
     kept = (
         groups.join(roots, groups.fp == roots.node, "left")
         .groupBy(F.coalesce("root", "fp").alias("root"))
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.row").alias("__row"))
+        .select(F.col("first.row").alias("row"))
     )
-    return keyed.join(scratch.table(kept, "kept"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    dropped = scratch.table(rows.select("row").join(kept, "row", "left_anti"), "dropped")
+    return without_rows(rows, dropped, "row").select(*[F.col(n).alias(c) for n, c in zip(names, columns)])
