@@ -30,6 +30,8 @@ NONE = np.int64(1) << 60
 #: Pieces of more symbols get a tree of their own.
 ROW_SYMBOLS = 64
 _ROW_CELLS = 1 << 18
+#: Words of a generation of the cache; an entry takes about 300 bytes.
+CACHED_WORDS = 280_000
 
 
 @lru_cache(maxsize=1)
@@ -189,7 +191,7 @@ class SegmentTreeBPE:
         self._strings = [""] * (top + 1)
         for s, i in [*self.vocab.items(), *self.special.items()]:
             self._strings[i] = s
-        self.cache = WordCache(self._encode_words)
+        self.cache = WordCache(self._encode_words, CACHED_WORDS)
 
     def _pieces(self, word: bytes) -> list[str | int]:
         """Byte-level pieces of one word, or ids of special strings."""

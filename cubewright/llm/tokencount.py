@@ -27,6 +27,8 @@ from .words import WordCache
 
 #: Characters of a chunk and of the first overlap tried.
 CHUNK_CHARS, OVERLAP_CHARS = 16_384, 256
+#: Words of a generation of the cache of counts; two generations take about 150 MB.
+CACHED_WORDS = 500_000
 #: Tokens that must agree after a boundary, fewer only where the overlap ends.
 PROOF = 8
 _SPACE = re.compile(r"[ \t-\r]")
@@ -42,7 +44,7 @@ class ResyncCounter:
         self.library.no_truncation()
         self.library.no_padding()
         self.chunk, self.overlap = chunk, overlap
-        self.cache = WordCache(self._count_words)
+        self.cache = WordCache(self._count_words, CACHED_WORDS)
 
     def _count_words(self, words: list[bytes]) -> list[int]:
         texts = [w.decode("utf-8") for w in words]
