@@ -30,6 +30,8 @@ NONE = np.int64(1) << 60
 #: Pieces of more symbols get a tree of their own.
 ROW_SYMBOLS = 64
 _ROW_CELLS = 1 << 18
+#: Words of a generation of the cache; two generations of words of about 300 bytes are kept by each Python worker.
+CACHED_WORDS = 150_000
 
 
 @lru_cache(maxsize=1)
@@ -170,7 +172,7 @@ class SegmentTreeBPE:
     _PRINTABLE = re.compile(rb"[\x21-\x7e]+")
     _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -189,7 +191,7 @@ class SegmentTreeBPE:
         self._strings = [""] * (top + 1)
         for s, i in [*self.vocab.items(), *self.special.items()]:
             self._strings[i] = s
-        self.cache = WordCache(self._encode_words)
+        self.cache = WordCache(self._encode_words, cached_words)
 
     def _pieces(self, word: bytes) -> list[str | int]:
         """Byte-level pieces of one word, or ids of special strings."""
@@ -263,11 +265,13 @@ class SegmentTreeBPE:
 
 
 @lru_cache(maxsize=2)
-def _coder(path: str) -> SegmentTreeBPE:
-    return SegmentTreeBPE(path)
+def _coder(path: str, cached_words: int) -> SegmentTreeBPE:
+    return SegmentTreeBPE(path, cached_words)
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, cached_words: int = CACHED_WORDS
+) -> DataFrame:
     """``docs`` (or its columns ``keep``) with token_ids (binary) and decoded (string) for each whole text.
 
     token_ids: the ids as little-endian unsigned 32-bit integers.  A null or empty
@@ -276,4 +280,4 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", kee
     have the new names are replaced.
     """
     fields = [("token_ids", T.BinaryType()), ("decoded", T.StringType())]
-    return with_text_columns(docs, text_col, fields, lambda: _coder(tokenizer_path).encode_texts, keep)
+    return with_text_columns(docs, text_col, fields, lambda: _coder(tokenizer_path, cached_words).encode_texts, keep)
