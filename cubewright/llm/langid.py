@@ -8,6 +8,12 @@ for each language against the rest is linear.  A batch of texts is scored by the
 product of its presence matrix with the landmarks' presence, the Nyström map and the
 regression coefficients; the last three are multiplied once, after the fit.
 
+Whether any language fits a text is asked apart from that, as the margins of a
+one-versus-rest ridge always have the same sum: ``fit`` is the best share of the text's
+distinct 3-byte grams that one language's labelled texts hold, on that language's scale
+from what texts of others get that it fits best (0) to what its own held-out texts get
+(1), so it doesn't depend on the number of languages.
+
 The fit sees a bounded sample of labelled rows (``SAMPLE_ROWS`` in all, as many of each
 language, whole texts of at most ``SAMPLE_CHARS`` characters) and keeps at most
 ``MAX_GRAMS`` grams.  Prediction covers every whole text.
@@ -28,9 +34,14 @@ from .text import id_bucket
 #: Bounds of the fit: labelled rows, characters of a row, landmarks of each language, grams, languages.
 SAMPLE_ROWS, SAMPLE_CHARS, LANDMARKS, MAX_GRAMS, MAX_LANGUAGES = 1024, 16_384, 32, 16_384, 128
 RIDGE = 1e-4
+#: Grams of a text's own language that each text counts as having besides its own, so that one rare word alone doesn't go.
+PRIOR_GRAMS = 2
+#: Share of a language's labelled texts that have a gram which counts as its own, and the most of these grams, at least.
+HELD_SHARE, FIT_GRAMS = 0.03, 1024
 NO_LANGUAGE = "und"
 _SLOTS = 1 << 24
 _BATCH_ROWS = 128
+_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -46,6 +57,13 @@ def gram_codes(text: str) -> list[np.ndarray]:
     return [one, two, (two[:-1] << 8) | one[2:]]
 
 
+def word_grams(text: str) -> np.ndarray:
+    """Distinct codes of the 3-byte grams of a text, with ASCII other than letters as white space."""
+    raw = b" ".join(text.encode("utf-8", "replace").translate(_WORDS).split())
+    one = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.int32)
+    return np.unique((one[:-2] << 16) | (one[1:-1] << 8) | one[2:])
+
+
 class Presence:
     """Presence vectors over a fixed set of grams."""
 
@@ -64,12 +82,75 @@ class Presence:
         return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
 
 
+class LanguageFit:
+    """How well the best of the learned languages fits a text, whatever their number."""
+
+    def __init__(self, texts: list[str], labels: list[str]):
+        self.languages = sorted(set(labels))
+        rows: dict[str, list[np.ndarray]] = {k: [] for k in self.languages}
+        for text, label in zip(texts, labels):
+            rows[label].append(word_grams(text))
+        most = max(FIT_GRAMS, MAX_GRAMS // max(1, len(rows)))
+        self._learn([own[::2] for own in rows.values()], most)
+        presence = Presence(self.grams)
+        known: list[list[float]] = [[] for _ in rows]
+        alien: list[list[float]] = [[] for _ in rows]
+        highest = np.zeros(len(rows))
+        for i, own in enumerate(rows.values()):
+            for grams in own[1::2]:
+                share = self._shares(presence, grams)
+                known[i].append(share[i])
+                share[i] = 0
+                alien[int(share.argmax())].append(share.max())
+                highest = np.maximum(highest, share)
+        #: Medians by language over held-out texts: its own, and those of others that it fits best.
+        medians = [float(np.median(k)) for k in known if k]
+        self.known = np.array([np.median(k) if k else min(medians, default=1.0) for k in known])
+        self.alien = np.array([np.median(a) if a else h for a, h in zip(alien, highest)])
+        self.alien = np.minimum(self.alien, 0.9 * self.known)
+        self._learn(list(rows.values()), most)
+
+    def _learn(self, rows: list[list[np.ndarray]], most: int) -> None:
+        """Each language's grams that at least ``HELD_SHARE`` of its texts have: labelled texts may have passages in others."""
+        chosen = []
+        for own in rows:
+            codes, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int32), np.zeros(0, int))
+            wide = np.flatnonzero(counts >= HELD_SHARE * len(own))
+            chosen.append(codes[wide[np.argsort(-counts[wide], kind="stable")[:most]]])
+        self.grams = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int32)
+        held = np.zeros((len(self.grams), len(rows)), bool)
+        for k, codes in enumerate(chosen):
+            held[np.searchsorted(self.grams, codes), k] = True
+        self.held = np.packbits(held, axis=1)
+
+    def _shares(self, presence: Presence, grams: np.ndarray) -> np.ndarray:
+        columns = presence.column[grams]
+        bits = np.unpackbits(self.held[columns[columns < presence.width]], axis=1, count=len(self.languages))
+        return bits.sum(axis=0, dtype=np.int64) / max(1, len(grams))
+
+    def scorer(self) -> Callable[[list], list]:
+        """A function from texts to their fits (0 to 1; 0 for a text without a letter), for use inside one task."""
+        if not self.languages:
+            return lambda texts: [0.0] * len(texts)
+        presence = Presence(self.grams)
+
+        def score(text: str | None) -> float:
+            if not text or not has_letter(text):
+                return 0.0
+            grams = word_grams(text)
+            share = (self._shares(presence, grams) * len(grams) + PRIOR_GRAMS * self.known) / (len(grams) + PRIOR_GRAMS)
+            return float(np.clip((share - self.alien) / np.maximum(self.known - self.alien, 1e-9), 0, 1).max())
+
+        return lambda texts: [score(t) for t in texts]
+
+
 class StringKernelClassifier:
     """One-versus-rest kernel ridge regression over Nyström features, folded into one matrix."""
 
     def __init__(self, texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.labels = sorted(set(labels))
         self.grams, self.matrix, self.bias = np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0)
+        self.fit = LanguageFit(texts, labels)
         if len(self.labels) < 2:
             return
         present = np.zeros(_SLOTS, np.int32)
@@ -168,9 +249,14 @@ def identify_languages(
 
 
 def drop_unidentified(docs: DataFrame, model: StringKernelClassifier, least_score: float, text_col: str = "text") -> DataFrame:
-    """``docs`` without texts that no language fits: ``und``, or a score below ``least_score``."""
+    """``docs`` without texts that have no letter or that no language fits: a fit (0 to 1, see above) below ``least_score``."""
     columns = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    judged = identify_languages(renamed, model, f"c{columns.index(text_col)}")
-    stay = (F.col("lang_pred") != NO_LANGUAGE) & (F.col("score") >= least_score)
+
+    def make() -> Callable[[list], list[list]]:
+        score = model.fit.scorer()
+        return lambda texts: [score(texts)]
+
+    judged = with_text_columns(renamed, f"c{columns.index(text_col)}", [("fit", T.DoubleType())], make)
+    stay = (F.col("fit") > 0) & (F.col("fit") >= least_score)
     return judged.where(stay).select(*[F.col(c).alias(n) for c, n in zip(renamed.columns, columns)])

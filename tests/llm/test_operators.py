@@ -272,6 +272,39 @@ def test_held_out_languages(spark, hard):
     assert langid.identify_languages(hard.where("false"), model).count() == 0
 
 
+def _invented(count):
+    """Word lists of invented languages."""
+    out = []
+    for seed in range(count):
+        rng = random.Random(100 + seed)
+        syllables = ["".join((rng.choice("bcdfghjklmnpqrstvwxz"), rng.choice("aeiouyéö"), rng.choice(["", "", "n", "r", "st"]))) for _ in range(12)]
+        out.append(["".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(80)])
+    return out
+
+
+@pytest.mark.parametrize("languages", [2, 4, 20])
+def test_unlearned_languages_go_and_short_texts_stay_whatever_the_number_of_languages(spark, languages):
+    words = _invented(languages + 1)
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choices(words[k], k=30)), f"l{k}") for k in range(languages) for _ in range(40)]
+    model = langid.StringKernelClassifier([t for t, _ in rows], [label for _, label in rows])
+    good = [" ".join(rng.choices(words[k], k=n)) for k in range(languages) for n in (1, 1, 20)]
+    bad = [" ".join(rng.choices(words[languages], k=20)) for _ in range(20)] + ["xqzjk wvvq kkxz qqwj zzxv", "日本語 テキスト"]
+    given = spark.createDataFrame(list(enumerate(good + bad)), DOCS)
+    stayed = {r.doc_id for r in langid.drop_unidentified(given, model, 0.25).collect()}
+    assert stayed == set(range(len(good)))
+
+
+def test_documents_of_an_unlearned_language_go(spark):
+    every = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = every.where((id_bucket(F.col("doc_id"), 3) == 1) & (F.length("text") > 200))
+    for language in ("en", "fr"):
+        model = langid.fit_languages(every.where(F.col("lang") != language))
+        new, known = ((c, held.where(c).count()) for c in (F.col("lang") == language, F.col("lang") != language))
+        assert langid.drop_unidentified(held.where(new[0]), model, 0.25).count() < 0.1 * new[1]
+        assert langid.drop_unidentified(held.where(known[0]), model, 0.25).count() > 0.995 * known[1]
+
+
 def test_models_of_one_label_and_of_none(spark, hard):
     none = langid.fit_languages(hard.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.identify_languages(hard, none).collect()} == {"und"}
