@@ -256,6 +256,38 @@ def test_added_spans_and_redaction(spark, hard):
     assert pii.SpanModel([]).spans(["a@b.cd"]) == [[(0, 0, 6, True)]]
 
 
+def _without_plus(text, share, rng):
+    """The text with a share of its base telephones in other forms, and these forms."""
+    forms = []
+    for start, kind, end in reversed(pii.base_spans(text)):
+        if kind == 3 and rng.random() < share:
+            tail = "".join(c for c in text[start:end] if c.isdigit())[-10:]
+            forms.append(rng.choice([f"({tail[:3]}) {tail[3:6]}-{tail[6:]}", f"00 49 {tail[:3]} {tail[3:]}"]))
+            text = text[:start] + forms[-1] + text[end:]
+    return text, forms
+
+
+@pytest.mark.parametrize("share", [1 / 3, 0.8, 1])
+def test_telephones_without_a_plus_are_found_however_many_there_are(spark, share):
+    rng = random.Random(2)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(6000).collect()]
+    changed = [_without_plus(t, share, rng) for t in texts]
+    given = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(changed)], DOCS)
+    model = pii.fit_spans(given)
+    held = [(t, forms) for t, forms in changed if forms]
+    out = [pii.redact(t, s) for (t, _), s in zip(held, model.spans([t for t, _ in held]))]
+    wanted = [(f, o) for (_, forms), o in zip(held, out) for f in forms]
+    assert len(wanted) > 10 and sum(f in o for f, o in wanted) <= 0.05 * len(wanted)
+    assert sum(o.count("<PHONE>") for o in out) >= 0.95 * len(wanted)
+
+
+def test_a_rare_kind_is_in_the_sample(spark):
+    rows = [(i, f"order {i} of 1999, 17 pieces at 12.50, call +1 415 555 {1000 + i % 9000} or mail a{i}@b.org") for i in range(3000)]
+    rows += [(5000 + i, f"the host 10.0.{i}.7 is down") for i in range(6)]
+    model = pii.fit_spans(spark.createDataFrame(rows, DOCS))
+    assert np.isfinite(model.thresholds[1]) and model.spans(["the host 10[.]0[.]3[.]9 is down"])[0]
+
+
 # 7 ------------------------------------------------------------------------------
 
 
