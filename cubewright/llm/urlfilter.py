@@ -22,7 +22,9 @@ from .text import ascii_lower
 
 #: (action, host and path prefix); a rule fits the host and its subdomains.  At most a thousand, as one expression.
 Rules = Sequence[tuple[str, str]]
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-6, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
+#: Rounds after which scores that still move are an error; a chain of links takes as many rounds as it has.
+ROUNDS = 1000
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^"'\s<>/?#]+)"""
 
 
@@ -56,7 +58,11 @@ def _action(rule: Column, rules: Rules) -> Column:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from ``seeds`` (host, trust, distrust) over ``edges`` (src, dst, weight)."""
+    """(host, trust, distrust) from ``seeds`` (host, trust, distrust) over ``edges`` (src, dst, weight).
+
+    Rounds go on until none changes a score by more than ``TOLERANCE`` of it, so every
+    host that a path of links joins to a seed is reached; ``rounds`` without that raise.
+    """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
     steps = scratch.table(
@@ -76,12 +82,14 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int
         following = scratch.table(
             state.join(sent, ["kind", "host"], "left").select("host", "kind", "seed", score.alias("score"), F.abs(score - F.col("score")).alias("change")), "state"
         )
-        moved = following.agg(F.sum("change").alias("d"), F.sum("seed").alias("s")).first()
+        moves = following.where(F.col("change") > TOLERANCE * F.col("score")).limit(1).count() > 0
         scratch.drop(state)
         state = following.drop("change")
         state._scratch_path = following._scratch_path
-        if (moved["d"] or 0.0) <= TOLERANCE * max(moved["s"] or 0.0, 1e-300):
+        if not moves:
             break
+    else:
+        raise RuntimeError(f"trust and distrust did not settle in {rounds} rounds")
     by_kind = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     return state.groupBy("host").agg(*by_kind)
 
