@@ -15,7 +15,9 @@ from what texts of others get that it fits best (0) to what its own held-out tex
 (1), so it doesn't depend on the number of languages.
 
 The fit sees a bounded sample of labelled rows (``SAMPLE_ROWS`` in all, as many of each
-language, whole texts of at most ``SAMPLE_CHARS`` characters) and keeps at most
+language, ``LEAST_ROWS`` of each at least; whole texts of at most ``SAMPLE_CHARS``
+characters, or the beginnings of longer ones for a language that has no others).  Every
+label is learned; more than ``MAX_LANGUAGES`` of them are an error.  It keeps at most
 ``MAX_GRAMS`` grams.  Prediction covers every whole text.
 """
 
@@ -31,8 +33,8 @@ from pyspark.sql import types as T
 from .batches import with_text_columns
 from .text import id_bucket
 
-#: Bounds of the fit: labelled rows, characters of a row, landmarks of each language, grams, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, LANDMARKS, MAX_GRAMS, MAX_LANGUAGES = 1024, 16_384, 32, 16_384, 128
+#: Bounds of the fit: labelled rows, characters of a row, landmarks of each language, grams, languages; least rows of a language.
+SAMPLE_ROWS, SAMPLE_CHARS, LANDMARKS, MAX_GRAMS, MAX_LANGUAGES, LEAST_ROWS = 1024, 16_384, 32, 16_384, 512, 4
 RIDGE = 1e-4
 #: Grams of a text's own language that each text counts as having besides its own, so that one rare word alone doesn't go.
 PRIOR_GRAMS = 2
@@ -208,18 +210,24 @@ class StringKernelClassifier:
 
 
 def labelled_sample(labelled: DataFrame, text_col: str, label_col: str, key_col: str) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_ROWS`` (text, label) pairs, as many of each label as there are, chosen by a hash of ``key_col``."""
+    """(text, label) pairs, ``SAMPLE_ROWS`` in all or ``LEAST_ROWS`` of each label if that is more, chosen by a hash of ``key_col``."""
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.col(key_col).alias("key")).where(
-        F.col("label").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)
+        F.col("label").isNotNull() & F.col("text").isNotNull()
     )
-    sizes = dict(rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect())
-    if not sizes:
+    short = F.length("text") <= SAMPLE_CHARS
+    counted = rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(short).alias("short")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    if not counted:
         return []
-    each = SAMPLE_ROWS // len(sizes)
+    sizes = {r["label"]: r["short"] or r["n"] for r in counted}
+    long_only = [r["label"] for r in counted if not r["short"]]
+    rows = rows.where(short | F.col("label").isin(long_only) if long_only else short).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    each = max(LEAST_ROWS, SAMPLE_ROWS // len(sizes))
     order = F.xxhash64("key", F.lit("sample"))
     place = F.pmod(order, F.lit(1 << 30))
     # Rows below a threshold of the hash: some more than wanted, so that the window ranks a bounded number of them.
-    wanted = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, 3 * each / n) * (1 << 30))) for k, n in sizes.items()])
+    wanted = F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, 3 * max(each, 8) / n) * (1 << 30))) for k, n in sizes.items()])
     few = rows.where(place < wanted)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(order, "text")))
     taken = ranked.where(F.col("rank") <= each).orderBy("label", "rank").collect()

@@ -349,6 +349,22 @@ def test_documents_of_an_unlearned_language_go(spark):
         assert langid.drop_unidentified(held.where(known[0]), model, 0.25).count() > 0.995 * known[1]
 
 
+def test_every_label_is_learned(spark):
+    words = _invented(140)
+    rng = random.Random(8)
+    rows = [(i * 140 + k, " ".join(rng.choices(words[k], k=40)), f"l{k}") for i in range(12) for k in range(140)]
+    rows += [(10_000 + i, " ".join(rng.choices(["ωραία", "θάλασσα", "και", "ουρανός", "το"], k=4000)), "long") for i in range(6)]
+    every = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(4)
+    model = langid.fit_languages(every)
+    assert model.labels == sorted([f"l{k}" for k in range(140)] + ["long"])
+    got = langid.identify_languages(every.where((id_bucket(F.col("doc_id"), 3) == 1) | (F.col("lang") == "long")), model, keep=["lang"])
+    right = {r.lang: r.share for r in got.groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("share")).collect()}
+    assert right["long"] == 1 and min(right.values()) > 0 and sum(right.values()) > 0.95 * len(right)
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.fit_languages(many)
+
+
 def test_models_of_one_label_and_of_none(spark, hard):
     none = langid.fit_languages(hard.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in langid.identify_languages(hard, none).collect()} == {"und"}
