@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .worker import give_back, release
+
 SLICE_BYTES = 4 << 20
 
 
@@ -32,12 +34,16 @@ def with_text_columns(
     fields: Sequence[tuple[str, T.DataType]],
     make: Callable[[], Callable[[list], Sequence[list]]],
     keep: Sequence[str] | None = None,
+    state: Hashable = None,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """``df`` (or its columns ``keep``) with columns computed from each whole text.
 
     ``make`` is called once per task and returns a function from a list of texts
     (None for null) to one list of values per new field.  A kept column that has a
-    new field's name is replaced by it.
+    new field's name is replaced by it.  ``state``: the key under which the function
+    keeps things in its Python worker; all else that is kept there goes.  ``limit``:
+    bytes of text that the function gets at once, but for one longer text.
     """
     names = {name for name, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
@@ -47,11 +53,13 @@ def with_text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = None
+        release(state)
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, limit):
                 function = function or make()
                 made = function(part.column(text_col).to_pylist())
                 arrays = [part.column(c) for c in kept] + [pa.array(v, t) for v, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
+        give_back()
 
     return df.select(*[f"`{c}`" for c in columns]).mapInArrow(run, schema)

@@ -8,8 +8,9 @@ and its ancestors in logarithmic time, until the root holds no pair.
 Short pieces are merged together, one tree per row of an array; long pieces get a
 tree of their own, so a piece of a million letters costs n log n.
 
-White space is dropped by these tokenizers and never joins two tokens, so a text
-is encoded word by word and equal words are encoded once per worker.
+White space is dropped by these tokenizers and never joins two tokens, and a word's
+pieces are merged apart, so equal pieces are merged once for a bounded cache.  Long texts
+are encoded window by window.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .batches import with_text_columns
-from .words import WordCache
+from .pieces import CACHE_BYTES, Cache, Cutter, windows
+from .worker import kept
 
 NONE = np.int64(1) << 60
 #: Pieces of more symbols get a tree of their own.
 ROW_SYMBOLS = 64
 _ROW_CELLS = 1 << 18
-#: Words of a generation of the cache; two generations of words of about 300 bytes are kept by each Python worker.
-CACHED_WORDS = 150_000
+#: Characters of texts that are cut and merged together.
+_GROUP_CHARS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -54,7 +56,6 @@ class PairRanks:
         keys = (left << 32) | right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
-        self.by_pair = dict(zip(zip(left.tolist(), right.tolist()), range(len(pairs))))
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where the pair can't merge."""
@@ -69,11 +70,16 @@ def merge_long(symbols: list[int], pairs: PairRanks) -> list[int]:
     if n < 2:
         return symbols
     width = 1 << (n - 2).bit_length() if n > 2 else 1
-    none, rank_of, result = (1 << 62), pairs.by_pair, pairs.result.tolist()
+    none, result = (1 << 62), pairs.result.tolist()
+    rank_of: dict[tuple[int, int], int | None] = {}  # of the pairs that this piece has come to
     tree = [none] * (2 * width)
 
     def key(i: int, j: int) -> int:
-        rank = rank_of.get((symbols[i], symbols[j]))
+        pair = symbols[i], symbols[j]
+        if pair not in rank_of:
+            rank = int(pairs.lookup(np.array(pair[:1]), np.array(pair[1:]))[0])
+            rank_of[pair] = None if rank == NONE else rank
+        rank = rank_of[pair]
         return none if rank is None else rank * width + i
 
     for i in range(n - 1):
@@ -169,55 +175,47 @@ class SegmentTreeBPE:
     library does; merging and decoding are done here.
     """
 
-    _PRINTABLE = re.compile(rb"[\x21-\x7e]+")
-    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         if model.get("unk_token") or model.get("byte_fallback") or spec.get("decoder"):
             raise ValueError("only byte-level vocabularies with a plain decoder are supported")
-        self.vocab = dict(model["vocab"])
-        self.suffix = model.get("end_of_word_suffix") or ""
-        self.pairs = PairRanks(self.vocab, model["merges"])
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self._library = Tokenizer.from_file(path)
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        self.pairs = PairRanks(vocab, model["merges"])
+        self.cutter = Cutter(path, Tokenizer.from_file(path))
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.cutter.special, key=len, reverse=True))) + ")") if self.cutter.special else None
         chars = byte_characters()
-        self._first = {c: self.vocab[c] for c in chars}
-        self._last = {c: self.vocab[c + self.suffix] for c in chars}
-        top = max([*self.vocab.values(), *self.special.values()])
-        self._strings = [""] * (top + 1)
-        for s, i in [*self.vocab.items(), *self.special.items()]:
-            self._strings[i] = s
-        self.cache = WordCache(self._encode_words, cached_words)
-
-    def _pieces(self, word: bytes) -> list[str | int]:
-        """Byte-level pieces of one word, or ids of special strings."""
-        if self._PRINTABLE.fullmatch(word) and b"<|" not in word:
-            return self._PIECES.findall(word.decode("ascii").lower())
-        out: list[str | int] = []
-        for part in self._split.split(word.decode("utf-8")):
-            if part in self.special:
-                out.append(self.special[part])
+        self._byte = {c: b for b, c in enumerate(chars)}
+        self._first = [vocab[c] for c in chars]
+        self._last = [vocab[c + suffix] for c in chars]
+        strings = {i: s for s, i in [*vocab.items(), *self.cutter.special.items()]}
+        self._strings = [strings.get(i, "") for i in range(max(strings) + 1)]
+        self.cache = Cache(self._encode, cache_bytes)
+
+    def _odd(self, word: str) -> list[bytes | int]:
+        """Pieces, as bytes, and ids of special strings of a word that isn't plain."""
+        out: list[bytes | int] = []
+        for part in self._split.split(word) if self._split else [word]:
+            if part in self.cutter.special:
+                out.append(self.cutter.special[part])
             elif part:
-                normal = self._library.normalizer.normalize_str(part)
-                out += [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(normal) if p]
+                cut = self.cutter.pre_tokenizer.pre_tokenize_str(self.cutter.normalized(part))
+                out += [bytes(map(self._byte.__getitem__, p)) for p, _ in cut if p]
         return out
 
-    def merge_pieces(self, pieces: list[str]) -> list[list[int]]:
+    def merge_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Token ids of each piece."""
-        out: list[list[int]] = [[] for _ in pieces]
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
         first, last = self._first, self._last
         rows: dict[int, list[tuple[int, list[int]]]] = {}
         for i, p in enumerate(pieces):
-            symbols = [first[c] for c in p[:-1]]
-            symbols.append(last[p[-1]])
+            symbols = [first[b] for b in p]
+            symbols[-1] = last[p[-1]]
             if len(symbols) == 1:
-                out[i] = symbols
+                out[i] = np.array(symbols)
             elif len(symbols) > ROW_SYMBOLS:
-                out[i] = merge_long(symbols, self.pairs)
+                out[i] = np.array(merge_long(symbols, self.pairs))
             else:
                 rows.setdefault((len(symbols) - 2).bit_length(), []).append((i, symbols))
         for level, members in rows.items():
@@ -229,55 +227,60 @@ class SegmentTreeBPE:
                 grid = np.zeros((len(part), most), np.int64)
                 grid[np.arange(most) < lengths[:, None]] = np.concatenate([s for _, s in part])
                 ids, counts = merge_rows(grid, lengths, self.pairs)
-                ends = np.cumsum(counts)
-                ids = ids.tolist()
                 start = 0
-                for (i, _), end in zip(part, ends.tolist()):
+                for (i, _), end in zip(part, np.cumsum(counts).tolist()):
                     out[i] = ids[start:end]
                     start = end
         return out
 
-    def _encode_words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        split = [self._pieces(w) for w in words]
-        distinct = list(dict.fromkeys(p for pieces in split for p in pieces if isinstance(p, str)))
-        merged = dict(zip(distinct, self.merge_pieces(distinct)))
-        out = []
-        for pieces in split:
-            ids = [t for p in pieces for t in ([p] if isinstance(p, int) else merged[p])]
-            out.append((np.array(ids, "<u4").tobytes(), self.decode(ids).encode("utf-8")))
-        return out
+    def _encode(self, items: list[str]) -> list[bytes]:
+        """Packed ids of each plain piece or odd word."""
+        plain = self.cutter.is_plain
+        split = [[p.encode("utf-8")] if plain(p) else self._odd(p) for p in items]
+        distinct = list(dict.fromkeys(p for pieces in split for p in pieces if isinstance(p, bytes)))
+        merged = {p: ids.astype("<u4").tobytes() for p, ids in zip(distinct, self.merge_pieces(distinct))}
+        return [b"".join([int(p).to_bytes(4, "little") if isinstance(p, int) else merged[p] for p in pieces]) for pieces in split]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         """Token strings joined by blanks, special ones included: the decoding of a file without a decoder."""
-        strings = self._strings
-        return " ".join([strings[i] for i in ids])
+        return " ".join(map(self._strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def encode_texts(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         """(ids as packed little-endian 32-bit integers, decoded text) of each text; null is empty."""
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        found = self.cache.lookup(set().union(*split))
-        ids, decoded = [], []
-        for words in split:
-            values = [found[w] for w in words]
-            ids.append(b"".join([v[0] for v in values]))
-            decoded.append(b" ".join([v[1] for v in values if v[0]]).decode("utf-8"))
-        return ids, decoded
-
-
-@lru_cache(maxsize=2)
-def _coder(path: str, cached_words: int) -> SegmentTreeBPE:
-    return SegmentTreeBPE(path, cached_words)
+        ids: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, list[str]]] = []
+
+        def flush() -> None:
+            found = self.cache.lookup(set().union(*[p for _, p in group]))
+            for i, pieces in group:
+                ids[i].append(b"".join(map(found.__getitem__, pieces)))
+            group.clear()
+
+        held = 0
+        for i, text in enumerate(texts):
+            for window in windows(text or ""):
+                group.append((i, self.cutter(window)))
+                held += len(window)
+                if held > _GROUP_CHARS:
+                    flush()
+                    held = 0
+        flush()
+        packed = [b"".join(parts) for parts in ids]
+        return packed, [" ".join([self.decode(p) for p in parts if p]) for parts in ids]
 
 
 def bpe_encode(
-    docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, cached_words: int = CACHED_WORDS
+    docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: list[str] | None = None, cache_bytes: int = CACHE_BYTES
 ) -> DataFrame:
     """``docs`` (or its columns ``keep``) with token_ids (binary) and decoded (string) for each whole text.
 
     token_ids: the ids as little-endian unsigned 32-bit integers.  A null or empty
-    text, or one of white space, has no ids and decodes to empty text.  Rows that
-    repeat are encoded alike; other columns pass through, and columns that already
-    have the new names are replaced.
+    text, or one of white space, has no ids and decodes to empty text.  A very long
+    text is encoded in windows that end at white space; a single word of n letters
+    costs n log n time and some 300 n bytes.  Rows that repeat are encoded alike;
+    an empty table gives an empty one; other columns pass through, and columns that
+    already have the new names are replaced.
     """
     fields = [("token_ids", T.BinaryType()), ("decoded", T.StringType())]
-    return with_text_columns(docs, text_col, fields, lambda: _coder(tokenizer_path, cached_words).encode_texts, keep)
+    key = ("bpe", tokenizer_path, cache_bytes)
+    return with_text_columns(docs, text_col, fields, lambda: kept(key, lambda: SegmentTreeBPE(tokenizer_path, cache_bytes)).encode_texts, keep, key, 1 << 20)

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .scratch import Scratch, without_rows
+from .worker import release
 
 BYTES = 8
 MAX_BITS = 2
@@ -67,6 +68,7 @@ def simhash64(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 @F.arrow_udf(T.LongType())
 def simhash_column(texts: pa.Array) -> pa.Array:
+    release()
     return pa.array([simhash64(t.as_py()) for t in texts], pa.int64())
 
 

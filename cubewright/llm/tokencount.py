@@ -9,21 +9,22 @@ follows such a boundary doesn't depend on what stands before it.  Where no bound
 agrees the overlap is doubled and the chunk encoded again; at the worst it reaches
 the end of the text, which is then one chunk.
 
-Ordinary documents are counted word by word through a bounded cache, which relies on
-the same fact: the count of a text is the sum over its white-space-separated words.
+Both that and the counting of ordinary documents piece by piece through a bounded cache
+rest on the same fact, so it is checked when a vocabulary is opened, and a file whose
+tokens may hold white space is refused.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .batches import with_text_columns
-from .words import WordCache
+from .pieces import Cache, Cutter
+from .worker import kept
 
 #: Characters of a chunk and of the first overlap tried.
 CHUNK_CHARS, OVERLAP_CHARS = 16_384, 256
@@ -42,11 +43,11 @@ class ResyncCounter:
         self.library.no_truncation()
         self.library.no_padding()
         self.chunk, self.overlap = chunk, overlap
-        self.cache = WordCache(self._count_words)
+        self.cutter = Cutter(path, self.library)
+        self.cache = Cache(self._count)
 
-    def _count_words(self, words: list[bytes]) -> list[int]:
-        texts = [w.decode("utf-8") for w in words]
-        return [len(e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _count(self, items: list[str]) -> list[int]:
+        return [len(e) for e in self.library.encode_batch_fast(items, add_special_tokens=False)]
 
     def _tokens(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         """(start, end, id) of each token of ``text[start:end]``, in offsets of the whole text."""
@@ -96,19 +97,11 @@ class ResyncCounter:
 
     def count_texts(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """(UTF-8 bytes, tokens) of each text; null is empty."""
-        raw = [(t or "").encode("utf-8") for t in texts]
-        split = [r.split() if len(t or "") <= self.chunk else None for t, r in zip(texts, raw)]
-        found = self.cache.lookup(set().union(*[w for w in split if w is not None]))
-        counts = [
-            sum([found[w] for w in words]) if words is not None else self.count_huge(t)
-            for t, words in zip(texts, split)
-        ]
-        return [len(r) for r in raw], counts
-
-
-@lru_cache(maxsize=2)
-def _counter(path: str, chunk: int, overlap: int) -> ResyncCounter:
-    return ResyncCounter(path, chunk, overlap)
+        sizes = [len((t or "").encode("utf-8")) for t in texts]
+        split = [self.cutter(t or "") if len(t or "") <= self.chunk else None for t in texts]
+        found = self.cache.lookup(set().union(*[s for s in split if s is not None]))
+        counts = [sum(map(found.__getitem__, s)) if s is not None else self.count_huge(t) for t, s in zip(texts, split)]
+        return sizes, counts
 
 
 def token_counts(
@@ -121,10 +114,13 @@ def token_counts(
 ) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_bytes and n_tokens of each whole text.
 
-    A null or empty text has no bytes and no tokens.  Repeated rows count alike;
-    columns that already have the new names are replaced.
+    A null or empty text has no bytes and no tokens.  A very long text is encoded chunk
+    by chunk, so it costs the memory of a chunk beside itself.  Repeated rows count
+    alike; an empty table gives an empty one; columns that already have the new names
+    are replaced.
     """
     fields = [("n_bytes", T.LongType()), ("n_tokens", T.LongType())]
+    key = ("count", tokenizer_path, chunk_chars, overlap_chars)
     return with_text_columns(
-        docs, text_col, fields, lambda: _counter(tokenizer_path, chunk_chars, overlap_chars).count_texts, keep
+        docs, text_col, fields, lambda: kept(key, lambda: ResyncCounter(tokenizer_path, chunk_chars, overlap_chars)).count_texts, keep, key, 1 << 20
     )
