@@ -1,23 +1,24 @@
-"""SimHash near-duplicates through a byte-position inverted index.
-
-A 64-bit fingerprint is eight positional bytes.  Two fingerprints that differ in
-at most two bits differ in at most two bytes, so they share at least six
-positional bytes: that is the guaranteed minimum of the count filter.  A posting
-list per single positional byte would hold 1/256 of all fingerprints, so the
-index is keyed by the combinations that the count filter asks for: each distinct
-fingerprint is posted under its 28 six-byte combinations.  A pair that meets in
-a posting list has reached the minimum, a pair below it never meets, and the
-length of a list is bounded by the 65,536 values of its two free bytes.  Pairs
-are then tallied and verified bit by bit.
-
-Long lists are not paired at all: each member is posted again under the values
-one bit away in its free bytes.  Members that meet there differ in two bits or
-fewer, and a star to the least of them carries every link of the group.
+"""SimHash near-duplicates through a byte-position inverted index with count filtering.
+
+A 64-bit fingerprint is eight positional bytes.  Two fingerprints that differ in at most
+``MAX_BITS`` bits differ in at most as many bytes, so they share at least ``MIN_SHARED``
+positional bytes: that is the guaranteed minimum of the count filter.  A posting list of
+a single positional byte would hold 1/256 of all fingerprints, so the index is keyed by
+``KEY_BYTES`` positional bytes together: a pair that shares s bytes meets in C(s, 5) of
+the 56 kinds of lists.  Meetings are tallied for each pair; pairs that reach C(6, 5), and
+so share six bytes or more, are retained and then verified bit by bit.
+
+Lists over ``LONG_LIST`` are never paired or gathered: each member is posted again under
+the values one bit away in the list's free bytes.  Members that meet there differ in two
+bits or fewer, and a star to the least of them carries every link of the group.  A pair
+within two bits whose meetings are partly in long lists is linked there, since all bytes
+in which it differs are free in any list that holds both.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ from .worker import release
 BYTES = 8
 MAX_BITS = 2
 MIN_SHARED = BYTES - MAX_BITS
+#: Positional bytes of an index key, and the meetings of a pair that shares ``MIN_SHARED`` bytes.
+KEY_BYTES = 5
+LEAST_MEETINGS = comb(MIN_SHARED, KEY_BYTES)
 #: Lists longer than this are linked by stars over one-bit neighbours instead of by pairs.
 LONG_LIST = 48
 _CHUNK = 1 << 15
@@ -73,31 +77,40 @@ def simhash_column(texts: pa.Array) -> pa.Array:
 
 
 def _masks() -> list[tuple[int, list[int]]]:
-    """(mask of the kept bytes, free bit positions) of each six-byte combination."""
+    """(mask of the kept bytes, free bit positions) of each key."""
     out = []
-    for kept in combinations(range(BYTES), MIN_SHARED):
+    for kept in combinations(range(BYTES), KEY_BYTES):
         mask = sum(0xFF << (8 * b) for b in kept)
         out.append((_signed(mask), [8 * b + i for b in range(BYTES) if b not in kept for i in range(8)]))
     return out
 
 
 def postings(fingerprints: DataFrame) -> DataFrame:
-    """Posting lists (combo, key, members) of two or more distinct fingerprints (column ``fp``)."""
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m, _ in _masks()])
-    return (
-        fingerprints.select("fp", F.posexplode(keys).alias("combo", "key"))
-        .groupBy("combo", "key")
-        .agg(F.collect_list("fp").alias("members"))
-        .where(F.size("members") > 1)
-    )
+    """The index: (combo, key, fp), each distinct fingerprint under all its keys."""
+    masks = F.array(*[F.lit(m) for m, _ in _masks()])
+    return fingerprints.select("fp", F.posexplode(masks).alias("combo", "mask")).select("combo", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
-def _shared_bytes(x, y):
-    diff = x.bitwiseXOR(y)
-    tally = F.lit(0)
-    for b in range(BYTES):
-        tally = tally + F.when(diff.bitwiseAND(F.lit(_signed(0xFF << (8 * b)))) == 0, 1).otherwise(0)
-    return tally
+def shared_lists(fingerprints: DataFrame, scratch: Scratch) -> DataFrame:
+    """Postings (combo, key, fp, n) of the lists that hold n > 1 fingerprints."""
+    index = postings(fingerprints)
+    sizes = index.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1")
+    return scratch.table(index.join(sizes, ["combo", "key"]), "lists")
+
+
+def candidates(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b, meetings) of the short lists that meet as often as the count filter demands."""
+    members = F.col("members")
+    pairs = F.flatten(
+        F.transform(members, lambda x, i: F.transform(F.slice(members, i + 2, F.size(members)), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    )
+    return (
+        lists.where(F.col("n") <= LONG_LIST)
+        .groupBy("combo", "key").agg(F.array_sort(F.collect_list("fp")).alias("members"))
+        .select(F.explode(pairs).alias("p"))
+        .groupBy("p.a", "p.b").agg(F.count("*").alias("meetings"))
+        .where(F.col("meetings") >= LEAST_MEETINGS)
+    )
 
 
 def near_links(fingerprints: DataFrame, scratch: Scratch) -> DataFrame:
@@ -106,37 +119,23 @@ def near_links(fingerprints: DataFrame, scratch: Scratch) -> DataFrame:
     ``fingerprints``: distinct ``fp``.  Every two fingerprints within two bits are
     connected through the edges, and every edge is such a pair.
     """
-    lists = scratch.table(postings(fingerprints), "postings")
-    members = F.col("members")
-    pairs = F.flatten(
-        F.transform(
-            members,
-            lambda x, i: F.transform(
-                F.filter(F.slice(members, i + 2, F.size(members)), lambda y: F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS),
-                lambda y: F.struct(x.alias("a"), y.alias("b")),
-            ),
-        )
-    )
-    short = (
-        lists.where(F.size(members) <= LONG_LIST)
-        .select(F.explode(pairs).alias("p"))
-        .select("p.a", "p.b")
-        .where(_shared_bytes(F.col("a"), F.col("b")) >= MIN_SHARED)
-    )
+    lists = shared_lists(fingerprints, scratch)
+    short = candidates(lists).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
     flips = F.array(
         *[F.array(F.lit(0).cast("bigint"), *[F.lit(_signed(1 << bit)) for bit in free]) for _, free in _masks()]
     )
     near = (
-        lists.where(F.size(members) > LONG_LIST)
-        .select("combo", F.explode(members).alias("fp"))
+        lists.where(F.col("n") > LONG_LIST)
         .select("combo", "fp", F.explode(F.element_at(flips, F.col("combo") + 1)).alias("flip"))
         .groupBy("combo", F.col("fp").bitwiseXOR(F.col("flip")).alias("between"))
-        .agg(F.min("fp").alias("a"), F.collect_list("fp").alias("group"))
+        .agg(F.min("fp").alias("a"), F.collect_list("fp").alias("group"))  # 25 at most
         .where(F.size("group") > 1)
         .select("a", F.explode("group").alias("b"))
         .where("a <> b")
     )
-    return short.union(near)
+    links = scratch.table(short.union(near), "links")
+    scratch.drop(lists)
+    return links
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +145,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows whose fingerprints are connected by links of two bits or fewer.  Exact
     copies share a fingerprint and are never paired.  Repeated rows stay; a null
     or empty text has fingerprint zero, linked like any other; rows with a null
-    id take part, and a component of null ids alone has a null component_id.
+    id take part, and a component of null ids alone has a null component_id.  A very
+    long text is hashed in pieces of words; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
@@ -158,6 +158,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = scratch.table(rooted.join(named, "root").select("fp", "component_id"), "labels")
+    scratch.drop(groups)
     return hashed.join(label, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -169,7 +170,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Keep one row of each near-duplicate group: that with the least id.
 
     Columns and their order are those of ``docs``.  Of repeated rows with that
-    same id one remains.  Groups without any id (null) keep one row as well.
+    same id one remains.  Groups without any id (null) keep one row as well, and so
+    does the group of null and empty texts.  An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     columns = docs.columns
@@ -189,4 +191,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .select(F.col("first.row").alias("row"))
     )
     dropped = scratch.table(rows.select("row").join(kept, "row", "left_anti"), "dropped")
+    scratch.drop(groups)
     return without_rows(rows, dropped, "row").select(*[F.col(n).alias(c) for n, c in zip(names, columns)])
