@@ -5,11 +5,12 @@ and of every ``WINDOW`` consecutive gram hashes the least is kept.  A shared spa
 ``GRAM + WINDOW - 1`` words, the contract's 13, has a whole window of grams and so at
 least one kept hash in common: none is missed.
 
-Kept hashes of a document are tested against a bit set of the benchmark's before any
-row is made of them.  The bit set has a fixed largest size, whatever the benchmark's;
-it only spares work, for each hit is extended to the 13-word spans around it, and these
-are joined with the benchmark's own spans by their words.  Items of fewer than 13 words
-are spans of their own length, looked up at every position through the same bit set.
+Kept hashes of a document become rows, each with the words around it, and are joined with
+the benchmark's kept hashes; only those that meet are extended to the 13-word spans around
+them, which are joined with the benchmark's own spans by their words.  Before any row is
+made a bit set of the benchmark's hashes, of a fixed largest size, spares most of them;
+results don't depend on it.  Items of fewer than 13 words are spans of their own length,
+whose hash is looked up at every position.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BITS_PER_HASH, MIN_BITS, MAX_BITS = 128, 1 << 14, 1 << 23
 #: The benchmark's spans are broadcast up to this many bytes of text, else joined by shuffle.
 BROADCAST_BYTES = 8 << 20
-_SPAN_TYPE = "array<struct<start:int,len:int,span:string>>"
+#: Hashes of the benchmark are broadcast up to this many rows, else joined by shuffle.
+BROADCAST_HASHES = 500_000
+_MARK_TYPE = "array<struct<h:bigint,start:int,len:int,around:array<string>>>"
 
 
 def words_of(text: Column) -> Column:
@@ -70,18 +73,6 @@ def _least_with_next(name: str, distance: int) -> Column:
     return F.transform(array, lambda v, i: F.least(v, F.get(array, i + F.lit(distance))))
 
 
-def _spans_at(starts: Column, length: int) -> Column:
-    words = F.col("words")
-    return F.transform(
-        starts,
-        lambda s: F.struct(
-            s.cast("int").alias("start"),
-            F.lit(length).alias("len"),
-            F.array_join(F.slice(words, s.cast("int") + 1, F.lit(length)), " ").alias("span"),
-        ),
-    )
-
-
 class Benchmark:
     """Spans, items and bit set of the benchmark texts."""
 
@@ -102,10 +93,12 @@ class Benchmark:
         short_keys = [
             hashed.where(F.size("words") == m).select(F.element_at(_gram_hash(m), 1).alias("h")) for m in self.short
         ]
-        keys = scratch.table(reduce(DataFrame.union, short_keys, long_keys).distinct(), "benchmark-hashes")
+        self.hashes = keys = scratch.table(reduce(DataFrame.union, short_keys, long_keys).distinct(), "benchmark-hashes")
         size = self.spans.agg(F.count("*").alias("n"), F.sum(F.octet_length("span")).alias("bytes")).first()
         self.small = (size["bytes"] or 0) <= BROADCAST_BYTES
-        wanted = max(MIN_BITS, min(MAX_BITS, keys.count() * BITS_PER_HASH))
+        held = keys.count()
+        self.few = held <= BROADCAST_HASHES
+        wanted = max(MIN_BITS, min(MAX_BITS, held * BITS_PER_HASH))
         self.bits = 1 << (wanted - 1).bit_length()
         words = (
             keys.select(F.col("h").bitwiseAND(F.lit(self.bits - 1)).alias("b"))
@@ -125,21 +118,34 @@ class Benchmark:
         return F.getbit(word, b.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def candidate_spans(df: DataFrame, bench: Benchmark) -> DataFrame:
-    """Adds ``spans``: the spans around each hit of the bit set, not yet verified.  Needs ``words``."""
+def fingerprint_marks(df: DataFrame, bench: Benchmark) -> DataFrame:
+    """Adds ``marks``: kept hashes that the bit set lets pass, with the words of the spans around them.  Needs ``words``."""
     df = with_fingerprints(with_word_hashes(df))
-    seen = F.filter("minima", lambda v: bench.has(F.shiftrightunsigned(v, 31)))
-    df = df.withColumn("seen", F.array_distinct(F.transform(seen, lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)))))
-    last = F.size("words") - F.lit(SPAN)
-    around = F.transform(
-        F.filter("seen", lambda p: F.greatest(p - (WINDOW - 1), F.lit(0)) <= last),
-        lambda p: F.sequence(F.greatest(p - (WINDOW - 1), F.lit(0)), F.least(p, last.cast("bigint"))),
-    )
-    found = [_spans_at(F.array_distinct(F.flatten(around)), SPAN)]
+    words, n = F.col("words"), F.size("words")
+    kept = F.array_distinct(F.filter("minima", lambda v: bench.has(F.shiftrightunsigned(v, 31))))
+
+    def mark(v: Column) -> Column:
+        place = v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        start = F.greatest(place - (WINDOW - 1), F.lit(0))
+        return F.struct(
+            F.shiftrightunsigned(v, 31).alias("h"), start.alias("start"), F.lit(SPAN).alias("len"),
+            F.slice(words, start + 1, F.least(place + SPAN, n) - start).alias("around"),
+        )
+
+    found = [F.filter(F.transform(kept, mark), lambda m: F.size(m["around"]) >= SPAN)]
     for m in bench.short:
-        places = F.transform(_gram_hash(m), lambda h, i: F.when(bench.has(h), i))
-        found.append(_spans_at(F.array_compact(places), m))
-    return df.withColumn("spans", F.concat(*[f.cast(_SPAN_TYPE) for f in found]))
+        hashed = F.transform(_gram_hash(m), lambda h, i: F.when(bench.has(h), F.struct(h.alias("h"), i.alias("start"), F.lit(m).alias("len"), F.slice(words, i + 1, F.lit(m)).alias("around"))))
+        found.append(F.array_compact(hashed))
+    return df.withColumn("marks", F.concat(*[f.cast(_MARK_TYPE) for f in found]))
+
+
+def spans_around(marks: DataFrame) -> DataFrame:
+    """A row (start, len, span) for each span that the marks (start, len, around) may stand in; other columns stay."""
+    offset = F.explode(F.sequence(F.lit(0), F.size("around") - F.col("len"))).alias("offset")
+    return marks.select("*", offset).select(
+        *[c for c in marks.columns if c not in ("h", "start", "len", "around")],
+        (F.col("start") + F.col("offset")).alias("start"), "len", F.array_join(F.slice("around", F.col("offset") + 1, F.col("len")), " ").alias("span"),
+    )
 
 
 def _covered(ends: Column) -> Column:
@@ -172,7 +178,8 @@ def contamination(
     20 * n_hit >= n_words.  A null or empty text has no words and isn't
     contaminated; an item without words is never found; items that repeat or have
     a null id count once each id, null ids not at all in item_ids.  An empty
-    benchmark finds nothing.  Kept columns with the new names are replaced.
+    benchmark finds nothing.  Kept columns with the new names are replaced.  A very
+    long text is one row: its words and hashes take some 60 bytes a word at once.
     """
     new = ("n_words", "n_hit", "n_items", "item_ids", "contaminated")
     kept = [c for c in (keep or [id_col]) if c not in new]
@@ -201,17 +208,23 @@ def _contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
+def fingerprint_hits(rows: DataFrame, bench: Benchmark) -> DataFrame:
+    """Marks (row, n_words, h, start, len, around) whose hash is one of the benchmark's."""
+    marks = rows.select("row", "n_words", F.explode("marks").alias("m")).select("row", "n_words", "m.*")
+    return marks.join(F.broadcast(bench.hashes) if bench.few else bench.hashes, "h", "left_semi")
+
+
 def _matches(docs: DataFrame, bench: Benchmark, scratch: Scratch, text_col: str, kept: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written rows (row, kept, n_words, spans), their verified spans, and the words hit in each row that has any."""
+    """Written rows (row, kept, n_words, marks), their verified spans, and the words hit in each row that has any."""
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), words_of(F.col(f"`{text_col}`")).alias("words"))
     rows = scratch.table(
-        candidate_spans(base, bench).select(
-            F.monotonically_increasing_id().alias("row"), "kept", F.size("words").cast("bigint").alias("n_words"), "spans"
+        fingerprint_marks(base, bench).select(
+            F.monotonically_increasing_id().alias("row"), "kept", F.size("words").cast("bigint").alias("n_words"), "marks"
         ),
         "candidates",
     )
-    spread = rows.select("row", "n_words", F.explode("spans").alias("s")).select("row", "n_words", "s.start", "s.len", "s.span")
     known = bench.spans.select("span", "len").distinct()
+    spread = spans_around(fingerprint_hits(rows, bench))
     hits = scratch.table(spread.join(F.broadcast(known) if bench.small else known, ["span", "len"], "left_semi"), "hits")
     ends = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end"))))
     return rows, hits, hits.groupBy("row").agg(_covered(ends).alias("n_hit"), F.first("n_words").alias("n_words"))
@@ -220,7 +233,11 @@ def _matches(docs: DataFrame, bench: Benchmark, scratch: Scratch, text_col: str,
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without contaminated rows; columns and their order stay."""
+    """``docs`` without contaminated rows; columns and their order stay.
+
+    A null or empty text has no words and stays; repeated rows stay or go alike.  An
+    empty benchmark drops nothing, and an empty table gives an empty one.
+    """
     columns = docs.columns
     names = [f"c{i}" for i in range(len(columns))]  # free of clashes with the operator's names
     scratch = Scratch(docs.sparkSession, "decontam")
