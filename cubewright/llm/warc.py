@@ -24,8 +24,10 @@ from .scratch import Scratch
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT_BYTES = 1000
-#: Records of one archive file, three for a page; files end sooner where a partition ends.
+#: Records of one archive file, three for a page, at most; files end sooner where a partition ends.
 RECORDS_PER_FILE = 30_000
+#: Repeated payloads that are broadcast at most; more of them meet the pages in a shuffle.
+BROADCAST_DIGESTS = 200_000
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ_BYTES = 1 << 20
@@ -61,21 +63,29 @@ def write_warc(
     Of captures with equal payloads (by SHA-1 and length) of ``LEAST_REVISIT_BYTES``
     or more, those with the largest id are responses and the others revisits of it;
     rows that repeat id and payload are written each, under the same record id.  Null
-    ids come after all others.  No row gives no record.
+    ids come after all others.  No row gives no record.  Only the columns named are
+    read, whatever others there are.
+
+    A file holds the records of one partition, and adaptive execution cuts partitions
+    by bytes (spark.sql.adaptive.advisoryPartitionSizeInBytes): a file passes that size
+    only for a single longer payload, of which writer and reader hold a few copies.
     """
+    scratch = Scratch(pages.sparkSession, "warc")
     base = pages.select(
         F.col(id_col).alias("id"),
         F.translate(F.coalesce(F.col(url_col), F.lit("")), "\r\n", "  ").alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
     ).withColumns({"sha1": F.sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload")})
-    repeated = (
+    repeated = scratch.table(
         base.where(F.col("bytes") >= LEAST_REVISIT_BYTES)
         .groupBy("sha1", "bytes")
         .agg(F.count("*").alias("copies"), F.max("id").alias("first_id"))
         .where("copies > 1")
-        .drop("copies")
+        .drop("copies"),
+        "repeated",
     )
-    known = base.join(repeated, ["sha1", "bytes"], "left")
+    few = repeated.count() <= BROADCAST_DIGESTS
+    known = base.join(F.broadcast(repeated) if few else repeated, ["sha1", "bytes"], "left").hint("rebalance")
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     main_id, first = _record_id("main", F.col("id"), F.col("sha1")), _record_id("main", F.col("first_id"), F.col("sha1"))
     target = [("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date))]
@@ -102,6 +112,7 @@ def write_warc(
     records = known.select(F.explode(F.array(request, F.when(revisit, again).otherwise(response), metadata)).alias("value"))
     writer = records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
     writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    scratch.drop(repeated)
 
 
 RECORD_SCHEMA = T.StructType(
@@ -252,7 +263,11 @@ def assemble(records: DataFrame, id_type: T.DataType | None = None) -> DataFrame
 
 
 def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", with_payload: bool = False) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder, read them back and assemble the captures."""
+    """Write ``pages`` to archives in the shared folder, read them back and assemble the captures.
+
+    See :func:`write_warc` and :func:`assemble` for nulls, repeats and very long payloads;
+    an empty table gives no capture.
+    """
     scratch = Scratch(pages.sparkSession, "warc")
     path = scratch.path("archives")
     write_warc(pages, path, id_col, url_col, payload_col)
