@@ -6,6 +6,9 @@ the hosts of pages that a block rule fits, so a host that links to blocked ones
 its share.  A page without a rule takes its host's verdict: block where distrust is
 more than ``THRESHOLD`` of trust and distrust together, allow elsewhere.
 
+Rules are a table, of any size: a host's suffixes are joined with the rules' hosts, then
+the beginnings of its paths, of the lengths that these rules have, with their paths.
+
 Links are summed up to weighted host pairs before anything else; a round is one join
 and one sum over two-column tables, written to the shared scratch folder.
 """
@@ -14,14 +17,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .text import ascii_lower
 
-#: (action, host and path prefix); a rule fits the host and its subdomains.  At most a thousand, as one expression.
-Rules = Sequence[tuple[str, str]]
+#: (action, host and path prefix) pairs, or a DataFrame (action, rule); a rule fits the host and its subdomains.
+Rules = Sequence[tuple[str, str]] | DataFrame
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
 #: Rounds after which scores that still move are an error; a chain of links takes as many rounds as it has.
 ROUNDS = 1000
@@ -38,23 +41,26 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def matching_rule(host: Column, path: Column, rules: Rules) -> Column:
-    """The longest rule that fits, null if none does."""
-    if len(rules) > 1000:
-        raise ValueError("more than a thousand rules")
-    out = F.lit(None).cast("string")
-    for _, rule in sorted(rules, key=lambda r: len(r[1])):
-        name, slash, rest = rule.partition("/")
-        fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
-        out = F.when(fits, F.lit(rule)).otherwise(out)
-    return out
+def _rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """(rule, action, name, path), one row for each rule; of one rule with several actions block stays."""
+    given = rules.select("action", "rule") if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "action string, rule string")
+    once = given.where("rule is not null").groupBy("rule").agg(F.max("action").alias("action"))
+    name = F.substring_index("rule", "/", 1)
+    return once.select("rule", "action", name.alias("name"), F.expr("substr(rule, length(substring_index(rule, '/', 1)) + 1)").alias("path"))
 
 
-def _action(rule: Column, rules: Rules) -> Column:
-    out = F.lit(None).cast("string")
-    for action, text in rules:
-        out = F.when(rule == text, F.lit(action)).otherwise(out)
-    return out
+def matching_rules(places: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
+    """(host, path, rule, action): the longest rule that fits each of ``places`` (host, path), of equal ones that of the longer host; places without one are absent."""
+    table = scratch.table(_rule_table(places.sparkSession, rules), "rules")
+    labels = F.split("host", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    names = table.groupBy("name").agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
+    hosts = places.select("host").distinct().select("host", F.explode(suffixes).alias("name")).join(names, "name")
+    lengths = F.filter("lengths", lambda n: n <= F.length("path"))
+    begun = places.select("host", "path").distinct().join(hosts, "host").select("host", "path", "name", F.explode(lengths).alias("n"))
+    fits = begun.withColumn("begin", F.expr("substr(path, 1, n)")).join(table.withColumnRenamed("path", "begin"), ["name", "begin"])
+    best = F.max(F.struct(F.length("rule").alias("n"), F.length("name").alias("m"), "rule", "action")).alias("best")
+    return fits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.action")
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
@@ -103,13 +109,17 @@ def judge_urls(
     having no host to judge, the verdict allow.  A null html has no links; links
     within a host count for nothing.  A seed's weight is the share of its host's
     pages that an allow (or block) rule fits.  Hosts that no seed reaches have no
-    trust or distrust and are allowed.  Repeated rows are judged alike.
+    trust or distrust and are allowed.  Repeated rows are judged alike; only the
+    columns named are read, and an empty table gives an empty one.  A very long html
+    or URL is searched in place; its links are one array.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    placed = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    placed = placed.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
-    placed = scratch.table(placed.withColumn("action", _action(F.col("rule"), rules)), "placed")
+    bare = scratch.table(pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")), "bare")
+    ruled = scratch.table(matching_rules(bare.where("host <> ''"), rules, scratch), "ruled")
+    placed = scratch.table(bare.join(ruled, ["host", "path"], "left"), "placed")
+    scratch.drop(bare)
+    scratch.drop(ruled)
     targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_LINK), F.lit(1)), ascii_lower))
     edges = scratch.table(
         pages.select(host.alias("src"), F.explode(targets).alias("dst"))
