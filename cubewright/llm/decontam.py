@@ -186,6 +186,7 @@ def contamination(
     scratch = Scratch(docs.sparkSession, "decontam")
     bench = Benchmark(benchmark, scratch, item_col, item_text_col)
     rows, hits, counted = _matches(docs, bench, scratch, text_col, kept)
+    scratch.keep_only(rows, hits, bench.spans)
     items = bench.spans.select("span", "len", "item_id").where(F.col("item_id").isNotNull())
     named = (
         hits.select("row", "span", "len").distinct().join(F.broadcast(items) if bench.small else items, ["span", "len"])
@@ -244,4 +245,5 @@ def drop_contaminated(
     bench = Benchmark(benchmark, scratch, item_col, item_text_col)
     rows, _, counted = _matches(docs.toDF(*names), bench, scratch, names[columns.index(text_col)], names)
     bad = scratch.table(counted.where(_contaminated(F.col("n_hit"), F.col("n_words"))).select("row"), "contaminated")
+    scratch.keep_only(rows, bad)
     return without_rows(rows.select("row", "kept"), bad, "row").select(*[F.col("kept")[n].alias(c) for n, c in zip(names, columns)])

@@ -8,27 +8,32 @@ knows are excluded from the shorter ones' counts.  Byte 0xFF, which UTF-8 never
 stands before and after each text, so a text's end is coded too.
 
 The trie grows with the corpus and is never in one place.  Documents go in batches of
-``BATCH_BYTES``; a batch gives its distinct grams (context and next byte) and its
-distinct words with their training counts.  Counts are summed by key, the code length of
-each gram is worked out with all contexts that share their last two bytes, and the
-values come back to their batches, which then score their texts by table look-ups.  A
-key stands in a batch once, so no key has more than a small share of any shuffle.
+``BATCH_BYTES``, longer texts in parts that end at white space and know the bytes before
+them; a batch gives its distinct grams (context and next byte) and its distinct words
+with their training counts.  Counts are summed by key, the code length of each gram is
+worked out with all contexts that share their last two bytes, and the values come back
+to their batches, which then score their texts by table look-ups.  A key stands in a
+batch once, so no key has more than a small share of any shuffle, and batches are dealt
+out to the scoring tasks in turn, so none gets many more than another.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .batches import slices
 from .scratch import Scratch
+from .worker import give_back, release
 
 ORDER = 4
 EDGE = 0xFF
@@ -38,43 +43,71 @@ _PIECE = 1 << 20
 _PIECE_DOCS = 512
 _DOC, _WORD, _GRAM = 0, 1, 2
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_SUFFIX = 0xFFFF
 _SLOT_BITS = 21
-
-
-def framed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram codes of all texts one after another, where each text's begin); a text has a gram for each byte and its end."""
-    edge = bytes([EDGE])
-    raw = np.frombuffer(b"".join([edge * ORDER + t + edge for t in texts]), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes + ORDER + 1)[:-1]])
+#: Batches of a scoring task, where the partitions of the documents allow it.
+_TASK_BATCHES = 4
+_EDGES = bytes([EDGE]) * ORDER
+_SPACE = re.compile(rb"[\t-\r ]")
+
+
+class Part(NamedTuple):
+    """A text, or a stretch of one: its bytes, the ``ORDER`` bytes before them, and whether the text ends with it."""
+
+    body: bytes
+    before: bytes = _EDGES
+    last: bool = True
+
+
+def cut(part: Part, limit: int, at_space: bool) -> Iterator[Part]:
+    """Stretches of about ``limit`` bytes; ``at_space``: that end with white space, so that no word is cut."""
+    body, start = part.body, 0
+    while len(body) - start > limit:
+        end = start + limit
+        if at_space:
+            found = _SPACE.search(body, end)
+            if found is None:
+                break
+            end = found.end()
+        yield Part(body[start:end], (part.before + body[max(0, start - ORDER) : start])[-ORDER:], part.last and end == len(body))
+        start = end
+    if start < len(body) or not body:
+        yield Part(body[start:], (part.before + body[max(0, start - ORDER) : start])[-ORDER:], part.last)
+
+
+def framed(parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram codes of all parts one after another, where each part's begin): a gram for each byte, and for a text's end."""
+    raw = np.frombuffer(b"".join([p.before + p.body + _EDGES[: p.last] for p in parts]), np.uint8)
+    sizes = np.array([len(p.body) + p.last for p in parts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + ORDER)[:-1]])
     code = np.zeros(max(0, len(raw) - ORDER), np.int64)
     for k in range(ORDER + 1):
         code = (code << 8) | raw[k : k + len(code)]
     inside = np.ones(len(code), bool)
-    for k in range(ORDER):  # grams that begin in one text and end in the next
-        cut = starts[1:] - ORDER + k
-        inside[cut] = False
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    for k in range(ORDER):  # grams that begin in one part and end in the next
+        inside[starts[1:] - ORDER + k] = False
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     return code[inside], begins
 
 
-def pieces(texts: list[bytes], limit: int = _PIECE) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``limit`` bytes."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t) > limit:
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if len(texts) > start:
-        yield start, len(texts)
+def pieces(parts: list[Part], limit: int = _PIECE) -> Iterator[tuple[list[int], list[Part]]]:
+    """Parts of about ``limit`` bytes together, longer ones cut, and the number of the given part that each is of."""
+    numbers, group, held = [], [], 0
+    for i, part in enumerate(parts):
+        for p in cut(part, limit, False) if len(part.body) > limit else (part,):
+            if group and held + len(p.body) > limit:
+                yield numbers, group
+                numbers, group, held = [], [], 0
+            numbers.append(i)
+            group.append(p)
+            held += len(p.body)
+    if group:
+        yield numbers, group
 
 
-def _gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _gram_counts(parts: list[Part]) -> tuple[np.ndarray, np.ndarray]:
     codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in pieces(texts):
-        c, n = np.unique(framed(texts[a:b])[0], return_counts=True)
+    for _, group in pieces(parts):
+        c, n = np.unique(framed(group)[0], return_counts=True)
         codes.append(c)
         counts.append(n)
     return _summed(np.concatenate(codes), np.concatenate(counts))
@@ -91,15 +124,18 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _encoded(texts: list[str | None]) -> list[bytes]:
-    return [(t or "").encode("utf-8", "replace") for t in texts]
+def _encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
 
 
 def batch_rows(docs: DataFrame) -> DataFrame:
     """Rows (kind, batch, id, text, held, key, pos, n): documents, and the words and grams of each batch.
 
     ``docs``: id, text, held.  n: occurrences in the batch's training texts.  pos: a
-    word's place among the sorted words of the batch, or a gram's code.
+    word's place among the sorted words of the batch, or a gram's code.  A document
+    longer than a batch stands in several rows, with the bytes before each as key, the
+    text's number as pos, and n = 1 in the last; these are null for others.  batch: the
+    task's number, shifted left by 32, and the batch's own in its task.
     """
     schema = T.StructType(
         [
@@ -115,37 +151,49 @@ def batch_rows(docs: DataFrame) -> DataFrame:
             [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in arrow], schema=arrow
         )
 
+    def batch(number: int, docs: dict, parts: list[Part], held: list[bool]) -> Iterator[pa.RecordBatch]:
+        same = lambda value, n, kind: pa.array(np.full(n, value), kind)
+        yield table(len(parts), kind=same(_DOC, len(parts), pa.int32()), batch=same(number, len(parts), pa.int64()), **docs)
+        counts: dict[bytes, int] = {}
+        for p, h in zip(parts, held):
+            step = 0 if h else 1
+            for w in words_of(p.body):
+                counts[w] = counts.get(w, 0) + step
+        words = sorted(counts)
+        yield table(
+            len(words), kind=same(_WORD, len(words), pa.int32()), batch=same(number, len(words), pa.int64()),
+            key=pa.array(words, pa.binary()), pos=pa.array(np.arange(len(words))), n=pa.array([counts[w] for w in words], pa.int64()),
+        )
+        learned, times = _gram_counts([p for p, h in zip(parts, held) if not h])
+        others, _ = _gram_counts([p for p, h in zip(parts, held) if h])
+        codes, times = _summed(np.concatenate([learned, others]), np.concatenate([times, np.zeros(len(others), np.int64)]))
+        yield table(
+            len(codes), kind=same(_GRAM, len(codes), pa.int32()), batch=same(number, len(codes), pa.int64()),
+            pos=pa.array(codes), n=pa.array(times),
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         number = TaskContext.get().partitionId() << 32
         for given in batches:
-            for part in slices(given, "text", BATCH_BYTES):
-                size = part.num_rows
-                same = lambda value, n, kind: pa.array(np.full(n, value), kind)
-                yield table(
-                    size, kind=same(_DOC, size, pa.int32()), batch=same(number, size, pa.int64()),
-                    id=part.column("id"), text=part.column("text"), held=part.column("held"),
-                )
-                texts = _encoded(part.column("text").to_pylist())
-                held = part.column("held").to_pylist()
-                train = [t for t, h in zip(texts, held) if not h]
-                counts: dict[bytes, int] = {}
-                for t, h in zip(texts, held):
-                    step = 0 if h else 1
-                    for w in words_of(t):
-                        counts[w] = counts.get(w, 0) + step
-                words = sorted(counts)
-                yield table(
-                    len(words), kind=same(_WORD, len(words), pa.int32()), batch=same(number, len(words), pa.int64()),
-                    key=pa.array(words, pa.binary()), pos=pa.array(np.arange(len(words))), n=pa.array([counts[w] for w in words], pa.int64()),
-                )
-                learned, times = _gram_counts(train)
-                others, _ = _gram_counts([t for t, h in zip(texts, held) if h])
-                codes, times = _summed(np.concatenate([learned, others]), np.concatenate([times, np.zeros(len(others), np.int64)]))
-                yield table(
-                    len(codes), kind=same(_GRAM, len(codes), pa.int32()), batch=same(number, len(codes), pa.int64()),
-                    pos=pa.array(codes), n=pa.array(times),
-                )
-                number += 1
+            for some in slices(given, "text", BATCH_BYTES):
+                held = some.column("held").to_pylist()
+                texts = some.column("text").to_pylist()
+                stretches = list(cut(Part(_encoded(texts[0])), BATCH_BYTES, True)) if len(texts) == 1 else []
+                if len(stretches) < 2:
+                    docs = {"id": some.column("id"), "text": some.column("text"), "held": some.column("held")}
+                    yield from batch(number, docs, [Part(_encoded(t)) for t in texts], held)
+                    number += 1
+                    continue
+                whole = number
+                for p in stretches:
+                    docs = {
+                        "id": some.column("id"), "text": pa.array([p.body.decode("utf-8")]), "held": some.column("held"),
+                        "key": pa.array([p.before], pa.binary()), "pos": pa.array([whole]), "n": pa.array([int(p.last)]),
+                    }
+                    yield from batch(number, docs, [p], held)
+                    number += 1
+        give_back()
 
     return docs.select("id", "text", "held").mapInArrow(run, schema)
 
@@ -224,6 +272,7 @@ class Lookup:
 
 def _score_batch(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
+        release()
         pos, value = keys.column("pos").to_numpy(), keys.column("value").to_numpy()
         is_word = pos >= 0
         seen = np.zeros(int(is_word.sum()))
@@ -232,40 +281,59 @@ def _score_batch(schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
         lookup = Lookup(-1 - pos[~is_word], value[~is_word])
         logs = np.log10(seen + 0.1)
         del keys, pos, value, is_word
-        column = docs.column("text")
+        texts, before, last = (docs.column(c) for c in ("text", "before", "last"))
+
+        def parts(a: int, b: int) -> list[Part]:
+            rows = zip(*(c[a:b].to_pylist() for c in (texts, before, last)))
+            return [Part(_encoded(t), _EDGES if p is None else p, n != 0) for t, p, n in rows]
+
         # The texts are held once, as Arrow has them; a piece of them at a time becomes Python objects.
-        parts = [(a, min(a + _PIECE_DOCS, len(column))) for a in range(0, len(column), _PIECE_DOCS)]
+        ranges = [(a, min(a + _PIECE_DOCS, len(texts))) for a in range(0, len(texts), _PIECE_DOCS)]
         known: set[bytes] = set()
-        for a, b in parts:
-            for text in _encoded(column[a:b].to_pylist()):
-                known.update(words_of(text))
+        for a, b in ranges:
+            for p in parts(a, b):
+                known.update(words_of(p.body))
         place = {w: i for i, w in enumerate(sorted(known))}
         del known
         n_tokens, n_known, word_logs, scores = [], [], [], []
-        for first, last in parts:
-            texts = _encoded(column[first:last].to_pylist())
-            for text in texts:
-                words = words_of(text)
+        for first, stop in ranges:
+            some = parts(first, stop)
+            for p in some:
+                words = words_of(p.body)
                 at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-                n_tokens.append(len(words) + 1)
+                n_tokens.append(len(words) + p.last)
                 n_known.append(int((seen[at] > 0).sum()))
                 word_logs.append(float(logs[at].sum()))
-            for a, b in pieces(texts):
-                codes, begins = framed(texts[a:b])
-                scores.append(np.add.reduceat(lookup(codes), begins))
+            own = np.zeros(len(some))
+            for numbers, group in pieces(some):
+                codes, begins = framed(group)
+                np.add.at(own, numbers, np.add.reduceat(lookup(codes), begins))
+            scores.append(own)
         held = docs.column("held").to_pylist()
         train = [0 if h else n for h, n in zip(held, n_tokens)]
         new_words = np.zeros(len(held), np.int64)
         new_words[0] = new
         columns = [
-            docs.column("id").combine_chunks(), docs.column("held").combine_chunks(), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-            pa.array(word_logs, pa.float64()), pa.array(np.concatenate(scores), pa.float64()), pa.array(train, pa.int64()), pa.array(new_words, pa.int64()),
+            docs.column("id").combine_chunks(), docs.column("held").combine_chunks(), docs.column("whole").combine_chunks(),
+            pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(word_logs, pa.float64()), pa.array(np.concatenate(scores), pa.float64()),
+            pa.array(train, pa.int64()), pa.array(new_words, pa.int64()), pa.array([int(n != 0) for n in last.to_pylist()], pa.int64()),
         ]
         return pa.Table.from_arrays(columns, schema=schema)
 
     return run
 
 
+def _dealt(batch: Column, rows: DataFrame) -> tuple[Column, int]:
+    """(scoring task of each batch, number of tasks): the batches of a task of the first step go to tasks of their own, in turn."""
+    own = F.col("batch").bitwiseAND(F.lit((1 << 32) - 1))
+    last = rows.where(F.col("kind") == _DOC).agg(F.max(F.shiftright("batch", 32)).alias("task"), F.max(own).alias("own")).first()
+    tasks, most = (last["task"] or 0) + 1, (last["own"] or 0) + 1
+    each = -(-most // _TASK_BATCHES)
+    count = min(tasks * each, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = F.shiftright(batch, 32) * each + F.pmod(batch.bitwiseAND(F.lit((1 << 32) - 1)), F.lit(each))
+    return F.pmod(number, F.lit(count)).cast("int"), count
+
+
 def language_model_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -273,7 +341,9 @@ def language_model_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id"
     nothing.  score: log10 probability of the whole text and its end under the byte
     model.  base_score: the same under smoothed word counts, A-Z lower-cased.  A null
     or empty text is its end alone.  Without training rows all counts are zero and
-    bytes are equally likely.  Repeated rows are each learned from and each scored.
+    bytes are equally likely.  Repeated rows are each learned from and each scored.  A
+    text longer than ``BATCH_BYTES`` goes in parts, so only its bytes are ever held
+    whole; a single longer word stays in one part.  An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "ppm")
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held"))
@@ -285,25 +355,31 @@ def language_model_scores(docs: DataFrame, held_out: str, id_col: str = "doc_id"
     same = Window.partitionBy("key")
     once = F.when(F.col("batch") == F.min("batch").over(same), 0.5).otherwise(0.0)
     by_word = rows.where(F.col("kind") == _WORD).select("batch", "pos", (F.sum("n").over(same) + once).alias("value"))
+    numbers = ("n_tokens", "n_known", "word_logs", "score", "train", "new_words", "ends")
     schema = T.StructType(
         [
-            T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
-            T.StructField("n_known", T.LongType()), T.StructField("word_logs", T.DoubleType()), T.StructField("score", T.DoubleType()),
-            T.StructField("train", T.LongType()), T.StructField("new_words", T.LongType()),
+            T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("whole", T.LongType()),
+            *[T.StructField(n, T.DoubleType() if n in ("word_logs", "score") else T.LongType()) for n in numbers],
         ]
     )
-    texts = rows.where(F.col("kind") == _DOC).select(F.col("batch").alias("of_batch"), "id", "text", "held")
-    scored = texts.groupBy("of_batch").cogroup(by_word.union(by_gram).groupBy("batch")).applyInArrow(_score_batch(to_arrow_schema(schema)), schema)
-    scored = scratch.table(scored, "scores")
+    texts = rows.where(F.col("kind") == _DOC).select("batch", "id", "text", "held", F.col("key").alias("before"), F.col("pos").alias("whole"), F.col("n").alias("last"))
+    slot, count = _dealt(F.col("batch"), rows)
+    texts = texts.select(slot.alias("of_slot"), F.col("batch").alias("of_batch"), *texts.columns[1:])
+    left = texts.repartitionById(count, F.col("of_slot")).groupBy("of_slot", "of_batch")
+    right = by_word.union(by_gram).withColumn("slot", slot).repartitionById(count, F.col("slot")).groupBy("slot", "batch")
+    scored = scratch.table(left.cogroup(right).applyInArrow(_score_batch(to_arrow_schema(schema)), schema), "scores")
+    scratch.keep_only(scored)
     sums = scored.agg(
         F.coalesce(F.sum("train"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("new_words"), F.lit(0)).alias("words"),
-        F.count(F.when(~F.col("held_out"), 1)).alias("ends"),
+        F.count(F.when(~F.col("held_out") & (F.col("ends") == 1), 1)).alias("ends"),
     ).first()
     tokens, ends = sums["tokens"], sums["ends"]
     kinds = sums["words"] + (ends > 0)
     norm = F.lit(tokens + 0.1 * (kinds + 1))
+    parts = scored.where("whole is not null").groupBy("whole").agg(F.first("id").alias("id"), F.first("held_out").alias("held_out"), *[F.sum(n).alias(n) for n in numbers])
+    whole = scored.where("whole is null").drop("whole").unionByName(parts.drop("whole"))
     base = F.col("word_logs") + F.log10(F.lit(ends + 0.1)) - F.col("n_tokens") * F.log10(norm)
-    return scored.select(
+    return whole.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score",
     )

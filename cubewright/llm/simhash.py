@@ -158,7 +158,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = scratch.table(rooted.join(named, "root").select("fp", "component_id"), "labels")
-    scratch.drop(groups)
+    scratch.keep_only(hashed, label)
     return hashed.join(label, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -191,5 +191,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .select(F.col("first.row").alias("row"))
     )
     dropped = scratch.table(rows.select("row").join(kept, "row", "left_anti"), "dropped")
-    scratch.drop(groups)
+    scratch.keep_only(rows, dropped)
     return without_rows(rows, dropped, "row").select(*[F.col(n).alias(c) for n, c in zip(names, columns)])

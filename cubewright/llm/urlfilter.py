@@ -81,7 +81,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int
     hosts = start.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
     kinds = F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind")
     state = hosts.select("host", kinds).join(start, ["host", "kind"], "left").select("host", "kind", F.coalesce("seed", F.lit(0.0)).alias("seed"))
-    state = scratch.table(state.withColumn("score", F.col("seed")), "state")
+    held = state = scratch.table(state.withColumn("score", F.col("seed")), "state")
     for _ in range(rounds):
         sent = state.join(steps, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         score = (1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("got", F.lit(0.0))
@@ -89,9 +89,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int
             state.join(sent, ["kind", "host"], "left").select("host", "kind", "seed", score.alias("score"), F.abs(score - F.col("score")).alias("change")), "state"
         )
         moves = following.where(F.col("change") > TOLERANCE * F.col("score")).limit(1).count() > 0
-        scratch.drop(state)
-        state = following.drop("change")
-        state._scratch_path = following._scratch_path
+        scratch.drop(held)
+        held, state = following, following.drop("change")
         if not moves:
             break
     else:
@@ -131,9 +130,10 @@ def judge_urls(
         placed.where("host <> ''").groupBy("host")
         .agg(F.avg((F.coalesce("action", F.lit("")) == "allow").cast("double")).alias("trust"), F.avg((F.coalesce("action", F.lit("")) == "block").cast("double")).alias("distrust"))
     )
-    scores = propagate(scratch.table(seeds, "seeds"), edges, scratch)
+    scores = scratch.table(propagate(scratch.table(seeds, "seeds"), edges, scratch), "scores")
+    scratch.keep_only(placed, scores)
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     judged = F.when(distrust > threshold * (trust + distrust), "block").otherwise("allow")
-    return placed.join(scratch.table(scores, "scores"), "host", "left").select(
+    return placed.join(scores, "host", "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", judged).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
     )

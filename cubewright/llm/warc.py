@@ -272,4 +272,5 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     path = scratch.path("archives")
     write_warc(pages, path, id_col, url_col, payload_col)
     records = scratch.table(read_warc(pages.sparkSession, path, with_payload), "records")
+    scratch.delete(path)
     return assemble(records, pages.schema[id_col].dataType)

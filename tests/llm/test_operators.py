@@ -61,6 +61,36 @@ def test_links_spread_trust_and_distrust(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string, html string"), queries.RULES).count() == 0
 
 
+def test_rules_by_the_thousand_are_those_of_a_loop(spark):
+    from cubewright.llm.scratch import Scratch
+
+    rng = random.Random(9)
+    names = ["org", "com", "a.com", "b.a.com", "x.org", "net", "y.net", "z.y.net"]
+    rules = sorted({rng.choice(names) + "/" + "".join(rng.choices("ab/", k=rng.randrange(5))) for _ in range(2000)} | {"com", "z.y.net"})
+    rules = [(rng.choice(["allow", "block"]), r) for r in rules]
+    places = [(rng.choice(["", "q.", "b.", "xa."]) + rng.choice(names), "/" + "".join(rng.choices("ab/", k=rng.randrange(7)))) for _ in range(300)] + [("a..com", "/"), ("com", "")]
+    want = {}
+    for host, path in places:
+        fit = [(len(r), len(n), r, a) for a, r in rules for n, s, rest in [r.partition("/")] if (host == n or host.endswith("." + n)) and path.startswith(s + rest)]
+        if fit:
+            want[host, path] = max(fit)[2:]
+    frame = spark.createDataFrame(places * 2, "host string, path string")
+    for given in (rules, spark.createDataFrame(rules, "action string, rule string")):
+        got = urlfilter.matching_rules(frame, given, Scratch(spark, "t")).collect()
+        assert len(got) == len(want) and {(r.host, r.path): (r.rule, r.action) for r in got} == want
+
+
+def test_a_hub_of_links_and_clashing_columns(spark):
+    links = "".join(f"<a href='http://h{i}.net/'>" for i in range(300))
+    rows = [(i, f"http://h{i}.net/{'p' * 20_000 if i == 7 else ''}", '<a href="http://hub.info/">' * (1 + i % 3)) for i in range(300)]
+    rows += [(300, "http://hub.info/", links), (301, "http://seed.org/", "<a href='http://h1.net/'>" + " " * 100_000), (302, "http://x.com/de/", ""), (303, "http://h9.net/", "<a href=//x.com>")]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit(1)).withColumn("action", F.lit(1))
+    got = {r.page_id: r for r in urlfilter.judge_urls(given, queries.RULES).collect()}
+    assert len(got) == len(rows) and got[300].trust > got[2].trust > 0 and got[1].trust > got[2].trust
+    assert got[9].distrust > got[2].distrust > 0 and got[9].distrust == got[303].distrust and len(got[7].path) == 20_001
+    assert got[301].verdict == "allow" and got[302].verdict == "block"
+
+
 def test_propagation_is_pagerank(spark):
     from cubewright.llm.scratch import Scratch
 
@@ -115,6 +145,18 @@ def test_simhash_components(spark, docs, hard):
     assert simhash.simhash_groups(given.where("false")).count() == 0
 
 
+def test_the_tally_decides_what_is_verified(spark):
+    from cubewright.llm.scratch import Scratch
+
+    base = 0x1122334455667788
+    prints = [base, base ^ 1, base ^ 0x0101, base ^ 0x010101, base ^ 0x7F7F, base ^ 0x01010101]
+    lists = simhash.shared_lists(spark.createDataFrame([(p,) for p in prints], "fp long"), Scratch(spark, "t"))
+    met = {(r.a, r.b): r.meetings for r in simhash.candidates(lists).collect()}
+    shared = {(a, b): sum(a >> 8 * k & 255 == b >> 8 * k & 255 for k in range(8)) for a in prints for b in prints if a < b}
+    assert met == {p: math.comb(n, 5) for p, n in shared.items() if n >= 6}
+    assert {p for p, n in shared.items() if n == 5} - met.keys()  # these meet too, in one list
+
+
 def test_long_posting_lists_lose_no_link(spark, monkeypatch):
     from cubewright.llm.scratch import Scratch
 
@@ -157,6 +199,26 @@ def test_ppm_is_that_of_dictionaries(spark, docs, hard, monkeypatch):
     assert np.allclose([x[4:] for x in left], [x[4:] for x in right], atol=1e-6)
 
 
+def test_ppm_of_texts_longer_than_a_batch(spark, docs, monkeypatch):
+    monkeypatch.setattr(ppm, "BATCH_BYTES", 400)
+    extra = spark.createDataFrame([(5000, "é" * 700 + " tail é"), (5001, "short"), (5002, "ab cd " * 200), (5002, "ab cd " * 200), (None, " " * 900)], DOCS)
+    given = docs.where("doc_id < 9").select("doc_id", F.substring("text", 1, 1500).alias("text")).union(extra).withColumn("held", F.coalesce(F.col("doc_id"), F.lit(0)) % 4 == 1)
+    rows = given.collect()
+    want = sorted([(repr(r.doc_id), *w) for r, w in zip(rows, brute.ppm([(r.doc_id, r.text) for r in rows], [r.held for r in rows]))])
+    got = sorted((repr(g.doc_id), *(g[c] for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))) for g in ppm.language_model_scores(given, "held").collect())
+    assert [x[:4] for x in got] == [x[:4] for x in want]
+    assert np.allclose([x[4:] for x in got], [x[4:] for x in want], atol=1e-6)
+
+
+def test_ppm_grams_of_cut_parts_are_those_of_the_whole():
+    parts = [ppm.Part(t.encode()) for t in ("", "a", "words and more words " * 9, "é" * 50)]
+    whole = ppm.framed(parts)[0].tolist()
+    for limit in (1, 3, 7, 100):
+        groups = list(ppm.pieces(parts, limit))
+        assert [c for _, g in groups for c in ppm.framed(g)[0].tolist()] == whole
+        assert [n for numbers, _ in groups for n in numbers] == sorted(n for numbers, _ in groups for n in numbers)
+
+
 def test_ppm_without_rows_or_training(spark, hard):
     assert ppm.language_model_scores(hard.where("false").withColumn("held", F.lit(True)), "held").count() == 0
     row = ppm.language_model_scores(hard.where("doc_id = 1001").withColumn("held", F.lit(True)), "held").first()
@@ -193,6 +255,23 @@ def test_winnowing_without_broadcast(spark, docs, monkeypatch):
     assert_same(queries.op4_winnowing(spark, SF_DIR), connect(), queries.OP4_SQL)
 
 
+def test_spans_are_cut_around_true_hits_alone(spark, docs, monkeypatch):
+    from cubewright.llm.scratch import Scratch
+
+    bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    spans = {}
+    for bits in (1 << 14, 64):  # 64 bits: the set lets nearly all hashes pass
+        monkeypatch.setattr(decontam, "MIN_BITS", bits)
+        monkeypatch.setattr(decontam, "MAX_BITS", bits)
+        scratch = Scratch(spark, "t")
+        index = decontam.Benchmark(bench, scratch, "item_id", "text")
+        rows, hits, _ = decontam._matches(docs, index, scratch, "text", ["doc_id"])
+        marks = rows.agg(F.sum(F.size("marks"))).first()[0]
+        spans[bits] = (decontam.spans_around(decontam.fingerprint_hits(rows, index)).count(), hits.count())
+        assert bits > 64 or marks > 0.15 * rows.agg(F.sum("n_words")).first()[0]
+    assert spans[64] == spans[1 << 14] and spans[64][0] < 20 * spans[64][1] + 2000
+
+
 # 5 ------------------------------------------------------------------------------
 
 
@@ -390,6 +469,22 @@ def test_archives_give_back_what_was_written(spark, tmp_path):
     assert warc.archived_pages(pages.where("false")).count() == 0
 
 
+def test_archives_are_bounded_by_bytes_and_clashing_columns_do_no_harm(spark, tmp_path):
+    rng = random.Random(4)
+    long = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=150_000)) for _ in range(40)]
+    rows = [(i, f"http://h/{i}", t) for i, t in enumerate([*long, long[3], "x" * 3_000_000])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).withColumn("sha1", F.lit("clash")).withColumn("bytes", F.lit(1)).withColumn("id", F.lit(2))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        warc.write_warc(pages, str(tmp_path / "w"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) > 3 and max(sizes) < 2_500_000 < sum(sizes)
+    got = {r.id: r for r in warc.assemble(warc.read_warc(spark, str(tmp_path / "w"))).collect()}
+    assert len(got) == 42 and got[3].response.type == "revisit" and got[3].refers_to_id == 40 and got[41].response.payload_bytes == 3_000_000
+
+
 def test_reader_takes_plain_files_and_many_members():
     import gzip
 
@@ -433,6 +528,40 @@ def test_encoding_is_the_library_s(library):
         assert np.frombuffer(i, "<u4").tolist() == want and d == library.decode(want, skip_special_tokens=False)
 
 
+def test_vocabularies_with_white_space_in_tokens_are_refused():
+    for build in (tokencount.ResyncCounter, SegmentTreeBPE):
+        with pytest.raises(ValueError):
+            build(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_small_caches_and_windows_change_nothing(library, monkeypatch):
+    from cubewright.llm import bpe, pieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [*_texts(), "long text of words " * 40_000, "é" + "z" * 300_000 + " end"]
+    coder = SegmentTreeBPE(path, 2000)
+    monkeypatch.setattr(bpe, "_GROUP_CHARS", 3000)
+    monkeypatch.setattr(bpe, "windows", lambda text: pieces.windows(text, 50))
+    want = SegmentTreeBPE(path).encode_texts(texts)
+    assert coder.encode_texts(texts) == want
+    assert np.frombuffer(want[0][-2], "<u4").tolist() == library.encode(texts[-2], add_special_tokens=False).ids
+
+
+def test_query_of_op10_against_the_library(spark, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    for r in queries.op10_bpe(spark, SF_DIR).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False).encode()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+
+
+def test_query_of_op9_against_the_library(spark, library):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    for r in queries.op9_token_counts(spark, SF_DIR).collect():
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
+
+
 def test_token_frames(spark, hard):
     path = public_tokenizers.path("word_bpe_49k.json")
     given = hard.withColumn("n_tokens", F.lit("clash")).withColumn("decoded", F.lit("clash"))
