@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import calendar
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNITS = ("second", "minute", "hour", "day", "month", "quarter", "year")
@@ -24,6 +27,15 @@ def day(value: Column) -> Column:
     return F.day(as_timestamp(value))
 
 
+def calendar_table(spark: SparkSession, first: dt.date | None, last: dt.date | None) -> DataFrame:
+    """A row for each day: date, year, quarter, month; none if there is no first or last day."""
+    days = (last - first).days + 1 if first is not None and last is not None else 0
+    day = (F.lit(first or dt.date(1970, 1, 1)) + F.col("id").cast("int")).alias("date")
+    return spark.range(0, days, 1, 1).select(day).select(
+        F.col("date").cast("timestamp_ntz").alias("date"), F.year("date").alias("year"), F.quarter("date").alias("quarter"), F.month("date").alias("month")
+    )
+
+
 def boundaries(start: Column, end: Column, unit: str) -> Column:
     """Boundaries of ``unit`` between two moments: 31 January to 1 February is one month.
 
@@ -61,3 +73,25 @@ def shifted(value: Column, count: int, unit: str) -> Column:
     name, times = scale[unit]
     parts = {"DAY": {"days": F.lit(count * times)}, "MONTH": {"months": F.lit(count * times)}}[name]
     return as_timestamp(value) + F.make_interval(**parts)
+
+
+# One moment on the driver: the ends of a period.
+
+
+def period_start(moment: dt.datetime, period: str) -> dt.datetime:
+    """The first moment of the year, quarter or month of a moment."""
+    months = {"year": 1, "quarter": moment.month - (moment.month - 1) % 3, "month": moment.month}
+    if period not in months:
+        raise ValueError(f"no period {period!r}")
+    return dt.datetime(moment.year, months[period], 1)
+
+
+def moved(moment: dt.datetime, count: int, unit: str) -> dt.datetime:
+    """What :func:`shifted` gives, for one moment."""
+    unit = unit.lower()
+    if unit == "day":
+        return moment + dt.timedelta(days=count)
+    if unit not in ("month", "quarter", "year"):
+        raise ValueError(f"no shift by {unit!r}")
+    years, month = divmod(moment.year * 12 + moment.month - 1 + count * {"month": 1, "quarter": 3, "year": 12}[unit], 12)
+    return moment.replace(year=years, month=month + 1, day=min(moment.day, calendar.monthrange(years, month + 1)[1]))

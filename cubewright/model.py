@@ -9,11 +9,12 @@ refused, as is whatever the model doesn't know: nothing is guessed.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,9 +60,44 @@ class Step:
     lookup: bool  # the source's column is unique
 
 
+def derived(df: DataFrame, columns: Mapping[str, Column | Callable[[], Column]]) -> DataFrame:
+    """A table with calculated columns, each a row formula over its columns and the calculated ones before it."""
+    for name, formula in columns.items():
+        if name.casefold() in {c.casefold() for c in df.columns}:
+            raise Refused(f"there is a column {name!r} already")
+        try:
+            df = df.withColumn(name, formula if isinstance(formula, Column) else formula())
+        except AnalysisException as e:
+            raise Refused(f"{name!r} can't be calculated: {str(e).splitlines()[0]}") from None
+    return df
+
+
+class OpenedWhenNamed(Mapping[str, DataFrame]):
+    """Tables that are opened when they are first asked for, so that a measure opens no table beside its own."""
+
+    def __init__(self, openers: Mapping[str, Callable[[], DataFrame]]):
+        self.openers = dict(openers)
+        self.opened: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.opened:
+            self.opened[name] = self.openers[name]()
+        return self.opened[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.openers)
+
+    def __len__(self) -> int:
+        return len(self.openers)
+
+
 @dataclass
 class Model:
-    """Tables (as DataFrames), relationships and the calendar's date column."""
+    """Tables (as DataFrames), relationships and the calendar's date column.
+
+    Tables and columns of relationships are checked here, the columns of tables that are
+    yet to be opened when a filter first takes the relationship.
+    """
 
     tables: Mapping[str, DataFrame]
     relationships: Iterable[Relationship] = ()
@@ -72,8 +108,9 @@ class Model:
         self.relationships = tuple(self.relationships)
         self._names = {name.casefold(): name for name in self.tables}
         for r in self.relationships:
-            self.column(r.from_table, r.from_column)
-            self.column(r.to_table, r.to_column)
+            for table, column in ((r.from_table, r.from_column), (r.to_table, r.to_column)):
+                if self.name(table) in getattr(self.tables, "opened", self.tables):
+                    self.column(table, column)
 
     def table(self, name: str) -> DataFrame:
         return self.tables[self.name(name)]
@@ -130,6 +167,9 @@ class Model:
         walk(source, [], {source})
         if len(found) > 1:
             raise Refused(f"a filter on {source} reaches {target} by {len(found)} routes")
+        for s in found[0] if found else ():
+            self.column(s.source, s.source_column)
+            self.column(s.table, s.column)
         return found[0] if found else None
 
     def lookup_route(self, table: str, other: str) -> list[Step]:
@@ -143,20 +183,31 @@ class Model:
         """Adds ``other__column`` for each (other, column): the value in the row's related row, null without one.
 
         Every hop is a left join on a unique key, so rows are neither lost nor multiplied.
+        Tables that several routes pass are joined once, and distant tables are joined to
+        nearer ones first: ``df`` itself meets each neighbour of its table once.
         """
         wanted: dict[str, set[str]] = {}
+        hops: dict[str, dict[str, Step]] = {}  # table -> next tables outward, by the step that leads back
         for other, column in columns:
-            wanted.setdefault(self.name(other), set()).add(self.column(other, column))
-        for other in sorted(wanted):
-            route = self.lookup_route(table, other)
-            found = self.table(other).select(
-                F.col(route[0].source_column).alias("__key"), *[F.col(c).alias(f"{other}__{c}") for c in sorted(wanted[other])]
-            )
-            for here, after in zip(route, route[1:]):
-                bridge = self.table(here.table).select(F.col(here.column).alias("__via"), F.col(after.source_column).alias("__next"))
-                found = bridge.join(found, F.col("__via") == F.col("__key"), "left").drop("__via", "__key").withColumnRenamed("__next", "__key")
-            df = df.join(found, F.col(route[-1].column) == F.col("__key"), "left").drop("__key")
-        return df
+            other = self.name(other)
+            wanted.setdefault(other, set()).add(self.column(other, column))
+            for s in self.lookup_route(table, other):
+                hops.setdefault(s.table, {})[s.source] = s
+
+        def outward(rows: DataFrame, at: str, named: str) -> DataFrame:
+            """``rows`` of table ``at``, whose columns that hops need are called ``named`` and their name, with all that lies beyond."""
+            for source, step in sorted(hops.get(at, {}).items()):
+                key, own = f"__{source}", f"__{source}_"
+                needed = sorted({s.column for s in hops.get(source, {}).values()})
+                found = self.table(source).select(
+                    F.col(step.source_column).alias(key), *[F.col(c).alias(own + c) for c in needed],
+                    *[F.col(c).alias(f"{source}__{c}") for c in sorted(wanted.get(source, ()))],
+                )
+                found = outward(found, source, own).drop(*[own + c for c in needed])
+                rows = rows.join(found, F.col(named + step.column) == F.col(key), "left").drop(key)
+            return rows
+
+        return outward(df, self.name(table), "")
 
     def keys_after(self, source: str, target: str, filtered: DataFrame) -> tuple[str, DataFrame] | None:
         """(column of ``target``, distinct ``key`` values) that ``filtered`` rows of ``source`` leave; None where the filter doesn't reach."""

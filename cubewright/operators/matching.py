@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import normal_column, normal_table
+from ..functions.names import column_concepts, column_words, normal_column, normal_table
 
 # Endings of key columns.
 KEY_ENDINGS = ("key", "id", "no", "code")
 LEAST_ENDING, MOST_JOINS = 4, 60
+# How sure each way of matching two column names is, the surest first.
+TIERS = (("exact", 1.0), ("case", 0.99), ("normalised", 0.97), ("tokens", 0.96), ("tokens-reordered", 0.93), ("synonym", 0.91))
+FUZZY, FUZZY_TOP, REVIEW = 0.86, 0.88, 0.70
 
 
 def _key_like(column):
@@ -28,11 +34,13 @@ def infer_joins(columns: DataFrame, foreign_keys: DataFrame | None = None, most:
     targets = c.where((F.col("has_key") & F.col("is_primary_key")) | (~F.col("has_key") & _key_like(F.col("column")))).select(
         F.col("table").alias("to_table"), F.col("column").alias("to_column"), F.col("table_position").alias("tt"), F.col("position").alias("tp")
     )
+    ends = F.transform(F.sequence(F.lit(1), F.length("a") - F.lit(LEAST_ENDING) + 1), lambda i: F.substr("a", i))
     sources = c.where(_key_like(F.col("column"))).select(F.col("table").alias("from_table"), F.col("column").alias("from_column"), F.col("table_position").alias("ft"), F.col("position").alias("fp"))
-    a, b = F.lower("from_column"), F.lower("to_column")
-    meets = (F.lower("from_table") != F.lower("to_table")) & ((a == b) | ((F.length(b) >= LEAST_ENDING) & a.endswith(b)))
+    # The whole name, and each of its ends that is long enough: an equi-join finds all targets.
+    asked = sources.withColumn("a", F.lower("from_column")).withColumn("end", F.explode(F.array_distinct(F.concat(F.array("a"), F.when(F.length("a") >= LEAST_ENDING, ends).otherwise(F.array())))))
     first = Window.partitionBy("from_table", "from_column").orderBy("tt", "tp")
-    found = sources.join(targets, meets).withColumn("n", F.row_number().over(first)).where("n = 1")
+    met = asked.join(targets, (F.col("end") == F.lower("to_column")) & (F.lower("from_table") != F.lower("to_table")))
+    found = met.withColumn("n", F.row_number().over(first)).where("n = 1")
     hints = found.select("from_table", "from_column", "to_table", "to_column", F.lit(True).alias("inferred"), F.struct(F.lit(1).alias("r"), "ft", "fp").alias("at"))
     if foreign_keys is not None:
         declared = foreign_keys.select("from_table", "from_column", "to_table", "to_column", F.lit(False).alias("inferred"), F.struct(F.lit(0).alias("r"), F.lit(0).alias("ft"), F.lit(0).alias("fp")).alias("at"))
@@ -82,3 +90,127 @@ def relevant_tables(names: DataFrame, hints: DataFrame) -> DataFrame:
     ends = hints.select("from_table", "to_table").union(hints.select("to_table", "from_table")).toDF("table", "other")
     partners = ends.join(wanted, normal_table(F.col("table")) == F.col("k"), "left_semi").select(F.col("other").alias("table"))
     return names.select("table").union(partners).distinct()
+
+
+def similarities(model_columns: DataFrame, source_columns: DataFrame) -> DataFrame:
+    """table, column, source_column, confidence, method for every two columns of a model table and of its source table.
+
+    Both frames: table, column, with one name for both tables of a pair.  The first tier
+    of ``TIERS`` that holds decides; what no tier settles is compared letter by letter,
+    ``fuzzy`` where the ratio is high and ``unresolved`` elsewhere.
+    """
+
+    def forms(df: DataFrame, name: str) -> DataFrame:
+        text = F.coalesce(F.col("column"), F.lit(""))
+        out = df.select("table", text.alias(name)).distinct()
+        out = out.withColumns({f"{name}_bare": normal_column(F.col(name)), f"{name}_words": column_words(F.col(name))})
+        return out.withColumns({f"{name}_sorted": F.array_sort(f"{name}_words"), f"{name}_concepts": F.array_distinct(column_concepts(F.col(f"{name}_words")))})
+
+    pairs = forms(model_columns, "m").join(forms(source_columns, "s"), "table")
+    m, s = F.col("m"), F.col("s")
+    both = (F.size("m_words") > 0) & (F.size("s_words") > 0)
+    holds: dict[str, Column] = {
+        "exact": m == s, "case": F.lower(m) == F.lower(s), "normalised": (F.col("m_bare") != "") & (F.col("m_bare") == F.col("s_bare")),
+        "tokens": both & (F.col("m_words") == F.col("s_words")), "tokens-reordered": both & (F.col("m_sorted") == F.col("s_sorted")),
+        "synonym": both & (F.size("m_words") == F.size("s_words")) & (F.size(F.array_except("m_concepts", "s_concepts")) == 0),
+    }
+    tier = F.coalesce(*[F.when((m != "") & (s != "") & holds[name], F.struct(F.lit(sure).alias("confidence"), F.lit(name).alias("method"))) for name, sure in TIERS])
+    judged = pairs.withColumn("tier", tier)
+    settled = judged.where("tier is not null").select("table", "m", "s", "tier.confidence", "tier.method")
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)], dtype=float)
+
+    r = F.when((m != "") & (s != ""), F.col("r")).otherwise(0.0)
+    rest = judged.where("tier is null").withColumn("r", ratio("m_bare", "s_bare"))
+    rest = rest.select(
+        "table", "m", "s", F.round(F.when(r >= FUZZY, F.least(r, F.lit(FUZZY_TOP))).otherwise(r), 3).alias("confidence"), F.when(r >= FUZZY, "fuzzy").otherwise("unresolved").alias("method")
+    )
+    return settled.union(rest).withColumnsRenamed({"m": "column", "s": "source_column"})
+
+
+def recognised(pairs: DataFrame) -> DataFrame:
+    """Pairs of :func:`similarities` that count as matches."""
+    return pairs.where((F.col("method") != "unresolved") & (F.col("confidence") >= REVIEW))
+
+
+def assign_columns(pairs: DataFrame) -> DataFrame:
+    """table, column, source_column, confidence, method: within each table the strongest pairs first, no column twice.
+
+    pairs: as :func:`similarities` gives them.  Ties go to the first column, then source
+    column, by name.  One table's columns are assigned in one place.
+    """
+
+    def assign(table: pd.DataFrame) -> pd.DataFrame:
+        taken: tuple[set, set] = (set(), set())
+        kept = []
+        for row in table.sort_values(["confidence", "column", "source_column"], ascending=[False, True, True]).itertuples():
+            if row.column not in taken[0] and row.source_column not in taken[1]:
+                taken[0].add(row.column)
+                taken[1].add(row.source_column)
+                kept.append(row.Index)
+        return table.loc[kept]
+
+    columns = ("table", "column", "source_column", "confidence", "method")
+    return recognised(pairs).select(*columns).groupBy("table").applyInPandas(assign, "table string, column string, source_column string, confidence double, method string")
+
+
+def dataset_scores(model_columns: DataFrame, source_columns: DataFrame) -> DataFrame:
+    """table, dataset, column, confidence (null where unmatched) for every model table and dataset: what :func:`best_datasets` takes.
+
+    model_columns: table, column; source_columns: dataset, column.  Every two are scored,
+    so both are metadata: hundreds of tables.
+    """
+    names = source_columns.select("dataset").distinct().agg(F.collect_list("dataset").alias("all"))
+    asked = model_columns.join(F.broadcast(names)).select(F.col("table").alias("model"), "column", F.explode("all").alias("dataset"))  # one row of names
+    key = F.concat_ws("\u0000", "model", "dataset").alias("table")
+    left = asked.select(key, "column")
+    right = asked.select("model", "dataset").distinct().join(source_columns, "dataset").select(key, "column")
+    best = recognised(similarities(left, right)).groupBy("table", "column").agg(F.max("confidence").alias("confidence"))
+    return asked.withColumn("pair", key).join(best.withColumnsRenamed({"table": "pair"}), ["pair", "column"], "left").select(F.col("model").alias("table"), "dataset", "column", "confidence")
+
+
+def join_keys(wanted: DataFrame, hints: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+    """from_table, to_table, from_column, to_column of each wanted pair (from_table, to_table).
+
+    A hint in either direction comes first, then a key that the left table declares, then
+    one of the right table; of several the first by column names.  Pairs without any are absent.
+    hints, foreign_keys: from_table, from_column, to_table, to_column.
+    """
+    names = ("from_table", "to_table", "from_column", "to_column")
+
+    def ways(df: DataFrame, forth: int, back: int) -> DataFrame:
+        turned = df.select(F.col("to_table").alias("from_table"), F.col("from_table").alias("to_table"), F.col("to_column").alias("from_column"), F.col("from_column").alias("to_column"))
+        return df.select(*names, F.lit(forth).alias("rank")).union(turned.select(*names, F.lit(back).alias("rank")))
+
+    every = ways(hints, 0, 0).union(ways(foreign_keys, 1, 2))
+    first = Window.partitionBy("from_table", "to_table").orderBy("rank", "from_column", "to_column")
+    met = wanted.select("from_table", "to_table").distinct().join(every, ["from_table", "to_table"])
+    return met.withColumn("n", F.row_number().over(first)).where("n = 1").select(*names)
+
+
+def assemble_schema(tables: DataFrame, columns: DataFrame, primary_keys: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+    """table, kind, primary_keys, columns, foreign_keys of a database, from its four catalogue listings.
+
+    tables: schema, name, type; columns: schema, name, column, data_type, nullable,
+    position; primary_keys: schema, name, column; foreign_keys: constraint, schema, name,
+    column, ref_schema, ref_name, ref_column.  Columns of what isn't listed are left out.
+    """
+
+    def key(schema: str, name: str) -> Column:
+        return F.concat_ws(".", schema, name)
+
+    keys = primary_keys.select(key("schema", "name").alias("table"), "column").distinct()
+    flagged = columns.select(key("schema", "name").alias("table"), "column", "data_type", "nullable", "position").join(keys.withColumn("pk", F.lit(True)), ["table", "column"], "left")
+    held = flagged.groupBy("table").agg(
+        F.array_sort(F.collect_list(F.struct("position", "column", "data_type", (F.upper(F.col("nullable").cast("string")).isin("YES", "TRUE")).alias("nullable"), F.coalesce("pk", F.lit(False)).alias("is_primary_key")))).alias("columns")
+    )
+    links = foreign_keys.groupBy(key("schema", "name").alias("table")).agg(
+        F.array_sort(F.collect_list(F.struct("constraint", "column", key("ref_schema", "ref_name").alias("ref_table"), "ref_column"))).alias("foreign_keys")
+    )
+    named = keys.groupBy("table").agg(F.array_sort(F.collect_set("column")).alias("primary_keys"))
+    kind = F.when(F.upper("type") == "VIEW", "view").otherwise("table").alias("kind")
+    out = tables.select(key("schema", "name").alias("table"), kind).join(held, "table").join(named, "table", "left").join(links, "table", "left")
+    empty = F.array().cast("array<string>")
+    return out.select("table", "kind", F.coalesce("primary_keys", empty).alias("primary_keys"), "columns", F.coalesce("foreign_keys", F.filter("foreign_keys", lambda _: F.lit(False)), F.from_json(F.lit("[]"), out.schema["foreign_keys"].dataType)).alias("foreign_keys"))

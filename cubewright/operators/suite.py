@@ -97,7 +97,7 @@ def recent_runs(runs: DataFrame, most: int = 8) -> DataFrame:
 
 def trend(runs: DataFrame, most: int = 14) -> DataFrame:
     """The last runs, oldest first."""
-    return runs.orderBy(F.desc("generated_at"), "project_id").limit(most).orderBy("generated_at", "project_id")
+    return recent_runs(runs, most).orderBy("generated_at", "project_id")
 
 
 def last_runs(projects: DataFrame, runs: DataFrame) -> DataFrame:

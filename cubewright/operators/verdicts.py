@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.display import compare_display, parse_value
 
+#: Beginnings of scenario labels that stand for no filter.
+BASELINE_LABELS = ("all$", "all data", "model measures")
+
 
 def _status(passed: Column) -> Column:
     return F.when(passed, "PASS").otherwise("FAIL")

@@ -2,10 +2,15 @@
 
 Each measure falls apart into leaves: one aggregate under one context.  All leaves of a
 base table are answered by one scan of it, as conditional aggregates, whatever their
-contexts: a filter on another table becomes a flag that a left join on distinct keys
-brings in, so no row is lost or multiplied.  Distinct counts first group by the counted
+contexts: the filtered columns of related tables come in by one chain of left joins on
+unique keys, whatever the number of contexts, and each context is a predicate over them;
+a filter that comes up to the one side is a flag that a left join on distinct keys brings
+in.  No row is lost or multiplied.  Distinct counts first group by the counted
 value with a flag for each leaf and then count the flags, so many of them cost one
 shuffle and no copies of rows.  Results of several tables meet on the group columns.
+
+Dates that periods start from or end at are worked out before: those of all measures and
+all contexts in one aggregate, and a second only for periods within periods.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import as_timestamp, shifted
+from ..functions.dates import as_timestamp, moved, period_start
 from ..model import Model, Refused
 from . import measures as M
 
@@ -45,8 +50,9 @@ class Restriction:
     value: Any
     upper: Any = None
 
-    def predicate(self, schema: T.StructType) -> Column:
-        kind, c = schema[self.column].dataType, F.col(self.column)
+    def predicate(self, schema: T.StructType, name: str | None = None) -> Column:
+        """The condition over the column, or over one of another ``name`` that holds its values."""
+        kind, c = schema[self.column].dataType, F.col(name or self.column)
         if self.op == "between":
             return (as_timestamp(c) >= F.lit(self.value)) & (as_timestamp(c) <= F.lit(self.upper))
         value = F.lit(self.value)
@@ -54,6 +60,8 @@ class Restriction:
             c, value = as_timestamp(c), F.lit(self.value).cast("timestamp_ntz")
         elif isinstance(self.value, str) and not isinstance(kind, T.StringType):
             value = value.try_cast(kind)
+        elif isinstance(kind, T.StringType) and not isinstance(self.value, str):
+            value = F.lit(str(self.value))
         return _OPS[self.op](c, value)
 
 
@@ -66,6 +74,22 @@ class Leaf:
     context: Context
 
 
+@dataclass(frozen=True, eq=False)
+class Band:
+    """A group for each value of a row formula over ``table``; ``using``: related columns that it reads."""
+
+    table: str
+    formula: M.Formula
+    using: tuple[tuple[str, str], ...] = ()
+
+
+Group = tuple[str, str] | Band
+
+
+class _Unknown(Exception):
+    """A bound that is yet to be worked out."""
+
+
 class Evaluator:
     """Answers measures of one model.  ``named`` holds the measures that others may refer to."""
 
@@ -74,6 +98,8 @@ class Evaluator:
         self.named = dict(named or {})
         self._folded = {k.casefold(): v for k, v in self.named.items()}
         self._dates: dict[Context, tuple[Any, Any]] = {}
+        self._unknown: dict[Context, tuple[str, str]] = {}
+        self._checked: set[tuple[str, T.DataType]] = set()
 
     # Contexts -------------------------------------------------------------
 
@@ -84,11 +110,12 @@ class Evaluator:
         if f.op not in _OPS:
             raise Refused(f"unknown comparison {f.op!r}")
         kind = self.model.table(table).schema[column].dataType
-        if isinstance(f.value, str) and isinstance(kind, T.NumericType):
-            try:
-                float(f.value)
-            except ValueError:
-                raise Refused(f"{f.value!r} is no value of {table}[{column}]") from None
+        if isinstance(f.value, str) and not isinstance(kind, T.StringType) and (f.value, kind) not in self._checked:
+            # A row of literals: Spark folds it, so no job runs.
+            spark = self.model.table(table).sparkSession
+            if spark.sql("SELECT * FROM VALUES (1)").select(F.lit(f.value).try_cast(kind)).first()[0] is None:
+                raise Refused(f"{f.value!r} is no value of {table}[{column}]")
+            self._checked.add((f.value, kind))
         return Restriction(table, column, f.op, f.value)
 
     def _calendar(self) -> tuple[str, str]:
@@ -98,14 +125,31 @@ class Evaluator:
         return self.model.name(table), self.model.column(table, column)
 
     def _bounds(self, table: str, column: str, context: Context) -> tuple[Any, Any]:
-        """Least and greatest value of a column in a context: one row, of a dimension as a rule."""
+        """Least and greatest value of a column in a context; noted and raised as unknown before they are worked out."""
         key = (*context, Restriction(table, column, "bounds", None))
         if key not in self._dates:
-            low, high = (M.Aggregate(k, table, F.col(column)) for k in ("min", "max"))
-            row = self._leaves([Leaf(low, context), Leaf(high, context)], None, typed=True).first()
-            self._dates[key] = (row[0], row[1])
+            self._unknown[key] = (table, column)
+            raise _Unknown
         return self._dates[key]
 
+    def _expanded(self, cells: Sequence[tuple[M.Node, Context]]) -> tuple[list[Column], list[Leaf]]:
+        """Each measure as arithmetic over its leaves, and the leaves of all; unknown bounds are worked out in one job together."""
+        while True:
+            leaves: dict[Leaf, int] = {}
+            columns = []
+            for node, context in cells:
+                try:
+                    columns.append(self._expand(node, context, leaves, ()))
+                except _Unknown:
+                    pass
+            if not self._unknown:
+                return columns, list(leaves)
+            wanted, self._unknown = self._unknown, {}
+            ends = [Leaf(M.Aggregate(kind, table, column), key[:-1]) for key, (table, column) in wanted.items() for kind in ("min", "max")]
+            row = self._leaves(ends, None, typed=True).first()
+            for i, key in enumerate(wanted):
+                self._dates[key] = (row[2 * i], row[2 * i + 1])
+
     def change(self, context: Context, change: Any) -> Context | None:
         """The context after one change; None where no date is left to move, so that the measure is BLANK."""
         if isinstance(change, M.Is):
@@ -129,14 +173,13 @@ class Evaluator:
             low, high = self._bounds(table, column, context)
             if high is None:
                 return None
-            spark = self.model.table(table).sparkSession
-            if isinstance(change, M.ToDate):
-                if change.period not in ("year", "quarter", "month"):
-                    raise Refused(f"no period {change.period!r}")
-                start = spark.range(1).select(F.date_trunc(change.period, F.lit(high)).cast("timestamp_ntz")).first()[0]
-                return (*context, Restriction(table, column, "between", start, _moment(high)))
-            moved = spark.range(1).select(*[shifted(F.lit(v), change.count, change.unit) for v in (low, high)]).first()
-            return (*(r for r in context if r.table != table), Restriction(table, column, "between", moved[0], moved[1]))
+            try:
+                if isinstance(change, M.ToDate):
+                    return (*context, Restriction(table, column, "between", period_start(_moment(high), change.period), _moment(high)))
+                first, last = (moved(_moment(v), change.count, change.unit) for v in (low, high))
+            except ValueError as e:
+                raise Refused(str(e)) from None
+            return (*(r for r in context if r.table != table), Restriction(table, column, "between", first, last))
         raise Refused(f"unknown change of context {change!r}")
 
     # Measures -------------------------------------------------------------
@@ -172,14 +215,21 @@ class Evaluator:
             return {"+": lambda: left + right, "-": lambda: left - right, "*": lambda: left * right, "/": lambda: F.try_divide(left, right)}[node.op]()
         raise Refused(f"unknown measure {node!r}")
 
-    def _base(self, table: str, leaves: Sequence[Leaf], by: tuple[str, str] | Column | None) -> tuple[DataFrame, dict[Leaf, Column]]:
+    def _base(self, table: str, leaves: Sequence[Leaf], by: Group | None) -> tuple[DataFrame, dict[Leaf, Column]]:
         """The table with all columns its leaves need, and each leaf's condition."""
         model = self.model
         df = model.table(table)
         schema = df.schema
         related = {(t, c) for leaf in leaves for t, c in leaf.aggregate.related}
-        if isinstance(by, tuple) and model.name(by[0]) != table:
+        if isinstance(by, Band):
+            related.update(by.using)
+        elif by is not None and model.name(by[0]) != table:
             related.add(by)
+        lookups: dict[str, bool] = {}
+        for other in {r.table for leaf in leaves for r in leaf.context} - {table}:
+            route = model.route(other, table)
+            lookups[other] = route is not None and all(s.lookup for s in route)
+        related.update((r.table, r.column) for leaf in leaves for r in leaf.context if lookups.get(r.table))
         df = model.with_related(df, table, related)
         flags: dict[tuple[Restriction, ...], Column | None] = {}
 
@@ -187,9 +237,13 @@ class Evaluator:
             nonlocal df
             if group not in flags:
                 source = group[0].table
-                rows = model.table(source)
-                hit = reduce(Column.__and__, [r.predicate(rows.schema) for r in group])
-                found = model.keys_after(source, table, rows.where(hit))
+                kinds = model.table(source).schema
+                if lookups[source]:
+                    hits = [r.predicate(kinds, f"{source}__{r.column}") for r in group]
+                    flags[group] = F.coalesce(reduce(Column.__and__, hits), F.lit(False))
+                    return flags[group]
+                hit = reduce(Column.__and__, [r.predicate(kinds) for r in group])
+                found = model.keys_after(source, table, model.table(source).where(hit))
                 if found is None:
                     flags[group] = None
                 else:
@@ -218,7 +272,7 @@ class Evaluator:
             df = df.where(reduce(Column.__or__, conditions.values()))
         return df, {leaf: F.lit(True) if c is None else c for leaf, c in conditions.items()}
 
-    def _leaves(self, leaves: Sequence[Leaf], by: tuple[str, str] | None, typed: bool = False) -> DataFrame:
+    def _leaves(self, leaves: Sequence[Leaf], by: Group | None, typed: bool = False) -> DataFrame:
         """Columns ``l0``, ``l1`` and so on, in one row or one row for each value of ``by`` (column ``dim``)."""
         number = {leaf: i for i, leaf in enumerate(leaves)}
         groups: dict[tuple, list[Leaf]] = {}
@@ -261,45 +315,88 @@ class Evaluator:
             joined = joined.join(f, F.col("dim").eqNullSafe(F.col(f"__dim{i}")), "full").withColumn("dim", F.coalesce("dim", f"__dim{i}")).drop(f"__dim{i}")
         return joined.select("dim", *[F.col(f"l{i}") for i in range(len(leaves))])
 
-    def _dimension(self, table: str, by: tuple[str, str]) -> Column:
+    def _dimension(self, table: str, by: Group) -> Column:
+        if isinstance(by, Band):
+            if self.model.name(by.table) != table:
+                raise Refused(f"rows of {table} have no formula over rows of {by.table}")
+            return _column(by.formula)
         other = self.model.name(by[0])
         column = self.model.column(other, by[1])
         return F.col(column) if other == table else F.col(f"{other}__{column}")
 
-    def values(self, measures: Mapping[str, M.Node] | Sequence[str], filters: Sequence[M.Is] = (), by: tuple[str, str] | None = None) -> DataFrame:
-        """One row of measures, or one for each member of ``by`` = (table, column), as column ``dim``."""
+    def values(
+        self,
+        measures: Mapping[str, M.Node] | Sequence[str],
+        filters: Sequence[M.Is] = (),
+        by: Group | None = None,
+        order: str | Sequence[str] = (),
+        limit: int | None = None,
+    ) -> DataFrame:
+        """One row of measures, or one for each member of ``by`` as column ``dim``.
+
+        ``by`` is (table, column) or a :class:`Band`.  ``order`` names columns of the result,
+        a minus sign before one for the largest first; nulls are the least, and ``dim``
+        decides ties.  ``limit`` keeps the first so many rows of that order.
+        """
         wanted = measures if isinstance(measures, Mapping) else {m: M.Reference(m) for m in measures}
         context = tuple(self.restriction(f) for f in filters)
-        leaves: dict[Leaf, int] = {}
-        columns = {name: self._expand(node, context, leaves, ()) for name, node in wanted.items()}
-        out = self._leaves(list(leaves), by)
-        return out.select(*([] if by is None else ["dim"]), *[c.alias(n) for n, c in columns.items()])
+        columns, leaves = self._expanded([(node, context) for node in wanted.values()])
+        out = self._leaves(leaves, by).select(*([] if by is None else ["dim"]), *[c.alias(n) for n, c in zip(wanted, columns)])
+        return ordered(out, [order] if isinstance(order, str) else order, ["dim"] if by is not None else [], limit)
+
+    def members(self, table: str, column: str, filters: Sequence[M.Is] = (), limit: int | None = None) -> DataFrame:
+        """The different values of a column, without null, in order: ``dim``.  Filters that reach the table hold."""
+        table = self.model.name(table)
+        column = self.model.column(table, column)
+        rows = Leaf(M.Aggregate("rows", table), tuple(self.restriction(f) for f in filters))
+        df, conditions = self._base(table, [rows], None)
+        found = df.where(conditions[rows]).select(F.col(column).alias("dim")).where("dim IS NOT NULL").distinct()
+        return ordered(found, ["dim"], [], limit)
 
     def matrix(self, measures: Mapping[str, M.Node] | Sequence[str], scenarios: Mapping[str, Sequence[M.Is]]) -> DataFrame:
         """(scenario, measure, value) for all measures under all scenarios, from one scan of each base table."""
         wanted = measures if isinstance(measures, Mapping) else {m: M.Reference(m) for m in measures}
-        leaves: dict[Leaf, int] = {}
-        cells = [
-            (scenario, name, self._expand(node, tuple(self.restriction(f) for f in filters), leaves, ()))
-            for scenario, filters in scenarios.items()
-            for name, node in wanted.items()
-        ]
-        row = self._leaves(list(leaves), None)
-        listed = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(n).alias("measure"), c.cast("double").alias("value")) for s, n, c in cells])
+        contexts = {scenario: tuple(self.restriction(f) for f in filters) for scenario, filters in scenarios.items()}
+        names = [(scenario, name) for scenario in contexts for name in wanted]
+        columns, leaves = self._expanded([(node, context) for context in contexts.values() for node in wanted.values()])
+        row = self._leaves(leaves, None)
+        listed = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(n).alias("measure"), c.cast("double").alias("value")) for (s, n), c in zip(names, columns)])
         return row.select(F.explode(listed).alias("cell")).select("cell.*")
 
     def try_values(self, measures: Mapping[str, M.Node], filters: Sequence[M.Is] = ()) -> tuple[DataFrame | None, dict[str, str]]:
         """The measures that can be answered, and why the others are refused."""
+        good, refused = self.answerable(measures, filters)
+        return (self.values(good, filters) if good else None), refused
+
+    def answerable(self, measures: Mapping[str, M.Node], filters: Sequence[M.Is] = (), by: Group | None = None) -> tuple[dict[str, M.Node], dict[str, str]]:
+        """Measures that can be answered in a context, and the reasons why others can't."""
         good, refused = {}, {}
         for name, node in measures.items():
             try:
-                self._expand(node, tuple(self.restriction(f) for f in filters), leaves := {}, ())
+                _, leaves = self._expanded([(node, tuple(self.restriction(f) for f in filters))])
                 for table in {self.model.name(leaf.aggregate.table) for leaf in leaves}:
-                    self._base(table, [leaf for leaf in leaves if self.model.name(leaf.aggregate.table) == table], None)
+                    self._base(table, [leaf for leaf in leaves if self.model.name(leaf.aggregate.table) == table], by)
+                    if by is not None:
+                        self._dimension(table, by)
+                if by is not None and not leaves:
+                    raise Refused("a measure without any aggregate can't be grouped")
                 good[name] = node
             except Refused as e:
+                self._unknown.clear()
                 refused[name] = str(e)
-        return (self.values(good, filters) if good else None), refused
+        return good, refused
+
+
+def ordered(df: DataFrame, order: Sequence[str], ties: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """Rows by columns, a minus sign before one for the largest first, then by ``ties``; the first ``limit`` of them."""
+    keys = []
+    for name in [*order, *(ties if order or limit is not None else ())]:
+        bare = name.removeprefix("-")
+        if bare not in df.columns:
+            raise Refused(f"no column {bare!r} to order by")
+        keys.append(F.desc_nulls_last(f"`{bare}`") if name.startswith("-") else F.asc_nulls_first(f"`{bare}`"))
+    out = df.orderBy(*keys) if keys else df
+    return out if limit is None else out.limit(limit)
 
 
 def _column(value: M.Formula | str | None) -> Column:

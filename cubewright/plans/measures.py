@@ -186,11 +186,6 @@ def named_aggregate(text: str, table: str, value: Formula | str | None = None) -
     raise Refused(f"no aggregate is named in {text!r}")
 
 
-def single_aggregate(node: Node) -> Aggregate | None:
-    """The measure's one aggregate if it is nothing else, so that a chart may group by it alone."""
-    return node if isinstance(node, Aggregate) and node.where is None else None
-
-
 def divide(left: Any, right: Any, alternate: float | None = None) -> Divide:
     return Divide(as_node(left), as_node(right), alternate)
 

@@ -8,37 +8,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, display, names
-from .model import Model, Relationship
-from .operators import matching, rules, suite, verdicts
+from .functions.logic import running_total, share_of_total, switch_true
+from .model import Model, OpenedWhenNamed, Relationship
+from .operators import matching, rules, sets, suite, verdicts
 from .plans import measures as M
-from .plans.lower import Evaluator
+from .plans.lower import Band, Evaluator
+from .registry import QUERIES, SQL, query
 from .sources import catalog
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def load_model(spark: SparkSession, sf_dir: str) -> Model:
     """The sales model: lineitem to orders to customer to nation to region, part, supplier and a generated calendar."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    span = tables["orders"].agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
-    day = F.col("date")
-    tables["calendar"] = span.select(F.explode(F.sequence("a", "b")).alias("date")).select(
-        day.cast("timestamp_ntz").alias("date"), F.year(day).alias("year"), F.quarter(day).alias("quarter"), F.month(day).alias("month")
-    )
+    openers: dict[str, Callable[[], DataFrame]] = {t: lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    tables = OpenedWhenNamed(openers)
+
+    def calendar() -> DataFrame:
+        day = F.to_date("o_orderdate")
+        span = tables["orders"].agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+        return dates.calendar_table(spark, span["a"], span["b"])
+
+    tables.openers["calendar"] = calendar
     links = [
         Relationship("lineitem", "l_orderkey", "orders", "o_orderkey"),
         Relationship("lineitem", "l_partkey", "part", "p_partkey"),
@@ -160,15 +149,13 @@ _measure(
     FROM (SELECT date_diff('day', o_orderdate, l_shipdate) AS lag FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1""",
 )
 def _calculated_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = load_model(spark, sf_dir)
-    rows = model.with_related(model.table("lineitem"), "lineitem", [("orders", "o_orderdate")])
-    band = F.when(ship_lag() <= 30, "0-30").when(ship_lag() <= 60, "31-60").otherwise("61+")
-    return rows.groupBy(band.alias("dim")).agg(F.count("*").alias("lines"))
+    band = Band("lineitem", lambda: switch_true(ship_lag() <= 30, "0-30", ship_lag() <= 60, "31-60", "61+"), (("orders", "o_orderdate"),))
+    return _evaluator(spark, sf_dir).values({"lines": M.Reference("Lines")}, by=band)
 
 
 @query("AGG-20_structural", "SELECT DISTINCT p_type AS dim FROM part WHERE p_type IS NOT NULL ORDER BY 1 LIMIT 500")
 def _structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_model(spark, sf_dir).table("part").where("p_type is not null").select(F.col("p_type").alias("dim")).distinct().orderBy("dim").limit(500)
+    return _evaluator(spark, sf_dir).members("part", "p_type", limit=500)
 
 
 _measure("AGG-15_named_aggregate", M.named_aggregate("Count Distinct", "lineitem", "l_suppkey"), "SELECT count(DISTINCT l_suppkey) AS value FROM lineitem")
@@ -229,14 +216,9 @@ _measure("TI-08_no_dates_left", "QTD", "SELECT CAST(NULL AS DOUBLE) AS value", (
     SELECT CAST(year AS INTEGER) AS year, round(v, 2) AS value, round(sum(v) OVER (ORDER BY year), 2) AS running, round(v / sum(v) OVER (), 6) AS share FROM g""",
 )
 def _running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    by_year = _evaluator(spark, sf_dir).values({"v": M.Reference("Order Value")}, by=("calendar", "year"))
-    # One row for each year: the windows have no partition but few rows.
-    return by_year.select(
-        F.col("dim").alias("year"), F.round("v", 2).alias("value"), F.round(F.sum("v").over(Window.orderBy("dim")), 2).alias("running"),
-        F.round(F.col("v") / F.sum("v").over(Window.partitionBy()), 6).alias("share"),
-    )
+    by_year = _evaluator(spark, sf_dir).values({"v": M.Reference("Order Value")}, by=("calendar", "year")).withColumnRenamed("dim", "year")
+    out = share_of_total(running_total(by_year, "v", ["year"]), "v")
+    return out.select("year", F.round("v", 2).alias("value"), F.round("running", 2).alias("running"), F.round("share", 6).alias("share"))
 
 
 # Filters and joins -------------------------------------------------------------
@@ -352,7 +334,7 @@ query(
 def _switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.groupBy(F.when(q < 10, "low").when(q < 30, "middle").otherwise("high").alias("band")).agg(F.count("*").alias("n"))
+    return rows.groupBy(switch_true(q < 10, "low", q < 30, "middle", "high").alias("band")).agg(F.count("*").alias("n"))
 
 
 # Displayed values ---------------------------------------------------------------
@@ -531,6 +513,11 @@ def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suite.recent_runs(_runs(spark, sf_dir)).select("project_id", "generated_at")
 
 
+@query("WIN-07_trend", f"SELECT project_id, generated_at FROM (SELECT * FROM {_RUNS} ORDER BY generated_at DESC, project_id LIMIT 14)")
+def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suite.trend(_runs(spark, sf_dir)).select("project_id", "generated_at")
+
+
 @query(
     "AGG-23_last_runs",
     f"SELECT project_id, generated_at FROM (SELECT 'p' || c_custkey AS project_id FROM customer) LEFT JOIN (SELECT project_id, max(generated_at) AS generated_at FROM {_RUNS} GROUP BY 1) USING (project_id)",
@@ -623,7 +610,7 @@ def _row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 'region' AS \"table\", 'r_regionkey' AS \"column\", 0 AS position UNION ALL SELECT 'region', 'r_name', 1 UNION ALL SELECT 'nation', 'n_nationkey', 0 UNION ALL SELECT 'nation', 'n_name', 1 UNION ALL SELECT 'nation', 'n_regionkey', 2",
 )
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.parquet_folder(spark, sf_dir, ["region", "nation"]).schema_frame(spark).select("table", "column", "position")
+    return catalog.parquet_folder(spark, sf_dir, ["region", "nation"]).columns().select("table", "column", "position")
 
 
 @query(
@@ -656,7 +643,8 @@ _SHOWN_TYPES = ["ECONOMY", "PROMO", "Imaginary"]
 def _set(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     held = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("dim")).distinct()
     shown = held.where("dim < 'M'").union(spark.createDataFrame([("Imaginary",)], held.schema))
-    return {"invalid": lambda: shown.join(held, "dim", "left_anti"), "missing": lambda: held.join(shown, "dim", "left_anti"), "shared": lambda: held.join(shown, "dim", "left_semi").agg(F.count("*").alias("n"))}[how]()
+    found = {"invalid": sets.invalid, "missing": sets.missing, "shared": sets.shared}[how](shown, held)
+    return found.agg(F.count("*").alias("n")) if how == "shared" else found
 
 
 query("SET-01_invalid", "SELECT 'Imaginary' AS dim")(lambda s, d: _set(s, d, "invalid"))
@@ -769,3 +757,6 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return found.select("rule_id", "passed", "entity")
+
+
+from . import plan_queries  # noqa: E402, F401  registers its queries beside these

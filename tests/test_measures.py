@@ -3,9 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from cubewright.model import Cardinality, Model, Refused, Relationship
+from cubewright.model import Cardinality, Model, OpenedWhenNamed, Refused, Relationship, derived
 from cubewright.plans import measures as M
-from cubewright.plans.lower import Evaluator
+from cubewright.plans import validation
+from cubewright.plans.lower import Band, Evaluator
 
 DAY = dt.datetime
 
@@ -110,3 +111,109 @@ def test_refusals(model, spark):
 @pytest.mark.parametrize("text, kind", [("M:1", "MANY_ONE"), ("many-to-one", "MANY_ONE"), ("manyToOne", "MANY_ONE"), ("*:1", "MANY_ONE"), ("1:*", "ONE_MANY"), ("1:1", "ONE_ONE")])
 def test_cardinalities(text, kind):
     assert Cardinality.parse(text) is Cardinality[kind]
+
+
+def test_literals_that_a_column_cannot_hold_are_refused(model, spark):
+    flags = spark.createDataFrame([(True, dt.date(2020, 1, 1), 1)], "ok boolean, day date, n int")
+    other = Model({"flags": flags})
+    for column, bad, good in (("ok", "maybe", "true"), ("day", "2020-13-45", "2020-01-01"), ("n", "1.5", "1"), ("n", "nan", "1")):
+        with pytest.raises(Refused):
+            value(other, M.count_rows("flags"), M.Is("flags", column, bad))
+        assert value(other, M.count_rows("flags"), M.Is("flags", column, good)) == 1
+    with pytest.raises(Refused):
+        value(model, AMOUNT, M.Is("days", "date", "rubbish"))
+    assert value(model, AMOUNT, M.Is("shops", "name", 5)) is None  # a number against text is text
+
+
+def joins(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(line.strip(" +-:").startswith("Join ") for line in plan.splitlines())
+
+
+def test_scenarios_share_their_joins(model):
+    evaluator = Evaluator(model, {"a": AMOUNT, "n": M.count_rows("sales")})
+    few = evaluator.matrix(["a", "n"], {"A": (M.Is("shops", "name", "A"),), "X": (M.Is("towns", "title", "X"),)})
+    many = {f"s{i}": (M.Is("shops", "name", f"n{i}"), M.Is("towns", "title", f"t{i}")) for i in range(12)}
+    assert joins(evaluator.matrix(["a", "n"], many)) == joins(few) == 2
+    assert {r.value for r in few.where("measure = 'a'").collect()} == {5.0}
+
+
+def test_bounds_of_a_matrix_are_one_job(model, spark):
+    named = {"ytd": M.to_date(AMOUNT, "year"), "ly": M.calculate(AMOUNT, M.same_period_last_year()), "run": M.calculate(AMOUNT, M.UpTo("days", "date", "<=", "max", "days", "date"))}
+    scenarios = {str(y): (M.Is("days", "year", y),) for y in (2019, 2020, 2021)} | {"all": ()}
+    spark.sparkContext.setJobGroup("bounds", "bounds")
+    out = Evaluator(model, named).matrix(list(named), scenarios)
+    ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup("bounds"))
+    spark.sparkContext.setJobGroup("", "")
+    single = {(s, m): value(model, node, *f) for s, f in scenarios.items() for m, node in named.items()}
+    assert {(r.scenario, r.measure): r.value for r in out.collect()} == single
+    assert 0 < ran <= 2  # one aggregate: a job for its map stage and one for its result
+
+
+def test_periods_within_periods(model):
+    inner = M.calculate(AMOUNT, M.same_period_last_year())
+    assert value(model, M.calculate(inner, M.same_period_last_year()), M.Is("days", "year", 2021)) is None
+    assert value(model, M.to_date(inner, "year"), M.Is("days", "year", 2021)) == 12
+
+
+def test_tables_open_when_they_are_named(model):
+    lazy = OpenedWhenNamed({n: (lambda n=n: model.tables[n]) for n in model.tables})
+    other = Model(lazy, model.relationships, model.calendar)
+    assert value(other, AMOUNT) == 13 and set(lazy.opened) == {"sales"}
+    assert value(other, AMOUNT, M.Is("shops", "name", "A")) == 5 and set(lazy.opened) == {"sales", "shops"}
+    wrong = Model(OpenedWhenNamed(lazy.openers), [Relationship("sales", "gone", "shops", "shop")])
+    with pytest.raises(Refused):
+        value(wrong, AMOUNT, M.Is("shops", "name", "A"))
+
+
+def test_the_first_sum_opens_one_table(spark):
+    from cubewright.queries import MEASURES, load_model
+    from tests.against_sql import SF_DIR
+
+    sales = load_model(spark, SF_DIR)
+    Evaluator(sales, MEASURES).values(["Gross Sales"])
+    assert set(sales.tables.opened) == {"lineitem"}
+
+
+def test_groups_by_a_formula_in_order(model):
+    band = Band("sales", lambda: F.when(M.related("towns", "title") == "X", "x").otherwise("rest"), (("towns", "title"),))
+    got = Evaluator(model).values({"v": AMOUNT, "n": M.count_rows("sales")}, by=band, order="-n")
+    assert [tuple(r) for r in got.collect()] == [("rest", 8.0, 3), ("x", 5.0, 1)]
+    assert [tuple(r) for r in Evaluator(model).values({"v": AMOUNT}, by=("shops", "name"), order="v", limit=2).collect()] == [(None, 1.0), ("A", 5.0)]
+    assert [r.dim for r in Evaluator(model).members("shops", "name", [M.Is("towns", "title", "Y")]).collect()] == ["B"]
+    for bad in (lambda: Evaluator(model).values({"v": M.count_rows("shops")}, by=band), lambda: Evaluator(model).values({"v": AMOUNT}, by=band, order="gone"), lambda: Evaluator(model).values({"v": M.as_node(1)}, by=band)):
+        with pytest.raises(Refused):
+            bad()
+
+
+def test_calculated_columns(model):
+    sales = derived(model.table("sales"), {"double": F.col("amount") * 2, "more": lambda: F.col("double") + 1})
+    assert value(Model({"sales": sales}), M.total("sales", "more")) == 29
+    for bad in ({"amount": F.lit(1)}, {"x": F.col("nowhere")}):
+        with pytest.raises(Refused):
+            derived(model.table("sales"), bad)
+
+
+def test_what_a_tree_tells():
+    a, b = M.Reference("A"), M.Reference("b")
+    measures = {"A": AMOUNT, "B": M.count_rows("sales"), "Q": M.divide(a, b), "D": a - b, "S": a + 1, "P": M.divide(a, b) * 100, "Z": M.divide(a, M.Reference("gone")), "C": M.calculate(a / b, M.All())}
+    assert validation.consistency_rules(measures, {"q": "0.0%"}) == [("Q", "A", "/", "B", 100.0), ("D", "A", "-", "B", 1.0)]
+    assert validation.measure_references(M.calculate(a / (b + a), M.All())) == ["A", "b"]
+    assert validation.intent(AMOUNT) == ("sales", "amount", "sum") and validation.intent(measures["P"]) is None
+    assert validation.intent(M.total("sales", "amount", where=lambda: F.lit(True))) is None
+    assert validation.guarded_aggregate(AMOUNT, "SALES", "Amount", "sum") is AMOUNT
+    for bad in (("sales", "amount", "avg"), ("sales", "day", "sum")):
+        with pytest.raises(Refused):
+            validation.guarded_aggregate(AMOUNT, *bad)
+    formats = {"Return Rate": "0.0%", "Avg Price": "\\$#,0.00", "Orders": "#,0", "Ratio": "#,0.00", "Total Sales": "\\$#,0"}
+    assert {n: validation.infer_format(n) for n in formats} == formats
+    assert validation.infer_format("Win Rate", measures["P"]) == '0.0"%"' and validation.infer_format("Ratio", measures["Q"]) == "0.0%"
+    assert validation.infer_format("Rows", measures["B"]) == "#,0"
+
+
+def test_a_run_without_shown_values_or_answers(model, spark):
+    shown = spark.createDataFrame([], "scenario string, measure string, dashboard_value string")
+    got = validation.validation_run(Evaluator(model), {"bad": M.total("nowhere", "x")}, {"all": ()}, shown)
+    assert [tuple(r) for r in got.collect()] == [("all/bad", "scalar", "all", "bad", None, "FAIL", "error")]
+    got = validation.validation_run(Evaluator(model), {"v": AMOUNT}, {"none": (M.Is("shops", "name", "?"),)}, shown, [("c", ("shops", "name"), "v")])
+    assert {(r.item_id, r.status, r.match_type) for r in got.collect()} == {("none/v", "FAIL", "executable"), ("c", "PASS", "executable")}

@@ -16,19 +16,19 @@ def test_csv_folder_is_a_dataset_for_each_file(spark, tmp_path):
     assert dict(found["SALES"].dtypes) == {"id": "int", "amount": "double"}
     assert [tuple(r) for r in found.preview("shops").collect()] == [("1", "A"), ("2", "")]
     assert {r["dataset"]: r["rows"] for r in found.row_counts().collect()} == {"sales": 1, "shops": 2}
-    assert found.query(spark, "SELECT sum(amount) AS s FROM sales").first()["s"] == 2.5
+    assert found.query("SELECT sum(amount) AS s FROM sales").first()["s"] == 2.5
     assert found.compare_rows(found).where("not equal").count() == 0
     with pytest.raises(catalog.SourceError):
         catalog.csv_folder(spark, str(tmp_path / "empty")) if (tmp_path / "empty").mkdir() is None else None
 
 
-@pytest.mark.parametrize("sql, good", [("SELECT 1", True), ("with a as (select 1) select * from a", True), ("DROP TABLE x", False), ("SELECT 1; SELECT 2", False), ("SELECT 'drop; it'", True), ("SELECT * INTO t FROM x", False), ("-- note\nSELECT 1", True)])
-def test_read_only(sql, good):
+@pytest.mark.parametrize("sql, good", [("SELECT 1", True), ("SELECT `set`, cache FROM t WHERE into = 1", True), ("WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", False), ("SET x = 1", False), ("CACHE TABLE t", False), ("MERGE INTO t USING s ON t.a = s.a WHEN MATCHED THEN DELETE", False), ("EXPLAIN SELECT 1", False), ("TABLE t", True), ("with a as (select 1) select * from a", True), ("DROP TABLE x", False), ("SELECT 1; SELECT 2", False), ("SELECT 'drop; it'", True), ("SELECT * INTO t FROM x", False), ("-- note\nSELECT 1", True)])
+def test_read_only(spark, sql, good):
     if good:
-        catalog.require_read_only(sql)
+        catalog.require_read_only(spark, sql)
     else:
         with pytest.raises(catalog.SourceError):
-            catalog.require_read_only(sql)
+            catalog.require_read_only(spark, sql)
 
 
 def test_percent_guard():
@@ -79,3 +79,48 @@ def test_model_file_feeds_the_rules(spark):
     found = {(r["rule_id"], r["entity"]) for r in rules.check_model(frames).where("not passed").collect()}
     assert found == {("MD-001", "Sales[Empty]"), ("MD-002", "Shops"), ("MD-003", "Sales->Shops"), ("MD-007", "Blank")}
     assert rules.check_images(spark.createDataFrame([("a", None), ("b", 100), ("c", 900)], "image string, width int")).count() == 2
+
+
+def test_files_that_cannot_be_read_are_left_out(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("a\n1\n")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "bad.csv").mkdir()
+    (tmp_path / "bad.csv" / "x.gz").write_bytes(b"no gzip")
+    assert catalog.csv_folder(spark, str(tmp_path)).names() == ["good"]
+
+
+def test_each_dataset_is_compared_alone(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "x")], "id int, name string")
+    frame.write.parquet(str(tmp_path / "lost"))
+    lost = spark.read.parquet(str(tmp_path / "lost"))
+    for f in (tmp_path / "lost").glob("*.parquet"):
+        f.unlink()
+    model = catalog.Catalog({"sales": frame, "shops": frame, "lost": lost, "towns": frame})
+    source = catalog.Catalog({"dbo.fact_sales": frame, "shops": frame.drop("name").union(frame.drop("name"))})
+    got = {(r.dataset, r.check): (r.passed, r.actual) for r in model.compare(source).collect()}
+    assert got == {
+        ("lost", "readable"): (False, ""), ("sales", "exists"): (True, "sales"), ("shops", "exists"): (True, "shops"), ("towns", "exists"): (False, ""),
+        ("sales", "columns"): (True, ""), ("shops", "columns"): (False, "name"), ("sales", "rows"): (True, "1"), ("shops", "rows"): (False, "2"),
+    }
+    assert not model.reachable() and source.reachable()
+    assert model.row_count("sales").first()["rows"] == 1
+
+
+def test_queries_for_a_database():
+    for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) SELECT * FROM a"):
+        with pytest.raises(catalog.SourceError):
+            catalog.require_one_query(bad)
+    catalog.require_one_query("SELECT TOP 5 [set], 'a;b' FROM [t;u] -- ; note")
+
+
+def test_summaries_of_runs(spark, tmp_path):
+    from cubewright.sources import runs
+
+    made = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 1, 7)], "project_id string, day int, tests_total long")
+    from pyspark.sql import functions as F
+
+    made = made.withColumn("generated_at", F.make_date(F.lit(2020), F.lit(1), "day").cast("timestamp_ntz")).drop("day")
+    runs.save_summaries(made.where("tests_total < 6"), str(tmp_path / "s"))
+    runs.save_summaries(made.where("tests_total > 5"), str(tmp_path / "s"))
+    (tmp_path / "s" / "of=a" / "bad.json").write_text("{no json")
+    assert [(r.project_id, r.tests_total, r.tokens) for r in runs.list_summaries(spark, str(tmp_path / "s")).collect()] == [("a", 6, None), ("b", 7, None)]
