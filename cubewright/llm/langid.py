@@ -17,13 +17,14 @@ from what texts of others get that it fits best (0) to what its own held-out tex
 The fit sees a bounded sample of labelled rows (``SAMPLE_ROWS`` in all, as many of each
 language, ``LEAST_ROWS`` of each at least; whole texts of at most ``SAMPLE_CHARS``
 characters, or the beginnings of longer ones for a language that has no others).  Every
-label is learned; more than ``MAX_LANGUAGES`` of them are an error.  It keeps at most
-``MAX_GRAMS`` grams.  Prediction covers every whole text.
+label is learned; more than ``MAX_LANGUAGES`` of them are an error, as the sample would
+have no bound.  All grams of the sample count, and grams that it lacks count in the size
+of a text's set.  Prediction covers every whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -33,16 +34,19 @@ from pyspark.sql import types as T
 from .batches import with_text_columns
 from .text import id_bucket
 
-#: Bounds of the fit: labelled rows, characters of a row, landmarks of each language, grams, languages; least rows of a language.
-SAMPLE_ROWS, SAMPLE_CHARS, LANDMARKS, MAX_GRAMS, MAX_LANGUAGES, LEAST_ROWS = 1024, 16_384, 32, 16_384, 512, 4
+#: Bounds of the labelled sample: rows, characters of a row, languages; least rows of a language.
+SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES, LEAST_ROWS = 1024, 16_384, 512, 4
+#: Landmark texts of each language.
+LANDMARKS = 32
 RIDGE = 1e-4
 #: Grams of a text's own language that each text counts as having besides its own, so that one rare word alone doesn't go.
 PRIOR_GRAMS = 2
-#: Share of a language's labelled texts that have a gram which counts as its own, and the most of these grams, at least.
-HELD_SHARE, FIT_GRAMS = 0.03, 1024
+#: Share of a language's labelled texts that have a gram which counts as its own.
+HELD_SHARE = 0.03
 NO_LANGUAGE = "und"
 _SLOTS = 1 << 24
-_BATCH_ROWS = 128
+#: Texts scored by one product, and cells of its presence matrix.
+_BATCH_ROWS, _BATCH_CELLS = 128, 1 << 22
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -71,17 +75,26 @@ class Presence:
 
     def __init__(self, grams: np.ndarray):
         self.width = len(grams)
-        self.column = np.full(_SLOTS, self.width, np.int32)
-        self.column[grams] = np.arange(self.width, dtype=np.int32)
-
-    def rows(self, texts: list[str]) -> np.ndarray:
-        """Presence of each text, of length one (an all-zero row for a text without known grams)."""
-        out = np.zeros((len(texts), self.width + 1), np.float32)
-        for row, text in zip(out, texts):
-            for codes in gram_codes(text):
-                row[self.column[codes]] = 1
-        out = out[:, :-1]
-        return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+        kind = np.uint16 if self.width < 1 << 16 else np.int32
+        self.column = np.full(_SLOTS, self.width, kind)
+        self.column[grams] = np.arange(self.width, dtype=kind)
+
+    def blocks(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the first, presence of each text, number of distinct grams of each), some texts at a time."""
+        block = max(1, min(_BATCH_ROWS, _BATCH_CELLS // (self.width + 1)))
+        for at in range(0, len(texts), block):
+            part = texts[at : at + block]
+            out = np.zeros((len(part), self.width + 1), np.float32)
+            others = np.zeros(len(part))
+            for i, text in enumerate(part):
+                for codes in gram_codes(text):
+                    columns = self.column[codes]
+                    out[i, columns] = 1
+                    new = codes[columns == self.width]
+                    if len(new):
+                        others[i] += len(np.unique(new))
+            out = out[:, :-1]
+            yield at, out, np.maximum(out.sum(axis=1) + others, 1)
 
 
 class LanguageFit:
@@ -92,8 +105,7 @@ class LanguageFit:
         rows: dict[str, list[np.ndarray]] = {k: [] for k in self.languages}
         for text, label in zip(texts, labels):
             rows[label].append(word_grams(text))
-        most = max(FIT_GRAMS, MAX_GRAMS // max(1, len(rows)))
-        self._learn([own[::2] for own in rows.values()], most)
+        self._learn([own[::2] for own in rows.values()])
         presence = Presence(self.grams)
         known: list[list[float]] = [[] for _ in rows]
         alien: list[list[float]] = [[] for _ in rows]
@@ -110,15 +122,14 @@ class LanguageFit:
         self.known = np.array([np.median(k) if k else min(medians, default=1.0) for k in known])
         self.alien = np.array([np.median(a) if a else h for a, h in zip(alien, highest)])
         self.alien = np.minimum(self.alien, 0.9 * self.known)
-        self._learn(list(rows.values()), most)
+        self._learn(list(rows.values()))
 
-    def _learn(self, rows: list[list[np.ndarray]], most: int) -> None:
+    def _learn(self, rows: list[list[np.ndarray]]) -> None:
         """Each language's grams that at least ``HELD_SHARE`` of its texts have: labelled texts may have passages in others."""
         chosen = []
         for own in rows:
             codes, counts = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.int32), np.zeros(0, int))
-            wide = np.flatnonzero(counts >= HELD_SHARE * len(own))
-            chosen.append(codes[wide[np.argsort(-counts[wide], kind="stable")[:most]]])
+            chosen.append(codes[counts >= HELD_SHARE * len(own)])
         self.grams = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.int32)
         held = np.zeros((len(self.grams), len(rows)), bool)
         for k, codes in enumerate(chosen):
@@ -155,24 +166,25 @@ class StringKernelClassifier:
         self.fit = LanguageFit(texts, labels)
         if len(self.labels) < 2:
             return
-        present = np.zeros(_SLOTS, np.int32)
+        present = np.zeros(_SLOTS, bool)
         for text in texts:
-            present[np.unique(np.concatenate(gram_codes(text)))] += 1
-        known = np.flatnonzero(present)
-        self.grams = np.sort(known[np.argsort(-present[known], kind="stable")[:MAX_GRAMS]])
-        rows = Presence(self.grams).rows(texts)
+            for codes in gram_codes(text):
+                present[codes] = True
+        self.grams = np.flatnonzero(present)
+        presence = Presence(self.grams)
         seen: dict[str, int] = {}
         chosen = []
         for i, label in enumerate(labels):
             seen[label] = seen.get(label, 0) + 1
             if seen[label] <= landmarks:
                 chosen.append(i)
-        marks = rows[chosen].astype(np.float64)
-        values, vectors = np.linalg.eigh(marks @ marks.T)
+        marks = np.concatenate([rows / np.sqrt(sizes)[:, None] for _, rows, sizes in presence.blocks([texts[i] for i in chosen])])
+        values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        to_features = marks.T @ root
-        features = rows @ to_features.astype(np.float32)
+        to_features = (marks.T @ root).astype(np.float32)
+        del marks
+        features = np.concatenate([(rows @ to_features) / np.sqrt(sizes)[:, None] for _, rows, sizes in presence.blocks(texts)])
         target = np.where(np.array(labels)[:, None] == np.array(self.labels), 1.0, -1.0)
         centre, level = features.mean(axis=0), target.mean(axis=0)
         x = (features - centre).astype(np.float64)
@@ -195,12 +207,11 @@ class StringKernelClassifier:
 
         def predict(texts: list) -> tuple[list, list]:
             languages, scores = [], []
-            for at in range(0, len(texts), _BATCH_ROWS):
-                part = texts[at : at + _BATCH_ROWS]
-                margin = presence.rows([t or "" for t in part]) @ self.matrix + self.bias
+            for at, rows, sizes in presence.blocks([t or "" for t in texts]):
+                margin = (rows @ self.matrix) / np.sqrt(sizes)[:, None] + self.bias
                 best = margin.argmax(axis=1)
                 sure = np.clip((margin.max(axis=1) + 1) / 2, 0, 1)
-                for text, b, s in zip(part, best.tolist(), sure.tolist()):
+                for text, b, s in zip(texts[at : at + len(rows)], best.tolist(), sure.tolist()):
                     known = bool(text) and has_letter(text)
                     languages.append(self.labels[b] if known else NO_LANGUAGE)
                     scores.append(s if known else 0.0)
@@ -249,15 +260,21 @@ def identify_languages(
 
     A text that is null or has no letter gets ``und`` and score 0, and so does every
     text if the model has seen no label.  A model of one label predicts it for all
-    others.  Repeated rows are predicted alike; columns that already have the new
-    names are replaced.
+    others.  Repeated rows are predicted alike; an empty table gives an empty one;
+    columns that already have the new names are replaced.  A very long text is read
+    whole, its grams as a few numbers for each byte.
     """
     fields = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
     return with_text_columns(docs, text_col, fields, model.predictor, keep)
 
 
 def drop_unidentified(docs: DataFrame, model: StringKernelClassifier, least_score: float, text_col: str = "text") -> DataFrame:
-    """``docs`` without texts that have no letter or that no language fits: a fit (0 to 1, see above) below ``least_score``."""
+    """``docs`` without texts that have no letter or that no language fits: a fit (0 to 1, see above) below ``least_score``.
+
+    Null and empty texts go, and all texts if the model has seen no label.  Repeated
+    rows stay or go alike; columns, whatever their names, and their order stay.  An
+    empty table gives an empty one.
+    """
     columns = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
 

@@ -142,3 +142,75 @@ def ppm(rows, held, order=4):
             score += math.log10(p)
         out.append((len(w), sum(x in count for x in w), total, base, score))
     return out
+
+
+def string_kernel_margins(train, labels, texts, landmarks, ridge):
+    """Margins (a row for each text, a column for each sorted label) by explicit kernels between sets of grams."""
+    import numpy as np
+
+    def grams(text):
+        raw = b" ".join(text.translate(FOLD).encode().split())
+        raw = b" " + raw + b" "
+        return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    sets = [grams(t) for t in train]
+    count, marks = {}, []
+    for g, label in zip(sets, labels):
+        count[label] = count.get(label, 0) + 1
+        if count[label] <= landmarks:
+            marks.append(g)
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    good = values > 1e-6 * values[-1]
+    half = vectors[:, good] / np.sqrt(values[good])
+    x = kernel(sets, marks) @ half
+    names = sorted(set(labels))
+    y = np.array([[1.0 if label == n else -1.0 for n in names] for label in labels])
+    centre, level = x.mean(axis=0), y.mean(axis=0)
+    # The dual form: one coefficient for each training text.
+    xc = x - centre
+    dual = np.linalg.solve(xc @ xc.T + ridge * len(x) * np.eye(len(x)), y - level)
+    return (kernel([grams(t) for t in texts], marks) @ half - centre) @ xc.T @ dual + level
+
+
+def content_words(chain, text, text_lines):
+    """Words of the lines on the best path, by trying the best end of every prefix for both states (no back pointers)."""
+    import numpy as np
+
+    lines = text_lines(text.encode())[0]
+    if not lines:
+        return 0
+    if not chain.fitted:
+        return sum(n for n, _ in lines)
+    best = {}
+    for i, (n, f) in enumerate(lines):
+        gain = (0.0, float(np.dot(f, chain.weights)))
+        if i == 0:
+            best = {s: (chain.start[s] + gain[s], n * s) for s in (0, 1)}
+        else:
+            best = {s: max(((best[q][0] + chain.steps[q, s] + gain[s], best[q][1] + n * s) for q in (0, 1)), key=lambda v: (v[0])) for s in (0, 1)}
+    return max(best.values(), key=lambda v: v[0])[1]
+
+
+def chain_gradient(params, x, y, features, lengths):
+    """Gradient, by small differences, of the mean log likelihood by line of chains whose lines all have their document's state."""
+    import itertools
+
+    import numpy as np
+
+    def likelihood(p):
+        weights, steps, start = p[:features], p[features:-2].reshape(2, 2), p[-2:]
+
+        def score(doc, path):
+            return start[path[0]] + sum(doc[i] @ weights for i, s in enumerate(path) if s) + sum(steps[a, b] for a, b in zip(path, path[1:]))
+
+        total = 0.0
+        for doc, state, n in zip(x, y, lengths.tolist()):
+            every = [score(doc, path) for path in itertools.product((0, 1), repeat=n)]
+            total += (score(doc, (state,) * n) - np.log(np.exp(every).sum())) / n
+        return total / len(x)
+
+    h = 1e-5
+    return np.array([(likelihood(params + h * e) - likelihood(params - h * e)) / (2 * h) for e in np.eye(len(params))])

@@ -313,6 +313,31 @@ def test_lines_of_good_and_bad_documents(spark):
     assert not linequality.fit_lines(all_docs, labels.where("quality = 1")).fitted
 
 
+def test_query_of_op5_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    chain = linequality.fit_lines(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op5_line_labels(spark, SF_DIR).collect():
+        text = texts[r.doc_id]
+        want = brute.quality(text)
+        failed = want[0] < 50 or 100 * want[4] > 50 * want[0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*want, failed)
+        content = brute.content_words(chain, text or "", linequality.text_lines)
+        assert r.kept == (not failed and 2 * content >= want[0])
+
+
+def test_line_fit_climbs_the_likelihood():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(6, 5, linequality.N_FEATURES)), np.array([0, 1, 0, 1, 1, 0])
+    for lengths in (np.full(6, 5), np.full(6, 3), np.array([5, 3, 1, 4, 5, 2])):
+        there = np.arange(5) < lengths[:, None]
+        params = rng.normal(size=linequality.N_FEATURES + 6) / 3
+        got = linequality.LineChain._gradient(params, x, y, there, there / lengths[:, None])
+        # A document's part of the likelihood is divided by its lines, so that each weighs the same.
+        want = brute.chain_gradient(params, x, y, linequality.N_FEATURES, lengths)
+        assert np.allclose(got, want, atol=1e-5)
+
+
 # 6 ------------------------------------------------------------------------------
 
 
@@ -347,6 +372,39 @@ def test_added_spans_and_redaction(spark, hard):
     assert pii.SpanModel([]).spans(["a@b.cd"]) == [[(0, 0, 6, True)]]
 
 
+def test_query_of_op6_by_brute_force(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    seen = 0
+    for r in queries.op6_personal_data(spark, SF_DIR).collect():
+        base = brute.personal(texts[r.doc_id])
+        listed = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == n for _, k, _ in base) for n in range(4))
+        assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        every = r.spans.split(",") if r.spans else []
+        assert [x for x in every if x in set(listed)] == listed
+        key = [(int(s), pii.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in every)]
+        assert key == sorted(key)
+        seen += len(listed)
+    assert seen > 20
+
+
+def test_trees_and_calibration():
+    from cubewright.llm.boosting import BoostedTrees
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30_000, 4))
+    chance = 1 / (1 + np.exp(-3 * np.where(x[:, 0] > 0, x[:, 1], 1.0)))  # two features together
+    y = (rng.random(len(x)) < chance).astype(float)
+    trees = BoostedTrees().fit(x[:2000], y[:2000]).calibrate(x[2000:6000], y[2000:6000])
+    p = trees.probability(x[6000:])
+    assert np.mean((p > 0.5) == (chance[6000:] > 0.5)) > 0.9
+    for low, high in ((0, 0.25), (0.25, 0.75), (0.75, 1)):
+        rows = (p >= low) & (p <= high)
+        assert abs(p[rows].mean() - y[6000:][rows].mean()) < 0.08
+    by_hand = [sum(v[0 if a[n[1][0]] <= n[1][1] else 1] if a[n[0][0]] <= n[0][1] else v[2 if a[n[2][0]] <= n[2][1] else 3] for n, v in trees.nodes) + trees.base for a in x[:50]]
+    assert np.allclose(trees.margin(x[:50]), by_hand)
+
+
 def _without_plus(text, share, rng):
     """The text with a share of its base telephones in other forms, and these forms."""
     forms = []
@@ -395,6 +453,30 @@ def test_held_out_languages(spark, hard):
     assert langid.identify_languages(hard.where("false"), model).count() == 0
 
 
+def test_margins_are_those_of_explicit_kernels(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("text is not null and lang is not null").select(F.substring("text", 1, 400).alias("text"), "lang").limit(160).collect()
+    train, rest = rows[:100], [r.text for r in rows[100:]] + ["", "the", "日本語", "Größe ÉTÉ 12", "zzz " * 400]
+    model = langid.StringKernelClassifier([r.text for r in train], [r.lang for r in train], landmarks=9, ridge=1e-3)
+    want = brute.string_kernel_margins([r.text for r in train], [r.lang for r in train], rest, 9, 1e-3)
+    presence = langid.Presence(model.grams)
+    got = np.concatenate([(m @ model.matrix) / np.sqrt(n)[:, None] + model.bias for _, m, n in presence.blocks(rest)])
+    assert np.allclose(got, want, atol=2e-3)
+    names, scores = model.predictor()(rest)
+    for text, name, score, margin in zip(rest, names, scores, want):
+        letters = any(c.isalpha() for c in text)
+        assert name == (model.labels[int(margin.argmax())] if letters else "und")
+        assert math.isclose(score, min(1, max(0, (margin.max() + 1) / 2)) if letters else 0, abs_tol=2e-3)
+
+
+def test_query_of_op7_never_reads_the_label_of_what_it_predicts(spark, tmp_path):
+    every = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    want = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in queries.op7_string_kernel(spark, SF_DIR).collect()}
+    held = id_bucket(F.col("doc_id"), 3) == 1
+    every.withColumn("lang", F.when(~held, F.col("lang")).otherwise("xx")).withColumn("source", F.lit("s")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in queries.op7_string_kernel(spark, str(tmp_path)).collect()}
+    assert got == want and {d for d, r in got.items() if r[0]} == {r.doc_id for r in every.where(held).collect()}
+
+
 def _invented(count):
     """Word lists of invented languages."""
     out = []
