@@ -188,8 +188,9 @@ def quality_counts(docs: DataFrame, chain: LineChain, text_col: str = "text", ke
     and isn't kept.  Texts of fewer than 50 words fail, and texts of which more than
     half the words stand in repeated three-word windows; others are kept where
     content lines hold at least half of the words.  Without labelled documents of
-    both qualities every line counts as content.  Repeated rows are judged alike;
-    columns that already have the new names are replaced.
+    both qualities every line counts as content.  Repeated rows are judged alike; an
+    empty table gives an empty one; columns that already have the new names are
+    replaced.  A very long text is read whole, its words as some 60 bytes each.
     """
 
     def make() -> Callable[[list], list[list]]:
