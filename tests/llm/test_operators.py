@@ -651,6 +651,22 @@ def test_token_frames(spark, hard):
     assert tokencount.token_counts(given.where("false"), path).count() == 0 == bpe_encode(given.where("false"), path).count()
 
 
+def test_filters_keep_odd_columns_and_take_empty_tables(spark, docs, hard):
+    names = ["row", "fp", "kept", "fit", "redacted", "spans", "n_words", "words", "c0", "c1"]
+    given = docs.limit(20).union(hard).withColumns({n: F.lit(n) for n in names})
+    bench = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
+    model = langid.StringKernelClassifier(["the one and the other", "der eine und die andere"], ["en", "de"])
+    steps = {
+        "language": lambda d: langid.drop_unidentified(d, model, 0.0), "near": simhash.drop_near_duplicates,
+        "bench": lambda d: decontam.drop_contaminated(d, bench), "personal": lambda d: pii.redact_personal_data(d, pii.SpanModel([])),
+    }
+    for name, step in steps.items():
+        out = step(given)
+        assert out.columns == given.columns and step(given.where("false")).count() == 0, name
+        assert out.select(*names).distinct().collect() == given.select(*names).distinct().collect(), name
+    assert sorted(map(repr, steps["bench"](given).select("doc_id", "text").collect())) == sorted(map(repr, given.select("doc_id", "text").collect()))
+
+
 # Queries ----------------------------------------------------------------------------
 
 
