@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,9 +78,20 @@ RULES: tuple[Callable[[Metadata], DataFrame], ...] = (
 )
 
 
-def check_model(m: Metadata) -> DataFrame:
-    """All findings of all rules."""
-    return reduce(DataFrame.unionByName, [rule(m) for rule in RULES])
+def check_model(m: Metadata, rules: tuple[Callable[[Metadata], DataFrame], ...] = RULES) -> DataFrame:
+    """All findings of all rules, in order.
+
+    A rule whose frame lacks a table or column gives the finding ``RULE-ERROR`` instead, and the others go on.
+    """
+    spark = next(iter(m.values())).sparkSession
+    frames = []
+    for rule in rules:
+        try:
+            frames.append(rule(m))
+        except (PySparkException, KeyError) as e:
+            row = (rule.__name__, f"{type(e).__name__}: {str(e).splitlines()[0]}")
+            frames.append(_findings(spark.createDataFrame([row], "entity string, actual string"), "RULE-ERROR", "ERROR", F.col("entity"), F.col("actual")))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def check_images(images: DataFrame, least_width: int = 640) -> DataFrame:

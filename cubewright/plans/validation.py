@@ -200,7 +200,8 @@ def validation_run(
     spark = shown.sparkSession
     nodes = {name: M.Reference(name) if evaluator.named.get(name) is node else node for name, node in wanted.items()}
     good, refused = evaluator.answerable(nodes)
-    cells = evaluator.matrix(good, scenarios) if good else spark.createDataFrame([], "scenario string, measure string, value double")
+    # As many cells as the plan has scalar items: they are worked out once, for the verdicts and the rules alike.
+    cells = spark.createDataFrame(evaluator.matrix(good, scenarios).collect() if good else [], "scenario string, measure string, value double")
     frames = [_scalar_rows(spark, cells, wanted, refused, scenarios, shown, tolerance)]
     rules = [r for r in consistency_rules(wanted, formats) if {r[0], r[1], r[3]} <= good.keys()]
     if rules:
@@ -254,17 +255,20 @@ def _chart_rows(evaluator, nodes, charts, points, spark, tolerance) -> Iterator[
 
 
 def _grouped_rows(spark, grouped, actual, shown, tolerance) -> Iterator[DataFrame]:
+    """Verdicts by category for charts that show points, and one verdict for each chart that shows none."""
     titles = spark.createDataFrame(grouped, "item_id string, measure string")
-    mine = shown.join(titles, "item_id", "left_semi")
+    given = [r["item_id"] for r in shown.join(titles, "item_id", "left_semi").select("item_id").distinct().collect()]  # charts of one dimension
     value = actual.select("item_id", "dimension", F.format_string("%.10g", "value").alias("value"))
-    pointed = mine.select("item_id").distinct()
-    judged = verdicts.grouped_verdicts(mine, value.join(pointed, "item_id", "left_semi"), tolerance)
-    yield judged.join(titles, "item_id").select(
-        "item_id", F.lit("grouped").alias("item_type"), F.lit(BASELINE).alias("scenario"), "measure", "dimension", "status", "match_type"
-    )
-    counted = titles.join(pointed, "item_id", "left_anti").join(actual.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
-    some = F.coalesce("n", F.lit(0)) > 0
-    yield counted.select(
-        "item_id", F.lit("grouped").alias("item_type"), F.lit(BASELINE).alias("scenario"), "measure", F.lit(None).cast("string").alias("dimension"),
-        F.when(some, "PASS").otherwise("FAIL").alias("status"), F.when(some, "executable").otherwise("no-rows").alias("match_type"),
-    )
+    if given:
+        mine, theirs = (df.where(F.col("item_id").isin(*given)) for df in (shown, value))
+        yield verdicts.grouped_verdicts(mine, theirs, tolerance).join(titles, "item_id").select(
+            "item_id", F.lit("grouped").alias("item_type"), F.lit(BASELINE).alias("scenario"), "measure", "dimension", "status", "match_type"
+        )
+    bare = titles.where(~F.col("item_id").isin(*given)) if given else titles
+    if len(given) < len(grouped):
+        counted = bare.join(actual.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
+        some = F.coalesce("n", F.lit(0)) > 0
+        yield counted.select(
+            "item_id", F.lit("grouped").alias("item_type"), F.lit(BASELINE).alias("scenario"), "measure", F.lit(None).cast("string").alias("dimension"),
+            F.when(some, "PASS").otherwise("FAIL").alias("status"), F.when(some, "executable").otherwise("no-rows").alias("match_type"),
+        )

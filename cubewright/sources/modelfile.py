@@ -16,6 +16,24 @@ def _text(value: Any) -> str:
     return "\n".join(value) if isinstance(value, list) else value or ""
 
 
+def _title(single: dict) -> str | None:
+    """The literal title of a visual."""
+    for item in (single.get("vcObjects") or {}).get("title", []):
+        value = (((item.get("properties") or {}).get("text") or {}).get("expr") or {}).get("Literal", {}).get("Value")
+        if value:
+            return value.strip("'").replace("''", "'")
+    return None
+
+
+def _filter_target(item: dict) -> tuple[str | None, str | None]:
+    """(table, column) that a report filter is on."""
+    for kind in ("Column", "Measure", "HierarchyLevel"):
+        part = (item.get("expression") or {}).get(kind)
+        if part:
+            return ((part.get("Expression") or {}).get("SourceRef") or {}).get("Entity"), part.get("Property") or part.get("Level")
+    return None, None
+
+
 def relationships(model: dict) -> list[Relationship]:
     """Relationships of a TOM document; the many side is ``from`` unless it says otherwise."""
     out = []
@@ -31,7 +49,11 @@ def relationships(model: dict) -> list[Relationship]:
 
 
 def model_frames(spark: SparkSession, text: str, layout: str | None = None) -> dict[str, DataFrame]:
-    """Frames tables, columns, measures, relationships, visuals, pages and bookmarks of a TOM document and a report layout."""
+    """Frames tables, columns, measures, relationships, visuals, pages, bookmarks and filters of a TOM document and a report layout.
+
+    A table is calculated if one of its partitions is, a column if its type says so; their
+    formulas are metadata.  filters: those of the whole report.
+    """
     model = json.loads(text)
     body = model.get("model", model)
     tables = [t for t in body.get("tables", []) if not t["name"].startswith(_HIDDEN)]
@@ -46,20 +68,27 @@ def model_frames(spark: SparkSession, text: str, layout: str | None = None) -> d
             config = json.loads(config) if isinstance(config, str) else config
             single = config.get("singleVisual", {})
             fields = [p["queryRef"] for ps in single.get("projections", {}).values() for p in ps if p.get("queryRef")]
-            visuals.append((name, config.get("name") or "", single.get("visualType") or "", fields))
+            visuals.append((name, config.get("name") or "", single.get("visualType") or "", fields, _title(single)))
     settings = report.get("config") or "{}"
     settings = json.loads(settings) if isinstance(settings, str) else settings
     marks = [(b.get("displayName") or b.get("name") or "", b.get("explorationState", {}).get("activeSection") or "") for b in settings.get("bookmarks", [])]
+    filters = report.get("filters") or "[]"
+    filters = json.loads(filters) if isinstance(filters, str) else filters
     frame = spark.createDataFrame
+    made = {t["name"]: [p["source"] for p in t.get("partitions", []) if (p.get("source") or {}).get("type") == "calculated"] for t in tables}
     return {
-        "tables": frame([(t["name"],) for t in tables], "table string"),
-        "columns": frame([(t["name"], c["name"], c.get("dataType") or "") for t in tables for c in t.get("columns", [])], "table string, column string, data_type string"),
+        "tables": frame([(n, bool(p), _text(p[0].get("expression")) if p else None) for n, p in made.items()], "table string, calculated boolean, formula string"),
+        "columns": frame(
+            [(t["name"], c["name"], c.get("dataType") or "", c.get("type") == "calculated", _text(c.get("expression")) or None) for t in tables for c in t.get("columns", [])],
+            "table string, column string, data_type string, calculated boolean, formula string",
+        ),
         "measures": frame([(t["name"], m["name"], _text(m.get("expression")), m.get("formatString") or "") for t in tables for m in t.get("measures", [])], "table string, measure string, formula string, format string"),
         "relationships": frame(
             [(r["fromTable"], r["fromColumn"], r["toTable"], r["toColumn"], r.get("isActive", True)) for r in links],
             "from_table string, from_column string, to_table string, to_column string, active boolean",
         ),
-        "visuals": frame(visuals, "page string, visual string, visual_type string, fields array<string>"),
+        "visuals": frame(visuals, "page string, visual string, visual_type string, fields array<string>, title string"),
+        "filters": frame([(f.get("name") or "", *_filter_target(f)) for f in filters], "filter string, table string, column string"),
         "pages": frame(pages, "page string"),
         "bookmarks": frame(marks, "bookmark string, page string"),
     }

@@ -65,17 +65,25 @@ def test_model_file_feeds_the_rules(spark):
     model = {
         "model": {
             "tables": [
-                {"name": "Sales", "columns": [{"name": "shop"}], "measures": [{"name": "Total", "expression": ["SUM(", "x)"]}, {"name": "Empty"}]},
+                {"name": "Sales", "columns": [{"name": "shop"}, {"name": "net", "type": "calculated", "expression": "[a] - [b]"}], "measures": [{"name": "Total", "expression": ["SUM(", "x)"]}, {"name": "Empty"}]},
                 {"name": "LocalDateTable_1", "columns": []},
-                {"name": "Shops", "columns": []},
+                {"name": "Shops", "columns": [], "partitions": [{"source": {"type": "calculated", "expression": ["VALUES(", "x)"]}}]},
             ],
             "relationships": [{"fromTable": "Sales", "fromColumn": "shop", "toTable": "Shops", "toColumn": "shop", "crossFilteringBehavior": "bothDirections"}],
         }
     }
-    config = {"name": "v1", "singleVisual": {"visualType": "card", "projections": {"Values": [{"queryRef": "Sales.Total"}]}}}
+    title = {"title": [{"properties": {"text": {"expr": {"Literal": {"Value": "'Sales''s card'"}}}}}]}
+    config = {"name": "v1", "singleVisual": {"visualType": "card", "vcObjects": title, "projections": {"Values": [{"queryRef": "Sales.Total"}]}}}
     layout = {"sections": [{"displayName": "Home", "visualContainers": [{"config": json.dumps(config)}]}, {"displayName": "Blank"}]}
+    layout["filters"] = json.dumps([{"name": "f", "expression": {"Column": {"Expression": {"SourceRef": {"Entity": "Sales"}}, "Property": "shop"}}}])
     frames = modelfile.model_frames(spark, json.dumps(model), json.dumps(layout))
     assert modelfile.relationships(model)[0].both_directions
+    assert [tuple(r) for r in frames["tables"].collect()] == [("Sales", False, None), ("Shops", True, "VALUES(\nx)")]
+    assert [(r.column, r.calculated, r.formula) for r in frames["columns"].collect()] == [("shop", False, None), ("net", True, "[a] - [b]")]
+    assert frames["visuals"].first().title == "Sales's card" and [tuple(r) for r in frames["filters"].collect()] == [("f", "Sales", "shop")]
+    broken = {k: v for k, v in frames.items() if k != "pages"} | {"measures": spark.createDataFrame([("Sales", "Total")], "table string, measure string")}
+    errors = {r.entity for r in rules.check_model(broken).where("rule_id = 'RULE-ERROR'").collect()}
+    assert errors == {"measures_have_formulas", "pages_have_visuals", "bookmarks_have_pages"}
     found = {(r["rule_id"], r["entity"]) for r in rules.check_model(frames).where("not passed").collect()}
     assert found == {("MD-001", "Sales[Empty]"), ("MD-002", "Shops"), ("MD-003", "Sales->Shops"), ("MD-007", "Blank")}
     assert rules.check_images(spark.createDataFrame([("a", None), ("b", 100), ("c", 900)], "image string, width int")).count() == 2
