@@ -253,24 +253,26 @@ class Evaluator:
                     flags[group] = F.coalesce(F.col(name), F.lit(False))
             return flags[group]
 
-        conditions = {}
-        for leaf in leaves:
-            parts = [r.predicate(schema) for r in leaf.context if r.table == table]
+        # One expression for each context, shared by all its leaves.
+        contexts: dict[Context, Column | None] = {}
+        for context in dict.fromkeys(leaf.context for leaf in leaves):
+            parts = [r.predicate(schema) for r in context if r.table == table]
             others: dict[str, list[Restriction]] = {}
-            for r in leaf.context:
+            for r in context:
                 if r.table != table:
                     others.setdefault(r.table, []).append(r)
-            for group in others.values():
-                f = flag(tuple(group))
-                if f is not None:  # a filter that doesn't reach the table changes nothing
-                    parts.append(f)
-            if leaf.aggregate.where is not None:
-                parts.append(_column(leaf.aggregate.where))
-            conditions[leaf] = reduce(Column.__and__, parts) if parts else None
+            # A filter that doesn't reach the table changes nothing.
+            parts += [f for group in others.values() if (f := flag(tuple(group))) is not None]
+            contexts[context] = reduce(Column.__and__, parts) if parts else None
+        conditions: dict[Leaf, Column | None] = {}
+        for leaf in leaves:
+            both = [c for c in (contexts[leaf.context], None if leaf.aggregate.where is None else _column(leaf.aggregate.where)) if c is not None]
+            conditions[leaf] = reduce(Column.__and__, both) if both else None
         if all(c is not None for c in conditions.values()):
             # No leaf needs the other rows: they are filtered before anything is grouped.
-            df = df.where(reduce(Column.__or__, conditions.values()))
-        return df, {leaf: F.lit(True) if c is None else c for leaf, c in conditions.items()}
+            keep = [contexts[c] for c in contexts] if all(c is not None for c in contexts.values()) else list(conditions.values())
+            df = df.where(reduce(Column.__or__, keep))
+        return df, conditions
 
     def _leaves(self, leaves: Sequence[Leaf], by: Group | None, typed: bool = False) -> DataFrame:
         """Columns ``l0``, ``l1`` and so on, in one row or one row for each value of ``by`` (column ``dim``)."""
@@ -287,7 +289,7 @@ class Evaluator:
             keyed = [] if by is None else ["dim"]
             if distinct:
                 value = _column(members[0].aggregate.value)
-                marked = df.groupBy(*keys, value.alias("v")).agg(*[F.max(F.coalesce(conditions[m], F.lit(False))).alias(f"l{number[m]}") for m in members])
+                marked = df.groupBy(*keys, value.alias("v")).agg(*[F.max(F.lit(True) if conditions[m] is None else F.coalesce(conditions[m], F.lit(False))).alias(f"l{number[m]}") for m in members])
                 seen = marked.groupBy(*keyed).agg(*[F.count(F.when(F.col(f"l{number[m]}") & F.col("v").isNotNull(), 1)).alias(f"l{number[m]}") for m in members])
                 frames.append(seen)
                 continue
@@ -295,9 +297,9 @@ class Evaluator:
             for m in members:
                 a, on = m.aggregate, conditions[m]
                 if a.kind == "rows":
-                    out = F.count(F.when(on, 1))
+                    out = F.count(F.lit(1) if on is None else F.when(on, 1))
                 else:
-                    value = F.when(on, _column(a.value))
+                    value = _column(a.value) if on is None else F.when(on, _column(a.value))
                     out = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}[a.kind](value)
                     if not typed and a.kind in ("sum", "avg"):
                         out = out.cast("double")
@@ -350,7 +352,8 @@ class Evaluator:
         column = self.model.column(table, column)
         rows = Leaf(M.Aggregate("rows", table), tuple(self.restriction(f) for f in filters))
         df, conditions = self._base(table, [rows], None)
-        found = df.where(conditions[rows]).select(F.col(column).alias("dim")).where("dim IS NOT NULL").distinct()
+        kept = df if conditions[rows] is None else df.where(conditions[rows])
+        found = kept.select(F.col(column).alias("dim")).where("dim IS NOT NULL").distinct()
         return ordered(found, ["dim"], [], limit)
 
     def matrix(self, measures: Mapping[str, M.Node] | Sequence[str], scenarios: Mapping[str, Sequence[M.Is]]) -> DataFrame:
@@ -359,9 +362,11 @@ class Evaluator:
         contexts = {scenario: tuple(self.restriction(f) for f in filters) for scenario, filters in scenarios.items()}
         names = [(scenario, name) for scenario in contexts for name in wanted]
         columns, leaves = self._expanded([(node, context) for context in contexts.values() for node in wanted.values()])
-        row = self._leaves(leaves, None)
-        listed = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(n).alias("measure"), c.cast("double").alias("value")) for (s, n), c in zip(names, columns)])
-        return row.select(F.explode(listed).alias("cell")).select("cell.*")
+        cells = self._leaves(leaves, None).select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+        if not columns:
+            return cells.select(F.lit(None).cast("string").alias("scenario"), F.lit(None).cast("string").alias("measure"), F.lit(None).cast("double").alias("value")).limit(0)
+        listed = ", ".join(f"{_quoted(scenario)}, {_quoted(name)}, c{i}" for i, (scenario, name) in enumerate(names))
+        return cells.select(F.expr(f"stack({len(names)}, {listed})").alias("scenario", "measure", "value"))
 
     def try_values(self, measures: Mapping[str, M.Node], filters: Sequence[M.Is] = ()) -> tuple[DataFrame | None, dict[str, str]]:
         """The measures that can be answered, and why the others are refused."""
@@ -399,6 +404,11 @@ def ordered(df: DataFrame, order: Sequence[str], ties: Sequence[str] = (), limit
     return out if limit is None else out.limit(limit)
 
 
+def _quoted(text: str) -> str:
+    """A text as a literal of Spark's SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _column(value: M.Formula | str | None) -> Column:
     if value is None:
         raise Refused("this aggregate needs a column")

@@ -138,6 +138,13 @@ def test_scenarios_share_their_joins(model):
     assert {r.value for r in few.where("measure = 'a'").collect()} == {5.0}
 
 
+def test_any_text_names_a_scenario(model):
+    odd = "it's \\n a `b` \"c\" é $x {0} -- /* */"
+    got = Evaluator(model, {odd: AMOUNT}).matrix([odd], {odd: (), "": ()}).collect()
+    assert {(r.scenario, r.measure, r.value) for r in got} == {(odd, odd, 13.0), ("", odd, 13.0)}
+    assert Evaluator(model).matrix({}, {"all": ()}).count() == 0 == Evaluator(model, {"a": AMOUNT}).matrix(["a"], {}).count()
+
+
 def test_bounds_of_a_matrix_are_one_job(model, spark):
     named = {"ytd": M.to_date(AMOUNT, "year"), "ly": M.calculate(AMOUNT, M.same_period_last_year()), "run": M.calculate(AMOUNT, M.UpTo("days", "date", "<=", "max", "days", "date"))}
     scenarios = {str(y): (M.Is("days", "year", y),) for y in (2019, 2020, 2021)} | {"all": ()}
