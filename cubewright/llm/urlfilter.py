@@ -15,6 +15,7 @@ and one sum over two-column tables, written to the shared scratch folder.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +44,11 @@ def path_of(url: Column) -> Column:
 
 def _rule_table(spark: SparkSession, rules: Rules) -> DataFrame:
     """(rule, action, name, path), one row for each rule; of one rule with several actions block stays."""
-    given = rules.select("action", "rule") if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "action string, rule string")
+    if isinstance(rules, DataFrame):
+        given = rules.select("action", "rule")
+    else:  # one literal, so that no Python worker is asked for it; long lists come as a DataFrame
+        listed = F.from_json(F.lit(json.dumps([{"action": a, "rule": r} for a, r in rules])), "array<struct<action:string,rule:string>>")
+        given = spark.range(1).select(F.inline(listed))
     once = given.where("rule is not null").groupBy("rule").agg(F.max("action").alias("action"))
     name = F.substring_index("rule", "/", 1)
     return once.select("rule", "action", name.alias("name"), F.expr("substr(rule, length(substring_index(rule, '/', 1)) + 1)").alias("path"))
