@@ -274,6 +274,25 @@ class Evaluator:
             df = df.where(reduce(Column.__or__, keep))
         return df, conditions
 
+    def _check(self, leaf: Leaf, by: Group | None) -> None:
+        """Refuse a leaf whose columns, filters or groups the model can't bring to its table; no frame is made."""
+        model, table = self.model, self.model.name(leaf.aggregate.table)
+        if isinstance(leaf.aggregate.value, str):
+            model.column(table, leaf.aggregate.value)
+        wanted = list(leaf.aggregate.related)
+        if isinstance(by, Band):
+            if model.name(by.table) != table:
+                raise Refused(f"rows of {table} have no formula over rows of {by.table}")
+            wanted += by.using
+        elif by is not None:
+            wanted.append(by)
+        for other, column in wanted:
+            model.column(other, column)
+            if model.name(other) != table:
+                model.lookup_route(table, other)
+        for other in {r.table for r in leaf.context} - {table}:
+            model.route(other, table)
+
     def _leaves(self, leaves: Sequence[Leaf], by: Group | None, typed: bool = False) -> DataFrame:
         """Columns ``l0``, ``l1`` and so on, in one row or one row for each value of ``by`` (column ``dim``)."""
         number = {leaf: i for i, leaf in enumerate(leaves)}
@@ -379,10 +398,8 @@ class Evaluator:
         for name, node in measures.items():
             try:
                 _, leaves = self._expanded([(node, tuple(self.restriction(f) for f in filters))])
-                for table in {self.model.name(leaf.aggregate.table) for leaf in leaves}:
-                    self._base(table, [leaf for leaf in leaves if self.model.name(leaf.aggregate.table) == table], by)
-                    if by is not None:
-                        self._dimension(table, by)
+                for leaf in leaves:
+                    self._check(leaf, by)
                 if by is not None and not leaves:
                     raise Refused("a measure without any aggregate can't be grouped")
                 good[name] = node

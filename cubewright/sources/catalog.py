@@ -16,7 +16,7 @@ import pyarrow as pa
 from py4j.java_gateway import is_instance_of
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,12 +238,13 @@ def low_cardinality(df: DataFrame, most: int = 24, columns: int = 60, text_only:
 def slicer_members(tables: Mapping[str, DataFrame], slicers: list[tuple[str, str]], most: int = 8) -> DataFrame:
     """table, column, member of slicers with 2 to ``most`` different values."""
     frames = [
-        tables[t].where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("member")).count().select(F.lit(t).alias("table"), F.lit(c).alias("column"), "member")
+        tables[t].where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("member")).distinct().select(F.lit(t).alias("table"), F.lit(c).alias("column"), "member")
         for t, c in slicers
     ]
-    every = reduce(DataFrame.unionByName, frames)
-    kept = every.groupBy("table", "column").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= most)).drop("n")
-    return every.join(F.broadcast(kept), ["table", "column"])  # a row for each slicer
+    # No more than one member above the bound of each slicer comes together, so a long list stays where it is.
+    one = Window.partitionBy("table", "column")
+    first = reduce(DataFrame.unionByName, frames).withColumn("__n", F.row_number().over(one.orderBy("member"))).where(F.col("__n") <= most + 1)
+    return first.withColumn("__n", F.count("*").over(one)).where(F.col("__n").between(2, most)).drop("__n")
 
 
 @dataclass(frozen=True)
