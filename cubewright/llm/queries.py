@@ -1,4 +1,4 @@
-"""The eleven registered queries of this subpackage, with their SQL where SQL can express them."""
+"""The registered queries of this subpackage, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .bpe import bpe_encode
 from .decontam import contamination
 from .langid import fit_languages, identify_languages
 from .linequality import fit_lines, quality_counts
+from .packing import pack_sequences
 from .pii import KINDS, fit_spans, personal_data
 from .ppm import language_model_scores
 from .simhash import simhash_groups
@@ -116,6 +117,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_link_graph": op1_link_graph,
@@ -128,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
+        "op11_packing": op11_packing,
     }
 
 
