@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .decontam import contamination
+from .divergence import divergence_audit
 from .langid import fit_languages, identify_languages
 from .linequality import fit_lines, quality_counts
 from .packing import pack_sequences
@@ -122,6 +123,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_link_graph": op1_link_graph,
@@ -135,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
         "op11_packing": op11_packing,
+        "op13_divergence": op13_divergence,
     }
 
 
@@ -182,5 +188,38 @@ FROM f
 """
 
 
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs
+  FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS total FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM k GROUP BY ALL),
+held AS (SELECT lang, source, term, n FROM c JOIN k USING (lang, term)),
+g AS (
+  SELECT s.lang, s.source, coalesce(any_value(v.v), 0) AS v, coalesce(any_value(v.lang_n), 0) AS lang_n, coalesce(sum(h.n), 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN v ON s.lang = v.lang LEFT JOIN held h ON s.lang = h.lang AND s.source = h.source
+  GROUP BY s.lang, s.source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+         1 + (1000000000 * (coalesce(h.n, 0) + 5)) // (g.n + 5 * g.v) AS p, 1 + (1000000000 * (k.total + 5)) // (g.lang_n + 5 * g.v) AS q
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN held h ON g.lang = h.lang AND g.source = h.source AND k.term = h.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+term AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', item, CAST(value AS BIGINT), row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM term QUALIFY rank <= 50)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op4_winnowing": OP4_SQL, "op8_warc": OP8_SQL, "op13_divergence": OP13_SQL}
