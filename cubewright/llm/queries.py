@@ -12,6 +12,7 @@ from .bpe import bpe_encode
 from .decontam import contamination
 from .divergence import divergence_audit
 from .langid import fit_languages, identify_languages
+from .lexical import ranked_search
 from .linequality import fit_lines, quality_counts
 from .packing import pack_sequences
 from .pii import KINDS, fit_spans, personal_data
@@ -123,6 +124,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(_table(spark, sf_dir, "documents"))
 
@@ -140,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_bpe": op10_bpe,
         "op11_packing": op11_packing,
+        "op12_block_max_wand": op12_block_max_wand,
         "op13_divergence": op13_divergence,
     }
 
@@ -188,6 +194,26 @@ FROM f
 """
 
 
+_TERMS = _WORDS.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60")
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0),
+q AS (
+  SELECT qid, item_id, unnest(list_distinct(w)) AS term
+  FROM (SELECT row_number() OVER () AS qid, item_id, {_TERMS.format("coalesce(text, '')")} AS w FROM benchmark)),
+p AS (
+  SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+t AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY term),
+scored AS (
+  SELECT qid, item_id, rid, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS score
+  FROM q JOIN p USING (term) JOIN t USING (term), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
 OP13_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -222,4 +248,4 @@ SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranke
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_winnowing": OP4_SQL, "op8_warc": OP8_SQL, "op13_divergence": OP13_SQL}
+    return {"op4_winnowing": OP4_SQL, "op8_warc": OP8_SQL, "op12_block_max_wand": OP12_SQL, "op13_divergence": OP13_SQL}
