@@ -209,13 +209,24 @@ class Model:
 
         return outward(df, self.name(table), "")
 
-    def keys_after(self, source: str, target: str, filtered: DataFrame) -> tuple[str, DataFrame] | None:
-        """(column of ``target``, distinct ``key`` values) that ``filtered`` rows of ``source`` leave; None where the filter doesn't reach."""
+    def keys_after(self, source: str, target: str, rows: DataFrame, masks: list[Column]) -> tuple[str, DataFrame] | None:
+        """(column of ``target``, distinct ``key`` values with the masks that ``rows`` of ``source`` leave); None where no filter reaches.
+
+        masks: numbers whose bits are the filters that a row meets; a key has the bits of
+        all its rows together, so many filters come over each hop in one join.  Keys that
+        no filter leaves are absent.
+        """
         route = self.route(source, target)
         if route is None:
             return None
-        keys = filtered.select(F.col(route[0].source_column).alias("key")).distinct()
+        names = [f"m{i}" for i in range(len(masks))]
+
+        def by_key(frame: DataFrame, column: str) -> DataFrame:
+            return frame.groupBy(F.col(column).alias("key")).agg(*[F.bit_or(n).alias(n) for n in names])
+
+        marked = rows.select(F.col(route[0].source_column).alias("__key"), *[m.alias(n) for m, n in zip(masks, names)])
+        keys = by_key(marked.where(" OR ".join(f"{n} <> 0" for n in names)), "__key")
         for here, after in zip(route, route[1:]):
-            rows = self.table(here.table).join(keys, F.col(here.column) == F.col("key"), "left_semi")
-            keys = rows.select(F.col(after.source_column).alias("key")).distinct()
+            own = self.table(here.table).select(F.col(here.column).alias("__here"), F.col(after.source_column).alias("__after"))
+            keys = by_key(own.join(keys, F.col("__here") == F.col("key")).select("__after", *names), "__after")
         return route[-1].column, keys.where("key IS NOT NULL")

@@ -210,6 +210,52 @@ _measure("TI-07_date_bound", M.calculate(M.greatest("orders", lambda: F.year("o_
 _measure("TI-08_no_dates_left", "QTD", "SELECT CAST(NULL AS DOUBLE) AS value", (M.Is("calendar", "year", 2050),))
 
 
+# Groups whose context has lost or moved the group's member.
+
+_measure(
+    "CTX-03_share_by_segment",
+    "Share of All",
+    f"SELECT c_mktsegment AS dim, {_round(f'sum(o_totalprice) / {_VALUE}')} AS value FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+    by=("customer", "c_mktsegment"),
+)
+_measure(
+    "CTX-04_running_by_year",
+    "Running",
+    f"SELECT CAST(year(o_orderdate) AS INTEGER) AS dim, {_round('sum(sum(o_totalprice)) OVER (ORDER BY year(o_orderdate))')} AS value FROM orders GROUP BY year(o_orderdate)",
+    by=("calendar", "year"),
+)
+_measure(
+    "TI-01_year_to_date_by_month",
+    "YTD",
+    f"SELECT CAST(month(o_orderdate) AS INTEGER) AS dim, {_round('sum(sum(o_totalprice)) OVER (ORDER BY month(o_orderdate))')} AS value FROM orders WHERE year(o_orderdate) = 1997 GROUP BY month(o_orderdate)",
+    (M.Is("calendar", "year", 1997),),
+    ("calendar", "month"),
+)
+_measure(
+    "TI-06_prior_year_by_year",
+    "Prior Year",
+    f"""WITH b AS (SELECT year(o_orderdate) AS y, min(o_orderdate) - INTERVAL 1 YEAR AS lo, max(o_orderdate) - INTERVAL 1 YEAR AS hi FROM
+      (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS o_orderdate FROM orders) GROUP BY 1)
+    SELECT CAST(y AS INTEGER) AS dim, {_round('sum(o_totalprice)')} AS value FROM b JOIN orders ON o_orderdate >= lo AND o_orderdate <= hi GROUP BY 1""",
+    by=("calendar", "year"),
+)
+
+
+@query(
+    "TI-02_periods_by_month",
+    """WITH d AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS k, * FROM orders),
+    p AS (SELECT k, min(date_trunc('quarter', o_orderdate)) AS q, min(date_trunc('month', o_orderdate)) AS m, min(date_trunc('month', o_orderdate)) + INTERVAL 1 MONTH AS e FROM d GROUP BY 1)
+    SELECT CAST(k % 100 AS INTEGER) AS dim, round(sum(d2.o_totalprice), 4) AS qtd, round(sum(d2.o_totalprice) FILTER (d2.o_orderdate >= m), 4) AS mtd, count(DISTINCT d2.o_custkey) AS customers,
+      round(max(d2.o_totalprice), 4) AS largest FROM p JOIN orders d2 ON d2.o_orderdate >= q AND d2.o_orderdate < e WHERE k // 100 = 1996 GROUP BY 1""",
+)
+def _periods_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = {
+        "qtd": M.Reference("QTD"), "mtd": M.Reference("MTD"), "customers": M.to_date(M.distinct_count("orders", "o_custkey"), "quarter"), "largest": M.to_date(M.greatest("orders", "o_totalprice"), "quarter"),
+    }
+    out = _evaluator(spark, sf_dir).values(wanted, [M.Is("calendar", "year", 1996)], ("calendar", "month"))
+    return _rounded(out, "qtd", "mtd", "largest")
+
+
 @query(
     "WIN-06_running_and_share",
     """WITH g AS (SELECT year(o_orderdate) AS year, sum(o_totalprice) AS v FROM orders GROUP BY 1)
