@@ -13,9 +13,11 @@ into sequences of powers of two, which aren't padded.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ SEQUENCE_TOKENS, END_ID = 2048, 1
 GROUP_PIECES = 8192
 #: Bytes of a generation of the cache of encoded words.
 WORD_CACHE_BYTES = 80 << 20
+#: Words and pieces that are cut and encoded together.
+TOGETHER = 128
 _SALT = 20_011
 
 
@@ -41,7 +45,9 @@ class WordEncoder:
     """Packed ids (little-endian, 32 bits) of whole texts, word by word through a bounded cache.
 
     White space never stands in a token of the vocabularies that the cutter accepts, so
-    words are encoded apart; the library itself encodes those that the cache lacks.
+    words are encoded apart.  Words that the cache lacks are cut into pieces, and pieces
+    that a second cache lacks go to the library many at once: each piece ends with the
+    only token that has the vocabulary's end of a word, which parts the result again.
     """
 
     def __init__(self, path: str, cache_bytes: int = WORD_CACHE_BYTES):
@@ -49,17 +55,51 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        Cutter(path, self.library)  # refuses a vocabulary whose tokens may hold white space
-        self.cache = Cache(self._encode, cache_bytes)
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.library.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
+        self.cutter = Cutter(path, self.library)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None) or ""
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        self.words = Cache(self._encode_words, cache_bytes)
+        self.pieces = Cache(self._encode_pieces, cache_bytes // 2)
+
+    def _alone(self, items: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.library.encode_batch_fast(items, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        (found,) = self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip([0, *stops], stops)] if len(stops) == len(pieces) and stops[-1] == len(packed) else self._alone(pieces)
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), TOGETHER):
+            part = pieces[at : at + TOGETHER]
+            out += self._together(part) if self.cutter.is_plain(" ".join(part)) else self._alone(part)
+        return out
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        cut: list[list[str]] = []
+        for at in range(0, len(words), TOGETHER):
+            cut += self.cutter.each(b"\n".join(words[at : at + TOGETHER]).decode("utf-8"))
+        found = self.pieces.lookup(set(chain.from_iterable(cut)))
+        return [found[p[0]] if len(p) == 1 else b"".join(map(found.__getitem__, p)) for p in cut]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        known = self.words.young.get
         split = [(t or "").encode("utf-8").split() for t in texts]
-        found = self.cache.lookup(set().union(*split))
-        return [b"".join(map(found.__getitem__, words)) for words in split]
+        values = [list(map(known, words)) for words in split]
+        holes = [[i for i, v in enumerate(row) if v is None] for row in values]
+        missing = {words[i] for words, at in zip(split, holes) for i in at}
+        if missing:
+            found = self.words.lookup(missing)
+            for words, row, at in zip(split, values, holes):
+                for i in at:
+                    row[i] = found[words[i]]
+        return list(map(b"".join, values))
 
 
 class Tournament:
@@ -156,6 +196,7 @@ def _cut(tokenizer_path: str, room: int, end_id: int, schema: pa.Schema, id_col:
         encoder = None
         key = ("words", tokenizer_path)
         release(key)
+        gc.disable()  # many short lists and no cycles: what isn't needed goes by itself
         for batch in batches:
             for part in slices(batch, text_col):
                 encoder = encoder or kept(key, lambda: WordEncoder(tokenizer_path))
@@ -171,6 +212,7 @@ def _cut(tokenizer_path: str, room: int, end_id: int, schema: pa.Schema, id_col:
                         ids.append(piece)
                 columns = [part.column(id_col).take(pa.array(rows, pa.int64())), starts, sizes, totals, ids]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, schema)], schema=schema)
+        gc.enable()
         give_back()
 
     return run

@@ -62,6 +62,12 @@ class Cutter:
     def is_plain(self, text: str) -> bool:
         return self.known and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self._starts)
 
+    def each(self, words: str) -> list[list[str]]:
+        """Pieces and odd words of each of the words that line ends part."""
+        if self.is_plain(words):
+            return list(map(_PIECES.findall, words.lower().split("\n")))
+        return list(map(self, words.split("\n")))
+
     def __call__(self, text: str) -> list[str]:
         """Pieces, lower-cased, and odd words as they stand, in order; the two never look alike."""
         if self.is_plain(text):
