@@ -33,13 +33,35 @@ def in_order_once(values: Column) -> Column:
     return F.array_distinct(F.array_compact(values))
 
 
+#: Stretches that a running total over all rows is cut into, and keys that are looked at to cut it evenly.
+STRETCHES, LOOKED_AT = 64, 10_000
+
+
 def running_total(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), name: str = "running") -> DataFrame:
     """Adds the sum of ``value`` over the rows up to each one in ``order``, apart for each value of ``by``.
 
-    For the rows of a visual: without ``by`` all of them are ordered in one place.
+    Without ``by`` the rows are cut into stretches by their order, at keys of some of the
+    rows: each stretch is summed up in itself and gets the sum of those before it.  Rows
+    of equal order keys stay in one stretch, in no certain order.
     """
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(value).over(w))
+    if by:
+        return df.withColumn(name, F.sum(value).over(w))
+    key = F.struct(*order)
+    # Any rows do, as they only balance the stretches.
+    looked = df.select(key.alias("k"), F.xxhash64(*order).alias("h")).orderBy("h").limit(LOOKED_AT)
+    keys = looked.agg(F.sort_array(F.collect_list("k")).alias("all"))  # one row, of so many keys at most
+    places = F.transform(F.sequence(F.lit(1), F.lit(STRETCHES - 1)), lambda i: F.get("all", F.floor(i * F.size("all") / STRETCHES).cast("int")))
+    cuts = keys.select(F.array_distinct(F.filter(places, lambda k: k.isNotNull())).alias("__cuts"))
+    rows = df.join(F.broadcast(cuts)).withColumn("__stretch", F.size(F.filter("__cuts", lambda c: c <= key))).drop("__cuts")
+    sums = rows.groupBy("__stretch").agg(F.sum(value).alias("s")).agg(F.collect_list(F.struct("__stretch", "s")).alias("__sums"))  # of 64 stretches at most
+    within = Window.partitionBy("__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.filter("__sums", lambda e: (e["__stretch"] < F.col("__stretch")) & e["s"].isNotNull())
+    kind = rows.agg(F.sum(value).alias("s")).schema["s"].dataType
+    earlier = F.aggregate(before, F.lit(None).cast(kind), lambda a, e: F.coalesce((a + e["s"]).cast(kind), e["s"].cast(kind)))
+    own = F.sum(value).over(within)
+    total = F.when(own.isNull(), F.col("__before")).when(F.col("__before").isNull(), own).otherwise(own + F.col("__before"))
+    return rows.join(F.broadcast(sums)).withColumn("__before", earlier).withColumn(name, total).drop("__stretch", "__sums", "__before")
 
 
 def share_of_total(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "share") -> DataFrame:

@@ -90,20 +90,37 @@ def expand(subjects: DataFrame, proofs: DataFrame, standing: DataFrame) -> DataF
     )
 
 
+def _grams(text: str, size: int) -> Column:
+    """The different grams of so many letters; none in a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) of all different texts of ``parts`` that lie within one of ``wholes``; frames of one text column, empty and null parts lie in nothing."""
+    part = parts.toDF("part").where("part <> ''").distinct()
+    whole = wholes.toDF("whole").where("whole <> ''").distinct()
+    index = whole.select("whole", F.explode(F.concat(*[_grams("whole", n) for n in (1, 2, 3)])).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count("*").alias("held"))
+    own = F.when(F.length("part") < 3, F.array("part")).otherwise(_grams("part", 3))
+    asked = part.select("part", F.explode(own).alias("gram")).join(counts, "gram", "left")
+    # A gram that no whole has says that the part lies in none.
+    rarest = asked.groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")).alias("gram"))
+    return rarest.join(index, "gram").where(F.contains("whole", F.col("part"))).select("part", "whole")
+
+
 def match_findings(cases: DataFrame, findings: DataFrame) -> DataFrame:
     """test_case_id, status, findings: each generated case with the findings it is about.
 
     cases: test_case_id, rule_id, entity (part of a finding's entity, whatever its case).
     findings: rule_id, entity, passed.  Findings of both the rule and the entity come
     first, then those of the rule, then those of the entity.  A case without any isn't
-    executed; one failure fails it.  Findings are metadata: a case's entity is looked for
-    among the different entities of findings, not among rows.
+    executed; one failure fails it.  A case's entity is looked for under the rarest of its
+    three-letter grams in an index of the findings' entities; shorter ones are grams themselves.
     """
     c = cases.select("test_case_id", F.trim(F.coalesce("rule_id", F.lit(""))).alias("r"), F.lower(F.trim(F.coalesce("entity", F.lit("")))).alias("e"))
     f = findings.select("rule_id", F.lower(F.coalesce("entity", F.lit(""))).alias("entity"), "passed")
-    names = f.select("entity").distinct().agg(F.collect_list("entity").alias("names"))
-    asked = c.where("e <> ''").select("e").distinct().join(F.broadcast(names))
-    inside = asked.select("e", F.explode(F.filter("names", lambda n: F.contains(n, F.col("e")))).alias("entity"))
+    inside = contained(c.select("e"), f.select("entity")).toDF("e", "entity")
     of_rule = c.where("r <> ''").join(f, F.col("r") == F.col("rule_id")).join(inside.withColumn("both", F.lit(True)), ["e", "entity"], "left")
     by_rule = of_rule.select("test_case_id", F.when(F.col("both"), 0).otherwise(1).alias("rank"), "rule_id", "entity", "passed")
     by_entity = c.join(inside, "e").join(f, "entity").select("test_case_id", F.lit(2).alias("rank"), "rule_id", "entity", "passed")

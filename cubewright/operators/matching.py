@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import difflib
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import column_concepts, column_words, normal_column, normal_table
+from ..scratch import Scratch
+from .similar import FUZZY, FUZZY_TOP, REVIEW, TIERS, name_matches, ratio
 
 # Endings of key columns.
 KEY_ENDINGS = ("key", "id", "no", "code")
 LEAST_ENDING, MOST_JOINS = 4, 60
-# How sure each way of matching two column names is, the surest first.
-TIERS = (("exact", 1.0), ("case", 0.99), ("normalised", 0.97), ("tokens", 0.96), ("tokens-reordered", 0.93), ("synonym", 0.91))
-FUZZY, FUZZY_TOP, REVIEW = 0.86, 0.88, 0.70
 
 
 def _key_like(column):
@@ -97,7 +95,8 @@ def similarities(model_columns: DataFrame, source_columns: DataFrame) -> DataFra
 
     Both frames: table, column, with one name for both tables of a pair.  The first tier
     of ``TIERS`` that holds decides; what no tier settles is compared letter by letter,
-    ``fuzzy`` where the ratio is high and ``unresolved`` elsewhere.
+    ``fuzzy`` where the ratio is high and ``unresolved`` elsewhere.  This lists what is
+    far apart too, for a person to look at; :func:`matched_columns` finds the matches alone.
     """
 
     def forms(df: DataFrame, name: str) -> DataFrame:
@@ -118,10 +117,6 @@ def similarities(model_columns: DataFrame, source_columns: DataFrame) -> DataFra
     judged = pairs.withColumn("tier", tier)
     settled = judged.where("tier is not null").select("table", "m", "s", "tier.confidence", "tier.method")
 
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right)], dtype=float)
-
     r = F.when((m != "") & (s != ""), F.col("r")).otherwise(0.0)
     rest = judged.where("tier is null").withColumn("r", ratio("m_bare", "s_bare"))
     rest = rest.select(
@@ -130,6 +125,14 @@ def similarities(model_columns: DataFrame, source_columns: DataFrame) -> DataFra
     return settled.union(rest).withColumnsRenamed({"m": "column", "s": "source_column"})
 
 
+def matched_columns(model_columns: DataFrame, source_columns: DataFrame) -> DataFrame:
+    """The pairs of :func:`similarities` that count as matches, found through indexes: the different names of all tables are compared once."""
+    known = name_matches(*[df.select(F.col("column").alias("name")) for df in (model_columns, source_columns)])
+    left = model_columns.select("table", "column").distinct().join(known, "column")
+    right = source_columns.select("table", F.col("column").alias("source_column")).distinct()
+    return left.join(right, ["table", "source_column"]).select("table", "column", "source_column", "confidence", "method")
+
+
 def recognised(pairs: DataFrame) -> DataFrame:
     """Pairs of :func:`similarities` that count as matches."""
     return pairs.where((F.col("method") != "unresolved") & (F.col("confidence") >= REVIEW))
@@ -138,37 +141,38 @@ def recognised(pairs: DataFrame) -> DataFrame:
 def assign_columns(pairs: DataFrame) -> DataFrame:
     """table, column, source_column, confidence, method: within each table the strongest pairs first, no column twice.
 
-    pairs: as :func:`similarities` gives them.  Ties go to the first column, then source
-    column, by name.  One table's columns are assigned in one place.
+    pairs: as :func:`similarities` or :func:`matched_columns` gives them.  Ties go to the first column, then source
+    column, by name.  In each round every pair that is the first of both its columns is
+    taken, and pairs with a column of these go; as pairs are in one order, that gives what
+    taking them one by one gives.  Repeated pairs count once; a null column matches nothing.
     """
-
-    def assign(table: pd.DataFrame) -> pd.DataFrame:
-        taken: tuple[set, set] = (set(), set())
-        kept = []
-        for row in table.sort_values(["confidence", "column", "source_column"], ascending=[False, True, True]).itertuples():
-            if row.column not in taken[0] and row.source_column not in taken[1]:
-                taken[0].add(row.column)
-                taken[1].add(row.source_column)
-                kept.append(row.Index)
-        return table.loc[kept]
-
-    columns = ("table", "column", "source_column", "confidence", "method")
-    return recognised(pairs).select(*columns).groupBy("table").applyInPandas(assign, "table string, column string, source_column string, confidence double, method string")
+    names = ("table", "column", "source_column", "confidence", "method")
+    scratch = Scratch(pairs.sparkSession, "assigned")
+    left = scratch.table(recognised(pairs).select(*names).where("column IS NOT NULL AND source_column IS NOT NULL").distinct(), "pairs")
+    taken = []
+    while left.limit(1).count():
+        order = [F.desc("confidence"), "column", "source_column", "method"]
+        ranks = {x: F.row_number().over(Window.partitionBy("table", x).orderBy(*order)) for x in ("column", "source_column")}
+        ranked = left.withColumns({"own": ranks["column"], "other": ranks["source_column"]})
+        first = scratch.table(ranked.where("own = 1 AND other = 1").select(*names), "taken")
+        taken.append(first)
+        rest = left.join(first.select("table", "column"), ["table", "column"], "left_anti").join(first.select("table", "source_column"), ["table", "source_column"], "left_anti")
+        following = scratch.table(rest.select(*names), "pairs")
+        scratch.drop(left)
+        left = following
+    scratch.keep_only(*(taken or [left]))
+    return reduce(DataFrame.unionByName, taken) if taken else left
 
 
 def dataset_scores(model_columns: DataFrame, source_columns: DataFrame) -> DataFrame:
-    """table, dataset, column, confidence (null where unmatched) for every model table and dataset: what :func:`best_datasets` takes.
+    """table, dataset, column, confidence of every model column that a dataset holds: what :func:`best_datasets` takes.
 
-    model_columns: table, column; source_columns: dataset, column.  Every two are scored,
-    so both are metadata: hundreds of tables.
+    model_columns: table, column; source_columns: dataset, column.  A table and a dataset
+    that share nothing have no row.
     """
-    names = source_columns.select("dataset").distinct().agg(F.collect_list("dataset").alias("all"))
-    asked = model_columns.join(F.broadcast(names)).select(F.col("table").alias("model"), "column", F.explode("all").alias("dataset"))  # one row of names
-    key = F.concat_ws("\u0000", "model", "dataset").alias("table")
-    left = asked.select(key, "column")
-    right = asked.select("model", "dataset").distinct().join(source_columns, "dataset").select(key, "column")
-    best = recognised(similarities(left, right)).groupBy("table", "column").agg(F.max("confidence").alias("confidence"))
-    return asked.withColumn("pair", key).join(best.withColumnsRenamed({"table": "pair"}), ["pair", "column"], "left").select(F.col("model").alias("table"), "dataset", "column", "confidence")
+    known = name_matches(*[df.select(F.col("column").alias("name")) for df in (model_columns, source_columns)])
+    met = model_columns.select("table", "column").distinct().join(known, "column").join(source_columns.select("dataset", F.col("column").alias("source_column")), "source_column")
+    return met.groupBy("table", "dataset", "column").agg(F.max("confidence").alias("confidence"))
 
 
 def join_keys(wanted: DataFrame, hints: DataFrame, foreign_keys: DataFrame) -> DataFrame:

@@ -25,13 +25,18 @@ def scalar_verdicts(expected: DataFrame, actual: DataFrame, tolerance: float = 1
     number.  An item without a source row fails as ``no-rows``.
     """
     a = actual.select(F.col("item_id").alias("__id"), "value", "error")
-    joined = expected.join(a, F.col("item_id") == F.col("__id"), "left")
+    joined = expected.join(a.withColumnRenamed("__id", "there"), F.col("item_id") == F.col("there"), "left")
+    return judged_scalars(joined, tolerance)
+
+
+def judged_scalars(joined: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """The verdicts of :func:`scalar_verdicts` beside the columns of rows (dashboard_value, value, error, there) that have met; there: null without a source row."""
     compared = compare_display(F.col("dashboard_value"), F.col("value"), tolerance)
     shown = F.coalesce(F.trim("dashboard_value"), F.lit("")) != ""
     usable = parse_value(F.col("value"))["value"].isNotNull()
-    none = F.col("__id").isNull()
+    none = F.col("there").isNull()
     return joined.select(
-        "item_id",
+        *[c for c in joined.columns if c not in ("dashboard_value", "value", "error", "there")],
         _status(F.when(F.col("error").isNotNull() | none, F.lit(False)).when(~shown, usable).otherwise(compared["passed"])).alias("status"),
         F.when(F.col("error").isNotNull(), "error").when(none, "no-rows").when(~shown, "executable").otherwise(compared["match_type"]).alias("match_type"),
         F.when(shown, compared["difference"]).alias("difference"),
@@ -51,20 +56,37 @@ def grouped_verdicts(expected: DataFrame, actual: DataFrame, tolerance: float =
     value is no number passes as ``chart-category``; an item of which the source has
     more categories than shown gets a further failing row, dimension ``_COV``.
     """
-    e = expected.select("item_id", "dimension", "raw_value", _key("dimension").alias("key"))
-    a = actual.groupBy("item_id", _key("dimension").alias("key")).agg(F.min("value").alias("value")).withColumn("there", F.lit(True))
-    joined = e.join(a, ["item_id", "key"], "full")
+    return judged_charts(None, expected, actual, tolerance)
+
+
+def judged_charts(titles: DataFrame | None, expected: DataFrame, actual: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """:func:`grouped_verdicts` of the charts ``titles`` (item_id); one of them that shows nothing passes as ``executable`` if the source has a row.
+
+    Both sides meet in one grouping by category; what a whole chart shows and lacks is
+    counted from its categories.
+    """
+    key, text = _key("dimension").alias("key"), F.lit(None).cast("string")
+    e = expected.where(F.col("dimension").isNotNull()).select("item_id", key, F.struct("dimension", "raw_value").alias("point"), text.alias("value"), F.lit(False).alias("there"))
+    point = F.lit(None).cast(e.schema["point"].dataType).alias("point")
+    sides = [e, actual.select("item_id", key, point, "value", F.lit(True).alias("there"))]
+    if titles is not None:
+        sides = [side.join(F.broadcast(titles), "item_id", "left_semi") for side in sides]  # as many rows as the plan has charts
+        sides.append(titles.select("item_id", text.alias("key"), point, text.alias("value"), F.lit(False).alias("there")))
+    met = reduce(DataFrame.unionByName, sides).groupBy("item_id", "key").agg(F.collect_list("point").alias("points"), F.min("value").alias("value"), F.bool_or("there").alias("there"))
     compared = compare_display(F.col("raw_value"), F.col("value"), tolerance)
     unread = parse_value(F.col("raw_value"))["value"].isNull()
-    shown = joined.where(F.col("dimension").isNotNull()).select(
+    shown = met.select("item_id", "value", "there", F.inline("points")).select(
         "item_id", "dimension",
-        _status(F.when(F.col("there").isNull(), F.lit(False)).when(unread, F.lit(True)).otherwise(compared["passed"])).alias("status"),
-        F.when(F.col("there").isNull(), "chart-missing").when(unread, "chart-category").otherwise(compared["match_type"]).alias("match_type"),
+        _status(F.when(~F.col("there"), F.lit(False)).when(unread, F.lit(True)).otherwise(compared["passed"])).alias("status"),
+        F.when(~F.col("there"), "chart-missing").when(unread, "chart-category").otherwise(compared["match_type"]).alias("match_type"),
+    )
+    counted = met.groupBy("item_id").agg(F.sum(F.size("points")).alias("shown"), F.count_if(F.col("there") & (F.size("points") == 0)).alias("more"))
+    bare = F.col("shown") == 0
+    whole = counted.where("shown > 0 AND more > 0" if titles is None else "shown = 0 OR more > 0").select(
+        "item_id", F.when(~bare, "_COV").alias("dimension"), _status(bare & (F.col("more") > 0)).alias("status"),
+        F.when(~bare, "chart-coverage").when(F.col("more") > 0, "executable").otherwise("no-rows").alias("match_type"),
     )
-    extra = joined.groupBy("item_id").agg(
-        F.count(F.when(F.col("dimension").isNull(), 1)).alias("more"), F.count("dimension").alias("shown")
-    ).where("more > 0 and shown > 0")
-    return shown.union(extra.select("item_id", F.lit("_COV"), F.lit("FAIL"), F.lit("chart-coverage")))
+    return shown.union(whole)
 
 
 def structural_verdicts(expected: DataFrame, actual: DataFrame) -> DataFrame:

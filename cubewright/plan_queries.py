@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import display, names
-from .functions.logic import in_order_once
+from .functions.logic import in_order_once, running_total
 from .model import derived
 from .operators import expansion, matching, model_checks, rules
 from .plans import measures as M
@@ -325,6 +325,17 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.list_summaries(spark, folder).select("project_id", "generated_at", "tests_total")
 
 
+@query(
+    "VAL-20_findings_of_customers",
+    """WITH f AS (SELECT c_custkey AS k, lower(c_name) AS entity, c_custkey % 3 > 0 AS passed FROM customer), c AS (SELECT o_orderkey AS id, '#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS e FROM orders)
+    SELECT id AS test_case_id, CASE WHEN k IS NULL THEN 'NOT EXECUTED' WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status, CAST((k IS NOT NULL)::INT AS BIGINT) AS findings FROM c LEFT JOIN f ON entity = 'customer' || e""",
+)
+def _findings_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_case_id"), F.lit("").alias("rule_id"), _text("#", F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("entity"))
+    found = _table(spark, sf_dir, "customer").select(F.lit("R").alias("rule_id"), F.col("c_name").alias("entity"), (F.col("c_custkey") % 3 > 0).alias("passed"))
+    return expansion.match_findings(cases, found)
+
+
 # Matching over the driver's tables ---------------------------------------------------
 
 
@@ -415,6 +426,49 @@ def _partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.relevant_tables(nation.where("r_name = 'ASIA'").select(F.col("r_name").alias("table")).distinct(), hints)
 
 
+_NAME = "translate(lower(substr(to_base64(unhex(md5(CAST(p_partkey AS VARCHAR)))), 1, 22)), '0123456789+/', 'abcdefghijkl')"
+
+
+@query(
+    "STR-03_matched_columns",
+    f"""SELECT p_partkey AS part, CASE WHEN n = o THEN 'exact' WHEN lower(n) = lower(o) THEN 'case' ELSE 'fuzzy' END AS method,
+    CAST(CASE WHEN n = o THEN 1.0 WHEN lower(n) = lower(o) THEN 0.99 ELSE 0.88 END AS DOUBLE) AS confidence
+    FROM (SELECT p_partkey, {_NAME} AS n, CASE p_partkey % 4 WHEN 0 THEN {_NAME} WHEN 1 THEN upper({_NAME}) WHEN 2 THEN {_NAME} || 'z' ELSE reverse({_NAME}) || 'qqqqqqqqqq' END AS o FROM part)
+    WHERE p_partkey % 4 < 3""",
+)
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, part = F.col("p_partkey"), _table(spark, sf_dir, "part")
+    name = F.translate(F.lower(F.substring(F.base64(F.unhex(F.md5(k.cast("string").cast("binary")))), 1, 22)), "0123456789+/", "abcdefghijkl")
+    other = F.when(k % 4 == 0, name).when(k % 4 == 1, F.upper(name)).when(k % 4 == 2, F.concat(name, F.lit("z"))).otherwise(F.concat(F.reverse(name), F.lit("qqqqqqqqqq")))
+    one = F.lit("parts").alias("table")
+    found = matching.matched_columns(part.select(one, name.alias("column")), part.select(one, other.alias("column")))
+    keys = part.select(name.alias("column"), k.alias("part"))
+    return found.join(keys, "column").select("part", "method", "confidence")
+
+
+@query(
+    "STR-05_assigned_columns",
+    "SELECT p_partkey AS part, p_partkey AS other FROM part WHERE p_partkey % 4 < 3",
+)
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, part = F.col("p_partkey"), _table(spark, sf_dir, "part")
+    name = F.translate(F.lower(F.substring(F.base64(F.unhex(F.md5(k.cast("string").cast("binary")))), 1, 22)), "0123456789+/", "abcdefghijkl")
+    other = F.when(k % 4 == 0, name).when(k % 4 == 1, F.upper(name)).when(k % 4 == 2, F.concat(name, F.lit("z"))).otherwise(F.concat(F.reverse(name), F.lit("qqqqqqqqqq")))
+    table = (k % 7).cast("string").alias("table")
+    taken = matching.assign_columns(matching.matched_columns(part.select(table, name.alias("column")), part.select(table, other.alias("column"))))
+    keys = [part.select(x.alias(c), k.alias(y)) for x, c, y in ((name, "column", "part"), (other, "source_column", "other"))]
+    return taken.join(keys[0], "column").join(keys[1], "source_column").select("part", "other")
+
+
+@query(
+    "WIN-06_running_over_orders",
+    "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 1) AS running FROM orders",
+)
+def _running_over_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = running_total(_table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderdate", "o_orderkey"])
+    return out.select("o_orderkey", F.round("running", 1).alias("running"))
+
+
 @query(
     "STR-02_similar_columns",
     """SELECT r_name AS "table", n_name AS "column", CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) ELSE substr(n_name, 1, 2) || '_' || substr(n_name, 3) END AS source_column,

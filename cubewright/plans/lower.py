@@ -91,6 +91,10 @@ class Member:
     column: str | None
 
 
+#: The member of whichever grouping: stands for all of several whose leaves keep it.
+ANY = Member("", None)
+
+
 @dataclass(frozen=True)
 class Period:
     """A condition on ``table[column]`` whose bounds differ between the members of a grouped query.
@@ -189,7 +193,7 @@ class Evaluator:
 
     def _by_member(self, table: str, context: Context) -> bool:
         """Whether rows of ``table`` in this context differ between the members of a grouped query."""
-        return any(not isinstance(r, Restriction) and (r.table == table or self.model.route(r.table, table) is not None) for r in context)
+        return any(not isinstance(r, Restriction) and r is not ANY and (r.table == table or self.model.route(r.table, table) is not None) for r in context)
 
     def _period(self, context: Context, table: str, column: str, rule: tuple, bound: tuple[str, str]) -> Period:
         """A condition on ``table[column]`` by the least or greatest value of ``bound`` (table, column) in each member's context."""
@@ -408,10 +412,11 @@ class Evaluator:
                 raise Refused(f"{other}[{column}] is bounded by group and holds no dates")
         return out
 
-    def _frames(self, leaves: Mapping[int, Leaf], by: Group | None, typed: bool, dated: bool = False) -> list[DataFrame]:
+    def _frames(self, leaves: Mapping[int, Leaf], by: Group | None, typed: bool, dated: bool = False, sets: Mapping[int, Mapping[int, Group]] | None = None) -> list[DataFrame]:
         """Frames of one row, or with column ``dim`` of a row for each group, that together hold column ``l{i}`` of each leaf.
 
         ``dated``: the leaves have periods that reach them; each row is held against its own group's bounds.
+        ``sets``: the numbered groupings that each leaf is for, instead of ``by``; rows are then keyed by ``set`` as well.
         """
         apart: dict[tuple, dict[int, Leaf]] = {}
         for i, leaf in leaves.items():
@@ -421,12 +426,17 @@ class Evaluator:
         frames = []
         for (table, distinct), members in apart.items():
             related = {pair for leaf in members.values() for pair in (*self._of_member(leaf, by), *(self._reaching(leaf) if dated else ())) if pair[0] != table}
+            groupings = {k: g for i in members for k, g in (sets or {}).get(i, {}).items()}
+            related |= {(self.model.name(g[0]), self.model.column(g[0], g[1])) for g in groupings.values() if self.model.name(g[0]) != table}
             df, restricted = self._base(table, list(members.values()), related)
             keys = [] if by is None else [self._dimension(table, by).alias("dim")]
+            if sets is not None:  # grouping sets: each row once for every grouping
+                df = df.withColumn("__s", F.explode(F.array(*[F.struct(F.lit(k).alias("set"), self._dimension(table, g).cast("string").alias("dim")) for k, g in groupings.items()])))
+                keys = [F.col("__s.set").alias("set"), F.col("__s.dim").alias("dim")]
             conditions = {context: restricted[context] for context in dict.fromkeys(leaf.context for leaf in members.values())}
             if dated:
                 df, conditions = self._within(df, table, members, conditions, by)
-            dim = ["dim"] * len(keys)
+            dim = ["set", "dim"] if sets is not None else ["dim"] * len(keys)
             if distinct:
                 frames.append(_distinct_counts(df, members, conditions, keys, dim))
                 continue
@@ -583,6 +593,44 @@ class Evaluator:
             joined = joined.selectExpr("dim", *named)
         return ordered(joined, [order] if isinstance(order, str) else order, ["dim"], limit)
 
+    def charts(self, wanted: Sequence[tuple[tuple[str, str], Mapping[str, M.Node]]]) -> DataFrame:
+        """(set, dim, name, value) of several groupings (table, column), numbered from 0, each with its measures by name; no nulls.
+
+        ``dim`` is text.  All groupings whose measures keep their members are grouping sets
+        of one scan of each base table; the others are grouped each on its own.
+        """
+        frames: list[DataFrame] = []
+        kept: dict[int, tuple[tuple[str, str], dict[str, M.Node]]] = {}
+        shape = "set int, dim string, name string, value double"
+        for k, (by, measures) in enumerate(wanted):
+            _, leaves = self._expanded([(node, self._member(by)) for node in measures.values()])
+            for leaf in leaves:
+                self._check(leaf, by)
+            if all(any(isinstance(r, Member) for r in leaf.context) and not self._reaching(leaf) for leaf in leaves):
+                kept[k] = by, dict(measures)
+            else:
+                names = [f"m{i}" for i in range(len(measures))]
+                found = self.values(dict(zip(names, measures.values())), by=by)
+                cells = ", ".join(f"{_quoted(name)}, CAST({n} AS DOUBLE)" for n, name in zip(names, measures))
+                frames.append(found.selectExpr(f"{k} AS set", "CAST(dim AS STRING) AS dim", f"stack({len(names)}, {cells}) AS (name, value)"))
+        if kept:
+            texts, leaves = self._expanded([(node, (ANY,)) for _, measures in kept.values() for node in measures.values()])
+            number = {leaf: i for i, leaf in enumerate(leaves)}
+            sets: dict[int, dict[int, Group]] = {}
+            listed, at = [], 0
+            for k, (by, measures) in kept.items():
+                _, own = self._expanded([(node, (ANY,)) for node in measures.values()])
+                for leaf in own:
+                    sets.setdefault(number[leaf], {})[k] = by
+                cells = ", ".join(f"named_struct('name', {_quoted(name)}, 'value', CAST({text} AS DOUBLE))" for name, text in zip(measures, texts[at:]))
+                listed.append(f"WHEN {k} THEN array({cells})")
+                at += len(measures)
+            joined = reduce(lambda a, b: _side_by_side(a, b, ["set", "dim"]), self._frames(dict(enumerate(leaves)), None, False, sets=sets))
+            frames.append(joined.selectExpr("set", "dim", f"inline(CASE set {' '.join(listed)} END)"))
+        if not frames:
+            return next(iter(self.model.tables.values())).sparkSession.createDataFrame([], shape)
+        return reduce(DataFrame.unionByName, frames).where("value IS NOT NULL")
+
     def members(self, table: str, column: str, filters: Sequence[M.Is] = (), limit: int | None = None) -> DataFrame:
         """The different values of a column, without null, in order: ``dim``.  Filters that reach the table hold."""
         by = (self.model.name(table), self.model.column(table, column))
@@ -715,10 +763,11 @@ def _final(leaf: Leaf, names: Sequence[str], typed: bool, bit: str | None = None
     return parts[0] if names[0][0] != "n" or bit is None else f"coalesce({parts[0]}, 0L)"
 
 
-def _side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of both by ``dim``, null being a value of it."""
-    right = right.withColumnRenamed("dim", "__right")
-    return left.join(right, F.col("dim").eqNullSafe(F.col("__right")), "full").withColumn("dim", F.coalesce("dim", "__right")).drop("__right")
+def _side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("dim",)) -> DataFrame:
+    """Rows of both by their keys, null being a value of them."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    met = left.join(right, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]), "full")
+    return met.withColumns({k: F.coalesce(k, f"__r_{k}") for k in keys}).drop(*[f"__r_{k}" for k in keys])
 
 
 def _met(frames: Sequence[DataFrame]) -> DataFrame:

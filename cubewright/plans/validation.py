@@ -2,8 +2,8 @@
 
 Nothing is asked of a generator: scenarios come from the slicers' members, charts from the
 layout, references, consistency rules and formats from the measure trees.  A run answers
-all measures under all scenarios in one matrix, charts by one grouped query for each
-dimension, and joins the results with what the report shows.
+all measures under all scenarios in one matrix and all charts by one scan of each base
+table, and joins the results with what the report shows.
 """
 
 from __future__ import annotations
@@ -192,8 +192,8 @@ def validation_run(
 
     shown: scenario, measure, dashboard_value, as far as a report shows them; a value
     that isn't shown passes if the source gives a number.  points: item_id (a chart's
-    title), dimension, raw_value.  A chart without points passes if the source gives it
-    a row.  Measures that are refused fail as ``error``; consistency rules of the
+    title, which is one chart's), dimension, raw_value.  A chart without points passes if
+    the source gives it a row.  Measures that are refused fail as ``error``; consistency rules of the
     measures are checked under every scenario.
     """
     wanted = dict(measures) if isinstance(measures, Mapping) else {m: evaluator.named[m] for m in measures}
@@ -210,65 +210,58 @@ def validation_run(
             F.concat_ws("/", "scenario", "measure").alias("item_id"), F.lit("consistency").alias("item_type"), "scenario", "measure",
             F.lit(None).cast("string").alias("dimension"), "status", F.lit("dax-consistency").alias("match_type"),
         ))
-    frames += list(_chart_rows(evaluator, nodes, charts, points, spark, tolerance))
+    frames += _chart_rows(evaluator, nodes, charts, points, spark, tolerance)
     return reduce(DataFrame.unionByName, frames)
 
 
 def _scalar_rows(spark, cells, wanted, refused, scenarios, shown, tolerance) -> DataFrame:
     plan = spark.createDataFrame([(f"{s}/{m}", s, m, refused.get(m)) for s in scenarios for m in wanted], "item_id string, scenario string, measure string, error string")
-    expected = plan.join(shown.select("scenario", "measure", "dashboard_value"), ["scenario", "measure"], "left")
-    actual = plan.join(cells, ["scenario", "measure"], "left").select("item_id", F.format_string("%.10g", "value").alias("value"), "error")
-    actual = actual.withColumn("value", F.when(F.col("value") != "null", F.col("value")))
-    judged = verdicts.scalar_verdicts(expected.select("item_id", "dashboard_value"), actual, tolerance)
-    return judged.join(plan, "item_id").select(
+    # One row for each item of the plan: what is shown and what was found beside it.
+    met = plan.join(shown.select("scenario", "measure", "dashboard_value"), ["scenario", "measure"], "left").join(cells, ["scenario", "measure"], "left")
+    value = F.when(F.col("value").isNotNull(), F.format_string("%.10g", "value"))
+    return verdicts.judged_scalars(met.withColumn("value", value).withColumn("there", F.lit(True)), tolerance).select(
         "item_id", F.lit("scalar").alias("item_type"), "scenario", "measure", F.lit(None).cast("string").alias("dimension"), "status", "match_type"
     )
 
 
-def _chart_rows(evaluator, nodes, charts, points, spark, tolerance) -> Iterator[DataFrame]:
+def _chart_rows(evaluator, nodes, charts, points, spark, tolerance) -> list[DataFrame]:
+    """Verdicts of all charts: grouped ones from one scan of each base table, whatever their dimensions."""
     by_dimension: dict[tuple[str, str], list[tuple[str, str | None]]] = {}
     for title, dimension, measure in charts:
         by_dimension.setdefault(tuple(dimension), []).append((title, measure))
     shown = points if points is not None else spark.createDataFrame([], "item_id string, dimension string, raw_value string")
+    failed, grouped, held, frames = [], [], [], []
+    sets: list[tuple[tuple[str, str], dict[str, M.Node]]] = []
     for dimension, members in by_dimension.items():
         named = {m: nodes.get(m, M.Reference(m)) for _, m in members if m is not None}
         good, refused = evaluator.answerable(named, by=dimension)
-        failed = [(t, m) for t, m in members if m in refused]
-        if failed:
-            rows = [(t, "grouped", BASELINE, m, None, "FAIL", "error") for t, m in failed]
-            yield spark.createDataFrame(rows, RESULT)
-        grouped = [(t, m) for t, m in members if m in good]
-        if grouped:
-            values = evaluator.values(good, by=dimension)  # one query for all charts of the dimension
-            cell = [F.struct(F.lit(t).alias("item_id"), F.lit(m).alias("measure"), F.col(f"`{m}`").cast("double").alias("value")) for t, m in grouped]
-            actual = values.select(F.col("dim").cast("string").alias("dimension"), F.explode(F.array(*cell)).alias("c")).select("dimension", "c.*").where("value is not null")
-            yield from _grouped_rows(spark, grouped, actual, shown, tolerance)
+        failed += [(t, "grouped", BASELINE, m, None, "FAIL", "error") for t, m in members if m in refused]
+        mine = [(t, m) for t, m in members if m in good]
+        if mine:
+            sets.append((dimension, {t: good[m] for t, m in mine}))
+            grouped += mine
         structural = [t for t, m in members if m is None]
         if structural:
-            held = evaluator.members(*dimension).select(F.explode(F.array(*map(F.lit, structural))).alias("item_id"), F.col("dim").cast("string").alias("dimension"))
-            wanted = shown.where(F.col("item_id").isin(*structural)).select("item_id", "dimension")
-            judged = verdicts.structural_verdicts(wanted, held)
-            yield judged.select(
-                "item_id", F.lit("structural").alias("item_type"), F.lit(BASELINE).alias("scenario"), F.lit(None).cast("string").alias("measure"),
-                F.lit(None).cast("string").alias("dimension"), "status", F.when(F.col("status") == "PASS", "chart-category").otherwise("chart-invalid").alias("match_type"),
-            )
+            held.append((structural, evaluator.members(*dimension).select(F.explode(F.array(*map(F.lit, structural))).alias("item_id"), F.col("dim").cast("string").alias("dimension"))))
+    if failed:
+        frames.append(spark.createDataFrame(failed, RESULT))
+    if grouped:
+        actual = evaluator.charts(sets).select(F.col("name").alias("item_id"), F.col("dim").alias("dimension"), F.format_string("%.10g", "value").alias("value"))
+        frames.append(_grouped_rows(spark, grouped, actual, shown, tolerance))
+    if held:
+        wanted = shown.where(F.col("item_id").isin(*[t for titles, _ in held for t in titles])).select("item_id", "dimension")
+        judged = verdicts.structural_verdicts(wanted, reduce(DataFrame.unionByName, [h for _, h in held]))
+        frames.append(judged.select(
+            "item_id", F.lit("structural").alias("item_type"), F.lit(BASELINE).alias("scenario"), F.lit(None).cast("string").alias("measure"),
+            F.lit(None).cast("string").alias("dimension"), "status", F.when(F.col("status") == "PASS", "chart-category").otherwise("chart-invalid").alias("match_type"),
+        ))
+    return frames
 
 
-def _grouped_rows(spark, grouped, actual, shown, tolerance) -> Iterator[DataFrame]:
+def _grouped_rows(spark, grouped, actual, shown, tolerance) -> DataFrame:
     """Verdicts by category for charts that show points, and one verdict for each chart that shows none."""
     titles = spark.createDataFrame(grouped, "item_id string, measure string")
-    given = [r["item_id"] for r in shown.join(titles, "item_id", "left_semi").select("item_id").distinct().collect()]  # charts of one dimension
-    value = actual.select("item_id", "dimension", F.format_string("%.10g", "value").alias("value"))
-    if given:
-        mine, theirs = (df.where(F.col("item_id").isin(*given)) for df in (shown, value))
-        yield verdicts.grouped_verdicts(mine, theirs, tolerance).join(titles, "item_id").select(
-            "item_id", F.lit("grouped").alias("item_type"), F.lit(BASELINE).alias("scenario"), "measure", "dimension", "status", "match_type"
-        )
-    bare = titles.where(~F.col("item_id").isin(*given)) if given else titles
-    if len(given) < len(grouped):
-        counted = bare.join(actual.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left")
-        some = F.coalesce("n", F.lit(0)) > 0
-        yield counted.select(
-            "item_id", F.lit("grouped").alias("item_type"), F.lit(BASELINE).alias("scenario"), "measure", F.lit(None).cast("string").alias("dimension"),
-            F.when(some, "PASS").otherwise("FAIL").alias("status"), F.when(some, "executable").otherwise("no-rows").alias("match_type"),
-        )
+    judged = verdicts.judged_charts(titles.select("item_id"), shown.select("item_id", "dimension", "raw_value"), actual, tolerance)
+    return judged.join(F.broadcast(titles), "item_id").select(  # as many rows as the plan has charts
+        "item_id", F.lit("grouped").alias("item_type"), F.lit(BASELINE).alias("scenario"), "measure", "dimension", "status", "match_type"
+    )
