@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +13,7 @@ from .plans import measures as M
 from .plans import validation
 from .queries import _SHOWN, _SLICERS, MEASURES, _evaluator, _measure, _round, _shown, net
 from .registry import query
+from .scratch import Scratch
 from .sources import catalog, runs
 
 
@@ -313,12 +311,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SNK-02_run_summaries", "SELECT 'p' || (o_custkey % 20) AS project_id, max(o_orderdate + to_seconds(o_orderkey)) AS generated_at, CAST(arg_max(o_orderkey, o_orderdate + to_seconds(o_orderkey)) AS BIGINT) AS tests_total FROM orders GROUP BY 1")
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset; name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    folder = f"{root.rstrip('/')}/runs-{uuid.uuid4().hex}"
+    folder = Scratch(spark, "runs").path("summaries")
     k = F.col("o_orderkey")
     done = _table(spark, sf_dir, "orders").select(_text("p", F.col("o_custkey") % 20).alias("project_id"), (F.col("o_orderdate") + F.make_interval(secs=k)).cast("timestamp_ntz").alias("generated_at"), k.alias("tests_total"))
     runs.save_summaries(done, folder)

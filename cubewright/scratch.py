@@ -10,10 +10,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_owners: list[list[Scratch]] = []
+
+
+@contextmanager
+def owned() -> Iterator[list[Scratch]]:
+    """The runs that begin inside, so that a caller who has written what they gave can delete all that they kept."""
+    _owners.append([])
+    try:
+        yield _owners[-1]
+    finally:
+        _owners.pop()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -37,6 +50,8 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         self.tables: list[DataFrame] = []
+        if _owners:
+            _owners[-1].append(self)
 
     def path(self, name: str) -> str:
         self.count += 1
