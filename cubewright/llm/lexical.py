@@ -30,7 +30,7 @@ from .worker import give_back
 
 TOP = 50
 #: Postings and documents of a shard, about: what one task holds.
-SHARD_POSTINGS, SHARD_DOCS = 3_000_000, 200_000
+SHARD_POSTINGS, SHARD_DOCS = 1_500_000, 200_000
 #: Queries that a shard is searched for at a time.
 QUERY_BLOCK = 256
 #: Terms of queries that are broadcast at most; more of them meet the index in a shuffle.

@@ -190,7 +190,8 @@ def quality_counts(docs: DataFrame, chain: LineChain, text_col: str = "text", ke
     content lines hold at least half of the words.  Without labelled documents of
     both qualities every line counts as content.  Repeated rows are judged alike; an
     empty table gives an empty one; columns that already have the new names are
-    replaced.  A very long text is read whole, its words as some 60 bytes each.
+    replaced.  A very long text is read whole, its words as some 60 bytes each.  Where
+    both labels of a line are equally likely, content wins.
     """
 
     def make() -> Callable[[list], list[list]]:
@@ -231,7 +232,7 @@ def fit_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     text = F.col(text_col)
     rows = (
         docs.where(F.col(id_col).isin(list(chosen)) & text.isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-        .select(F.col(id_col).alias("id"), text.alias("text")).limit(4 * SAMPLE_DOCS).collect()
+        .select(F.col(id_col).alias("id"), text.alias("text")).orderBy("id", "text").limit(4 * SAMPLE_DOCS).collect()
     )
     rows.sort(key=lambda r: (r["id"], r["text"]))
     return LineChain().fit([r["text"] for r in rows], [chosen[r["id"]] for r in rows])

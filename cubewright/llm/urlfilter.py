@@ -27,8 +27,6 @@ from .text import ascii_lower
 #: (action, host and path prefix) pairs, or a DataFrame (action, rule); a rule fits the host and its subdomains.
 Rules = Sequence[tuple[str, str]] | DataFrame
 DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
-#: Rounds after which scores that still move are an error; a chain of links takes as many rounds as it has.
-ROUNDS = 1000
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^"'\s<>/?#]+)"""
 
 
@@ -68,11 +66,12 @@ def matching_rules(places: DataFrame, rules: Rules, scratch: Scratch) -> DataFra
     return fits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.action")
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, trust, distrust) from ``seeds`` (host, trust, distrust) over ``edges`` (src, dst, weight).
 
     Rounds go on until none changes a score by more than ``TOLERANCE`` of it, so every
-    host that a path of links joins to a seed is reached; ``rounds`` without that raise.
+    host that a path of links joins to a seed is reached.  As a round keeps ``DAMPING`` of
+    what moved, they settle by themselves, after some 90 rounds beyond the longest path.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("total"))
@@ -87,7 +86,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int
     kinds = F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind")
     state = hosts.select("host", kinds).join(start, ["host", "kind"], "left").select("host", "kind", F.coalesce("seed", F.lit(0.0)).alias("seed"))
     held = state = scratch.table(state.withColumn("score", F.col("seed")), "state")
-    for _ in range(rounds):
+    moves = True
+    while moves:
         sent = state.join(steps, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         score = (1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("got", F.lit(0.0))
         following = scratch.table(
@@ -96,10 +96,6 @@ def propagate(seeds: DataFrame, edges: DataFrame, scratch: Scratch, rounds: int
         moves = following.where(F.col("change") > TOLERANCE * F.col("score")).limit(1).count() > 0
         scratch.drop(held)
         held, state = following, following.drop("change")
-        if not moves:
-            break
-    else:
-        raise RuntimeError(f"trust and distrust did not settle in {rounds} rounds")
     by_kind = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     return state.groupBy("host").agg(*by_kind)
 
