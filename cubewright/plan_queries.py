@@ -309,6 +309,56 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expansion.match_findings(cases, found)
 
 
+@query(
+    "SRC-03_csv_scan",
+    "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate FROM orders",
+)
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "csv").path("orders")
+    _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"), F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate")).write.option("header", True).csv(path)
+    read = catalog.read_csv(spark, path)
+    return read.select(F.col("o_orderkey").cast("long"), "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+_FILES = ("nation", "region", "customer")
+
+
+@query("SRC-04_csv_folder", " UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS rows, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS columns FROM {t}" for t in _FILES))
+def _csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "csv").path("folder")
+    for name in _FILES:
+        _table(spark, sf_dir, name).write.option("header", True).csv(f"{folder}/{name}.csv")
+    return catalog.csv_folder(spark, folder).row_counts().withColumn("columns", F.col("columns").cast("long"))
+
+
+@query("SRC-15_summaries", " UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS rows, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}') AS columns FROM {t}" for t in ("orders", "part")))
+def _sheet_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.parquet_folder(spark, sf_dir, ["orders", "part"]).row_counts().withColumn("columns", F.col("columns").cast("long"))
+
+
+@query(
+    "VAL-11_images",
+    """SELECT CASE WHEN p_size % 5 = 0 THEN 'VS-001' ELSE 'VS-002' END AS rule_id, CASE WHEN p_size % 5 = 0 THEN 'ERROR' ELSE 'WARNING' END AS severity, p_type || p_partkey AS entity
+    FROM part WHERE p_size % 5 = 0 OR p_size * 20 < 640""",
+)
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width = F.when(F.col("p_size") % 5 != 0, F.col("p_size") * 20)
+    images = _table(spark, sf_dir, "part").select(_text(F.col("p_type"), F.col("p_partkey")).alias("image"), width.alias("width"))
+    return rules.check_images(images).select("rule_id", "severity", "entity")
+
+
+@query(
+    "STR-07_severity",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'High' WHEN o_orderkey % 6 IN (0, 4) THEN 'Medium' WHEN o_orderkey % 6 IN (1, 2, 3) THEN 'High' ELSE 'Medium' END AS severity FROM orders""",
+)
+def _severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    kinds = F.array(*map(F.lit, ("chart-missing", "numeric-percent", "Exact", "", "Chart-coverage", "novel")))
+    kind = F.element_at(kinds, (k % 6 + 1).cast("int"))
+    actual = F.when(k % 8 == 0, " ").when(k % 4 == 0, "—").otherwise(F.col("o_totalprice").cast("string"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", names.issue_severity(kind, actual).alias("severity"))
+
+
 @query("SNK-02_run_summaries", "SELECT 'p' || (o_custkey % 20) AS project_id, max(o_orderdate + to_seconds(o_orderkey)) AS generated_at, CAST(arg_max(o_orderkey, o_orderdate + to_seconds(o_orderkey)) AS BIGINT) AS tests_total FROM orders GROUP BY 1")
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "runs").path("summaries")

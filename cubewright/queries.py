@@ -413,25 +413,6 @@ def _parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("form", F.col("p.unit").alias("unit")).agg(F.count("*").alias("n"), F.count("p.value").alias("parsed"), F.round(F.sum("p.value"), 0).alias("total"))
 
 
-_CASES = [
-    ("$51.88M", "$ 51.88 M"), ("$51.88M", "51879473.12"), ("60.0%", "0.6"), ("60.0%", "6000"), ("4", "3.5557"), ("0", "5"), ("abc", "5"),
-    ("€1.5bn", "1500000000"), ("-$5", "-5"), ("5 K", "5000"), ("", "3"), ("(500)", "-500"), ("12ab", "12"), ("1e3", "1000"), (None, None), ("0", "0"),
-]
-
-
-@query(
-    "DSP-05_compare_display",
-    """SELECT * FROM (VALUES ('$51.88M', '$ 51.88 M', true, 'exact'), ('$51.88M', '51879473.12', true, 'numeric'), ('60.0%', '0.6', true, 'numeric-percent'),
-    ('60.0%', '6000', false, ''), ('4', '3.5557', true, 'rounded'), ('0', '5', false, ''), ('abc', '5', false, ''), ('€1.5bn', '1500000000', true, 'numeric'),
-    ('-$5', '-5', true, 'numeric'), ('5 K', '5000', true, 'numeric'), ('', '3', false, ''), ('(500)', '-500', true, 'numeric'), ('12ab', '12', false, ''),
-    ('1e3', '1000', true, 'numeric'), (NULL, NULL, false, ''), ('0', '0', true, 'exact')) t(shown, actual, passed, match_type)""",
-)
-def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_CASES, "shown string, actual string")
-    c = display.compare_display(F.col("shown"), F.col("actual"))
-    return rows.select("shown", "actual", c["passed"].alias("passed"), c["match_type"].alias("match_type"))
-
-
 @query(
     "DSP-09_apply_format",
     """SELECT o_orderkey, '$' || format('{:,.0f}', v) AS money, format('{:.1f}%', v / 1000000 * 100) AS percent, format('{:.1f}%', v / 1000) AS points,
@@ -445,17 +426,6 @@ def _format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "DSP-08_small_formats",
-    """SELECT * FROM (VALUES (CAST(1234.5 AS DOUBLE), '+1,234.5', '1234.5', '20m 34s'), (-3, '-3', '-3', '--'), (0.25, '+0.25', '0.25', '0s'), (NULL, '—', NULL, '--'), (59.99999, '+60', '59.99999', '59s'))
-    t(x, signed, plain, duration)""",
-)
-def _small_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("x")
-    rows = spark.createDataFrame([(1234.5,), (-3.0,), (0.25,), (None,), (59.99999,)], "x double")
-    return rows.select("x", display.signed_difference(x).alias("signed"), display.plain_number(x).alias("plain"), display.duration(x).alias("duration"))
-
-
 # Verdicts -----------------------------------------------------------------------
 
 _EXPECTED = "(SELECT o_orderpriority AS dimension, sum(o_totalprice) AS v FROM orders GROUP BY 1)"
@@ -701,50 +671,6 @@ query("SET-03_shared", "SELECT count(DISTINCT p_type) AS n FROM part WHERE p_typ
 # Names, matching and rules -------------------------------------------------------------
 
 
-@query(
-    "STR-01_names",
-    """SELECT * FROM (VALUES ('dbo.dim_Sales_Territory', 'salesterritory'), ('Sales Territory_data', 'salesterritory'), ('FactSales', 'factsales'), ('stg_Orders_tbl', 'orders'), (NULL, '')) t(name, normal)""",
-)
-def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("dbo.dim_Sales_Territory",), ("Sales Territory_data",), ("FactSales",), ("stg_Orders_tbl",), (None,)], "name string")
-    return rows.select("name", names.normal_table(F.col("name")).alias("normal"))
-
-
-@query(
-    "STR-06_visual_kinds",
-    """SELECT * FROM (VALUES ('lineClusteredColumnComboChart', 'timeseries'), ('multiRowCard', 'tabular'), ('card', 'kpi'), ('slicer', 'filter'), ('pivotTable', 'tabular'), ('clusteredBarChart', 'categorical'), ('novel', 'other'), (NULL, 'other')) t(visual, kind)""",
-)
-def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("lineClusteredColumnComboChart",), ("multiRowCard",), ("card",), ("slicer",), ("pivotTable",), ("clusteredBarChart",), ("novel",), (None,)]
-    return spark.createDataFrame(rows, "visual string").select("visual", names.visual_kind(F.col("visual")).alias("kind"))
-
-
-@query(
-    "JOIN-07_infer_joins",
-    """SELECT * FROM (VALUES ('lineitem', 'l_orderkey', 'orders', 'o_orderkey', false), ('orders', 'cust_key', 'customer', 'cust_key', true), ('orders', 'order_date_key', 'dates', 'date_key', true))
-    t(from_table, from_column, to_table, to_column, inferred)""",
-)
-def _joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = spark.createDataFrame(
-        [("customer", 0, "cust_key", 0, True), ("customer", 0, "c_name", 1, False), ("orders", 1, "o_orderid", 0, True), ("orders", 1, "cust_key", 1, False), ("orders", 1, "order_date_key", 2, False), ("dates", 2, "date_key", 0, True)],
-        "table string, table_position int, column string, position int, is_primary_key boolean",
-    )
-    keys = spark.createDataFrame([("lineitem", "l_orderkey", "orders", "o_orderkey")], "from_table string, from_column string, to_table string, to_column string")
-    return matching.infer_joins(columns, keys)
-
-
-def _two_schemas(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    kind = "table string, column string"
-    model = spark.createDataFrame([("Sales", "Sales Amount"), ("Sales", "Qty"), ("Sales", "Margin"), ("Customer", "Name")], kind)
-    source = spark.createDataFrame([("dbo.fact_sales", "SalesAmount"), ("dbo.fact_sales", "qty"), ("dbo.sales_data", "qty"), ("dbo.dim_customer", "name")], kind)
-    return model, source
-
-
-@query("WIN-04_match_tables", "SELECT * FROM (VALUES ('Sales', 'dbo.fact_sales', CAST(2 AS BIGINT), CAST(2 AS BIGINT)), ('Customer', 'dbo.dim_customer', 1, 1)) t(\"table\", source_table, shared, candidates)")
-def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_tables(*_two_schemas(spark))
-
-
 @query(
     "WIN-05_best_datasets",
     """WITH s AS (SELECT o_orderpriority AS "table", o_orderstatus AS dataset, count(CASE WHEN o_orderkey % 3 > 0 THEN 1 END) AS covered FROM orders GROUP BY 1, 2)
@@ -758,12 +684,6 @@ def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_datasets(scores).select("table", "dataset", "covered")
 
 
-@query("JOIN-08_relevant_tables", "SELECT * FROM (VALUES ('orders'), ('customer'), ('lineitem')) t(\"table\")")
-def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hints = [(r.from_table, r.to_table) for r in load_model(spark, sf_dir).relationships if "calendar" not in (r.from_table, r.to_table)]
-    return matching.relevant_tables(spark.createDataFrame([("orders",)], "table string"), spark.createDataFrame(hints, "from_table string, to_table string"))
-
-
 @query(
     "VAL-09_row_comparison",
     """SELECT 'region' AS dataset, (SELECT count(*) FROM region) AS rows, true AS equal UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), true
@@ -781,28 +701,4 @@ def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.failed_comparisons(counted.withColumn("passed", F.col("actual") % 2 == 0)).select("rule_id", "entity", "actual")
 
 
-@query("SET-04_missing_columns", "SELECT 'Sales' AS \"table\", CAST(2 AS BIGINT) AS shared, 'Margin' AS missing UNION ALL SELECT 'Customer', 1, ''")
-def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.compare_columns(*_two_schemas(spark)).select("table", "shared", F.array_join("missing", ",").alias("missing"))
-
-
-@query(
-    "VAL-10_rules",
-    """SELECT * FROM (VALUES ('MD-001', false, 'T[Empty]'), ('MD-002', false, 'Bare'), ('MD-003', false, 'T->Nowhere'), ('MD-004', true, 'T->Nowhere'), ('MD-005', false, 'total'),
-    ('MD-006', false, 'v1'), ('MD-007', false, 'Blank'), ('MD-008', false, 'b1')) t(rule_id, passed, entity)""",
-)
-def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = spark.createDataFrame
-    found = rules.check_model(
-        {
-            "tables": frame([("T",), ("Bare",)], "table string"), "columns": frame([("T", "a")], "table string, column string"),
-            "measures": frame([("T", "Empty", " "), ("T", "Total", "x"), ("Bare", "total", "y")], "table string, measure string, formula string"),
-            "relationships": frame([("T", "a", "Nowhere", "b", False)], "from_table string, from_column string, to_table string, to_column string, active boolean"),
-            "visuals": frame([("Home", "v1", []), ("Home", "v2", ["T.a"])], "page string, visual string, fields array<string>"),
-            "pages": frame([("Home",), ("Blank",)], "page string"), "bookmarks": frame([("b1", "Lost"), ("b2", "Home")], "bookmark string, page string"),
-        }
-    )
-    return found.select("rule_id", "passed", "entity")
-
-
 from . import plan_queries  # noqa: E402, F401  registers its queries beside these
