@@ -505,11 +505,11 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WIN-06_running_over_orders",
-    "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 1) AS running FROM orders",
+    "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders",
 )
 def _running_over_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = running_total(_table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderdate", "o_orderkey"])
-    return out.select("o_orderkey", F.round("running", 1).alias("running"))
+    return out.select("o_orderkey", F.round("running", 2).alias("running"))
 
 
 @query(
