@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cubewright.model import Cardinality, Model, Refused, Relationship
-from cubewright.plans import lower, ranges
+from cubewright.plans import lower, ranges, validation
 from cubewright.plans import measures as M
 from cubewright.plans.lower import Band, Evaluator
 
@@ -189,3 +189,34 @@ def test_upward_filters_come_by_one_join(spark):
     assert plan(one).count("Join") == plan(many).count("Join")
     row = many.first()
     assert all(row[f"m{i}"] == (None if i >= 50 else [1.0, 2.0, 4.0][(i % 7) % 3]) for i in range(70))
+
+
+def test_charts_of_many_groupings_come_from_one_scan(model):
+    evaluator = Evaluator(model)
+    plain = {"sum": AMOUNT, "bills": KINDS["bills"], "mean": KINDS["avg"], "x": M.calculate(AMOUNT, M.Is("sales", "bill", 3))}
+    wanted = [(("shops", "name"), plain), (("days", "year"), plain), (("shops", "kind"), {"ratio": M.divide(AMOUNT, KINDS["rows"])}), (("days", "stamp"), {"ytd": M.to_date(AMOUNT, "year"), "share": M.divide(AMOUNT, M.calculate(AMOUNT, M.All("days")))})]
+    got = {(r["set"], r["dim"], r["name"]): r["value"] for r in evaluator.charts(wanted).collect()}
+    want = {}
+    for k, (by, measures) in enumerate(wanted):
+        for r in evaluator.values(measures, by=by).collect():
+            want |= {(k, None if r["dim"] is None else str(r["dim"]), m): float(r[m]) for m in measures if r[m] is not None}
+    assert got.keys() == want.keys() and all(same(got[k], want[k]) for k in want)
+    one, three = (plan(evaluator.charts(wanted[:n])) for n in (1, 3))
+    assert three.count("Aggregate") == one.count("Aggregate")  # the same scans, whatever the number of groupings
+    assert evaluator.charts([]).count() == 0
+    with pytest.raises(Refused):
+        evaluator.charts([(("days", "year"), {"v": M.count_rows("shops")})])
+
+
+def test_a_run_judges_shares_and_periods_by_group(model, spark):
+    named = {"ytd": M.to_date(AMOUNT, "year"), "share": M.divide(AMOUNT, M.calculate(AMOUNT, M.All("shops"))), "rows": KINDS["rows"]}
+    evaluator = Evaluator(model, named)
+    ytd = {r["dim"]: r["ytd"] for r in evaluator.values(["ytd"], (), ("days", "stamp")).collect()}
+    share = {r["dim"]: r["share"] for r in evaluator.values(["share"], (), ("shops", "name")).collect()}
+    points = [("by month", k, f"{v:.2f}" if k != "2020-05" else "123456") for k, v in ytd.items()] + [("by shop", k, f"{v:.4f}") for k, v in share.items() if k and v is not None]
+    shown = spark.createDataFrame([], "scenario string, measure string, dashboard_value string")
+    charts = [("by month", ("days", "stamp"), "ytd"), ("by shop", ("shops", "name"), "share"), ("bare", ("shops", "kind"), "rows"), ("never", ("days", "year"), "nothing")]
+    out = validation.validation_run(evaluator, ["rows"], {"all": ()}, shown, charts, spark.createDataFrame(points, "item_id string, dimension string, raw_value string"))
+    got = {(r.item_id, r.dimension): (r.status, r.match_type) for r in out.where("item_type = 'grouped'").collect()}
+    assert {k for k, v in got.items() if v[0] == "FAIL"} == {("by month", "2020-05"), ("by shop", "_COV"), ("never", None)}  # shops without a name aren't shown
+    assert got["bare", None] == ("PASS", "executable") and got["never", None] == ("FAIL", "error") and len([k for k in got if k[0] == "by month"]) == len(ytd)
