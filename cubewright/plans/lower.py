@@ -693,8 +693,8 @@ def masks_of(conditions: Sequence[Column]) -> list[Column]:
     """Bits of the conditions that a row meets, in as many numbers as it takes."""
     out = []
     for at in range(0, len(conditions), _BITS):
-        bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(conditions[at : at + _BITS])]
-        out.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
+        bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions[at : at + _BITS])]
+        out.append(reduce(Column.bitwiseOR, bits).cast("bigint"))
     return out
 
 
