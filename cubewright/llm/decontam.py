@@ -237,7 +237,8 @@ def drop_contaminated(
     """``docs`` without contaminated rows; columns and their order stay.
 
     A null or empty text has no words and stays; repeated rows stay or go alike.  An
-    empty benchmark drops nothing, and an empty table gives an empty one.
+    empty benchmark drops nothing, and an empty table gives an empty one.  A very long
+    text is one row, as :func:`contamination` has it.
     """
     columns = docs.columns
     names = [f"c{i}" for i in range(len(columns))]  # free of clashes with the operator's names

@@ -262,7 +262,8 @@ def identify_languages(
     text if the model has seen no label.  A model of one label predicts it for all
     others.  Repeated rows are predicted alike; an empty table gives an empty one;
     columns that already have the new names are replaced.  A very long text is read
-    whole, its grams as a few numbers for each byte.
+    whole, its grams as a few numbers for each byte.  Of labels with equal scores the
+    first in order is predicted.
     """
     fields = [("lang_pred", T.StringType()), ("score", T.DoubleType())]
     return with_text_columns(docs, text_col, fields, model.predictor, keep)
@@ -273,7 +274,8 @@ def drop_unidentified(docs: DataFrame, model: StringKernelClassifier, least_scor
 
     Null and empty texts go, and all texts if the model has seen no label.  Repeated
     rows stay or go alike; columns, whatever their names, and their order stay.  An
-    empty table gives an empty one.
+    empty table gives an empty one.  A very long text is read whole, as the prediction
+    reads it.
     """
     columns = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])

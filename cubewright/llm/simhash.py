@@ -171,7 +171,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns and their order are those of ``docs``.  Of repeated rows with that
     same id one remains.  Groups without any id (null) keep one row as well, and so
-    does the group of null and empty texts.  An empty table gives an empty one.
+    does the group of null and empty texts.  An empty table gives an empty one.  A very
+    long text is one row, whose words and shingles are held at once.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     columns = docs.columns
