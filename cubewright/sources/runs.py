@@ -1,4 +1,4 @@
-"""Run summaries: one small JSON file for each run, and the list of them."""
+"""Run summaries: JSON lines in a folder for each project, and the list of them."""
 
 from __future__ import annotations
 
@@ -18,7 +18,10 @@ def save_summaries(runs: DataFrame, folder: str) -> None:
 
 
 def list_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """The last summary of each project, newest first; records that can't be read, or name no project, are left out."""
+    """The last summary of each project, newest first; records that can't be read, or name no project, are left out.
+
+    Of several at one moment the one with the greatest fields stays, in the order of ``SUMMARY``.
+    """
     read = spark.read.schema(SUMMARY).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(folder)
-    last = read.where("project_id is not null").groupBy("project_id").agg(F.max_by(F.struct("*"), F.col("generated_at")).alias("run"))
-    return last.select("run.*").orderBy(F.desc_nulls_last("generated_at"), "project_id")
+    last = read.where("project_id is not null").groupBy("project_id").agg(F.max(F.struct("generated_at", F.struct("*").alias("run"))).alias("last"))
+    return last.select("last.run.*").orderBy(F.desc_nulls_last("generated_at"), "project_id")

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import zipfile
 
@@ -132,3 +133,13 @@ def test_summaries_of_runs(spark, tmp_path):
     runs.save_summaries(made.where("tests_total > 5"), str(tmp_path / "s"))
     (tmp_path / "s" / "of=a" / "bad.json").write_text("{no json")
     assert [(r.project_id, r.tests_total, r.tokens) for r in runs.list_summaries(spark, str(tmp_path / "s")).collect()] == [("a", 6, None), ("b", 7, None)]
+
+
+def test_the_last_summary_of_equal_moments_is_a_certain_one(spark, tmp_path):
+    from cubewright.sources import runs
+
+    moment = dt.datetime(2024, 1, 1)
+    rows = [("p", moment, 1), ("p", moment, 9), ("p", moment, 4), ("q", None, 2), ("q", moment, 1), (None, moment, 3)]
+    for part in (rows[:2], rows[2:]):
+        runs.save_summaries(spark.createDataFrame(part, "project_id string, generated_at timestamp_ntz, tests_total long"), str(tmp_path))
+    assert [(r.project_id, r.tests_total) for r in runs.list_summaries(spark, str(tmp_path)).collect()] == [("p", 9), ("q", 1)]
