@@ -92,10 +92,14 @@ def postings(fingerprints: DataFrame) -> DataFrame:
 
 
 def shared_lists(fingerprints: DataFrame, scratch: Scratch) -> DataFrame:
-    """Postings (combo, key, fp, n) of the lists that hold n > 1 fingerprints."""
+    """Postings (combo, key, fp, n) of the lists that hold n > 1 fingerprints.
+
+    Spark takes the index for as small as the fingerprints it is made of, so without the
+    hint it would broadcast the sizes of all lists through the driver.
+    """
     index = postings(fingerprints)
     sizes = index.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return scratch.table(index.join(sizes, ["combo", "key"]), "lists")
+    return scratch.table(index.join(sizes.hint("merge"), ["combo", "key"]), "lists")
 
 
 def candidates(lists: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from cubewright.llm import decontam, langid, linequality, pii, ppm, queries, simhash, tokencount, urlfilter, warc
 from cubewright.llm.bpe import SegmentTreeBPE, bpe_encode
+from cubewright.llm.scratch import Scratch
 from cubewright.llm.text import id_bucket
 from tests.against_sql import SF_DIR, assert_same, connect
 from tests.llm import brute
@@ -146,6 +147,24 @@ def test_simhash_components(spark, docs, hard):
     assert simhash.simhash_groups(given.where("false")).count() == 0
 
 
+def unwritten(monkeypatch):
+    """Plans of the tables that scratch folders are given, in order."""
+    plans, write = {}, Scratch.table
+
+    def table(self, df, name, compression=None):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name, compression)
+
+    monkeypatch.setattr("cubewright.scratch.Scratch.table", table)
+    return plans
+
+
+def test_near_duplicates_are_dropped_without_a_broadcast_of_the_index(spark, docs, monkeypatch):
+    plans = unwritten(monkeypatch)
+    assert simhash.drop_near_duplicates(docs).count() <= docs.count()
+    assert "SortMergeJoin" in plans["lists"] and "Broadcast" not in plans["lists"]
+
+
 def test_the_tally_decides_what_is_verified(spark):
     from cubewright.llm.scratch import Scratch
 
