@@ -159,6 +159,12 @@ def unwritten(monkeypatch):
     return plans
 
 
+def test_the_index_of_fingerprints_is_never_broadcast(spark, docs, monkeypatch):
+    plans = unwritten(monkeypatch)
+    assert simhash.simhash_groups(docs).count() == docs.count()
+    assert "SortMergeJoin" in plans["lists"] and "Broadcast" not in plans["lists"]
+
+
 def test_near_duplicates_are_dropped_without_a_broadcast_of_the_index(spark, docs, monkeypatch):
     plans = unwritten(monkeypatch)
     assert simhash.drop_near_duplicates(docs).count() <= docs.count()
