@@ -128,9 +128,10 @@ def similarities(model_columns: DataFrame, source_columns: DataFrame) -> DataFra
 def matched_columns(model_columns: DataFrame, source_columns: DataFrame) -> DataFrame:
     """The pairs of :func:`similarities` that count as matches, found through indexes: the different names of all tables are compared once."""
     known = name_matches(*[df.select(F.col("column").alias("name")) for df in (model_columns, source_columns)])
-    left = model_columns.select("table", "column").distinct().join(known, "column")
+    # Names may be longer than Spark takes them to be: hints keep them from the driver.
+    left = model_columns.select("table", "column").distinct().join(known.hint("merge"), "column")
     right = source_columns.select("table", F.col("column").alias("source_column")).distinct()
-    return left.join(right, ["table", "source_column"]).select("table", "column", "source_column", "confidence", "method")
+    return left.join(right.hint("merge"), ["table", "source_column"]).select("table", "column", "source_column", "confidence", "method")
 
 
 def recognised(pairs: DataFrame) -> DataFrame:

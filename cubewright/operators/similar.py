@@ -41,10 +41,11 @@ def similar_names(left: DataFrame, right: DataFrame, at_least: float = FUZZY) ->
     """(a, b, ratio) of all names ``a`` of left and ``b`` of right whose letter-by-letter ratio is at least that; both frames: name.
 
     An index of two-letter grams, the rarest first: a name's least number of shared grams
-    says how many of its rarest grams must hold two of them, places, lengths and the count
-    of shared grams drop most other pairs, and the ratio decides.  Equal names pair whatever
+    says how many of its rarest grams must hold two of them, places, lengths and the edit
+    distance drop nearly all other pairs, and the ratio decides.  Equal names pair whatever
     their length.  Null and empty names pair with nothing.  ``at_least`` must be above
-    0.8, below which short names would share no gram.
+    0.8, below which short names would share no gram.  Spark takes an index for as small as
+    the names it is made of, so the hints keep it from being broadcast through the driver.
     """
     if not 0.8 < at_least <= 1:
         raise ValueError("the ratio must be above 0.8")
@@ -52,17 +53,14 @@ def similar_names(left: DataFrame, right: DataFrame, at_least: float = FUZZY) ->
     def indexed(names: DataFrame) -> DataFrame:
         once = names.select(F.col("name").alias("n")).where("n <> ''").distinct()
         listed = F.transform(F.sequence(F.lit(1), F.length("n") - GRAM + 1), lambda i: F.substr("n", i, F.lit(GRAM)))
-        grams = F.when(F.length("n") >= GRAM, listed).otherwise(F.array().cast("array<string>"))
-        # The second "an" of a name is another gram than its first where grams are counted.
-        again = F.transform("list", lambda g, i: F.concat(g, F.size(F.filter(F.slice("list", F.lit(1), i), lambda h: h == g)).cast("string")))
-        return once.withColumn("list", grams).withColumn("grams", again)
+        return once.withColumn("list", F.when(F.length("n") >= GRAM, listed).otherwise(F.array().cast("array<string>")))
 
     sides = [indexed(left), indexed(right)]
     counts = sides[0].union(sides[1]).select(F.explode("list").alias("gram")).groupBy("gram").agg(F.count("*").alias("held"))
 
     def keys(side: DataFrame, name: str) -> DataFrame:
         """Two of a name's rarest grams together, and for pairs that may share less than two grams one alone."""
-        ordered = side.select("n", F.posexplode("list").alias("at", "gram")).join(counts, "gram").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("held", "gram", "at"))).alias("o"))
+        ordered = side.select("n", F.posexplode("list").alias("at", "gram")).join(counts.hint("merge"), "gram").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("held", "gram", "at"))).alias("o"))
         # The shortest partner leaves the fewest letters, and so the fewest shared grams.
         fewest = least_shared(F.length("n") * (1 + at_least / (2 - at_least)), at_least)
         size, none = F.size("o"), F.lit(None)
@@ -71,19 +69,19 @@ def similar_names(left: DataFrame, right: DataFrame, at_least: float = FUZZY) ->
         alone = F.transform(single, lambda x: F.struct(x["gram"].alias("g"), none.cast("string").alias("h"), x["at"].alias("at"), none.cast("int").alias("too")))
         both = F.flatten(F.transform(double, lambda x, i: F.transform(F.slice(double, i + 2, F.size(double)), lambda y: F.struct(x["gram"].alias("g"), y["gram"].alias("h"), x["at"].alias("at"), y["at"].alias("too")))))
         listed = F.when(fewest < 2, F.concat(alone, both)).otherwise(both)
-        return ordered.select(F.col("n").alias(name), F.explode(listed).alias("k")).select(name, "k.g", "k.h", F.col("k.at").alias(f"{name}_at"), F.col("k.too").alias(f"{name}_too"))
+        keyed = ordered.select(F.col("n").alias(name), F.length("n").alias(f"{name}_letters"), F.explode(listed).alias("k"))
+        return keyed.select(F.xxhash64("k.g", "k.h").alias("key"), name, f"{name}_letters", F.col("k.at").alias(f"{name}_at"), F.col("k.too").alias(f"{name}_too"))
 
-    letters, most = F.length("a") + F.length("b"), F.least(F.length("a"), F.length("b"))
+    letters, most = F.col("a_letters") + F.col("b_letters"), F.least("a_letters", "b_letters")
     # Matched blocks keep their order, so a matched letter is moved by the letters without a match at most.
     moved = (1 - at_least) * letters + 1e-9
     close = (F.abs(F.col("a_at") - F.col("b_at")) <= moved) & (F.coalesce(F.abs(F.col("a_too") - F.col("b_too")), F.lit(0)) <= moved)
-    asked, held = keys(sides[0], "a"), keys(sides[1], "b").withColumnsRenamed({"g": "bg", "h": "bh"})
-    met = asked.join(held, (F.col("g") == F.col("bg")) & F.col("h").eqNullSafe(F.col("bh")))
-    near = met.where(close & (2 * most >= at_least * letters - 1e-9)).select("a", "b").distinct()
-    grams = near.join(sides[0].select(F.col("n").alias("a"), F.col("grams").alias("ga")), "a").join(sides[1].select(F.col("n").alias("b"), F.col("grams").alias("gb")), "b")
-    counted = grams.where(F.size(F.array_intersect("ga", "gb")) >= least_shared(letters, at_least))
-    found = counted.select("a", "b", ratio("a", "b").alias("ratio")).where(F.col("ratio") >= at_least)
-    short = sides[0].where(F.length("n") < GRAM).select(F.col("n").alias("a")).join(sides[1].select(F.col("n").alias("b")), F.col("a") == F.col("b"))
+    # Letters without a match are the most edits that lead from one name to the other.
+    edits = F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor(moved).cast("int")) >= 0
+    met = keys(sides[0], "a").join(keys(sides[1], "b").hint("merge"), "key")
+    near = met.where(close & (2 * most >= at_least * letters - 1e-9) & edits).select("a", "b").distinct()
+    found = near.select("a", "b", ratio("a", "b").alias("ratio")).where(F.col("ratio") >= at_least)
+    short = sides[0].where(F.length("n") < GRAM).select(F.col("n").alias("a")).join(sides[1].select(F.col("n").alias("b")).hint("merge"), F.col("a") == F.col("b"))
     return found.unionByName(short.withColumn("ratio", F.lit(1.0)))
 
 
@@ -104,7 +102,7 @@ def name_matches(model_names: DataFrame, source_names: DataFrame) -> DataFrame:
 
     def tier(name: str, left: DataFrame, right: DataFrame, key: Callable[[str], Column]) -> DataFrame:
         both = [df.select(x, key(x).alias("key")) for df, x in ((left, "m"), (right, "s"))]
-        return both[0].join(both[1], "key").select("m", "s", F.lit(dict(TIERS)[name]).alias("confidence"), F.lit(name).alias("method"))
+        return both[0].join(both[1].hint("merge"), "key").select("m", "s", F.lit(dict(TIERS)[name]).alias("confidence"), F.lit(name).alias("method"))
 
     worded = [df.where(F.size(f"{x}_words") > 0) for df, x in ((m, "m"), (s, "s"))]
     bare = [df.where(f"{x}_bare <> ''") for df, x in ((m, "m"), (s, "s"))]
@@ -115,12 +113,12 @@ def name_matches(model_names: DataFrame, source_names: DataFrame) -> DataFrame:
     # A synonym holds every concept of the other: they meet under the one that the fewest names hold.
     held = worded[1].select("s", F.size("s_words").alias("size"), "s_concepts", F.explode("s_concepts").alias("concept"))
     counts = held.groupBy("concept").agg(F.count("*").alias("held"))
-    asked = worded[0].select("m", F.size("m_words").alias("size"), "m_concepts", F.explode("m_concepts").alias("concept")).join(counts, "concept")
+    asked = worded[0].select("m", F.size("m_words").alias("size"), "m_concepts", F.explode("m_concepts").alias("concept")).join(counts.hint("merge"), "concept")
     rarest = asked.groupBy("m", "size", "m_concepts").agg(F.min_by("concept", F.struct("held", "concept")).alias("concept"))
-    synonyms = rarest.join(held, ["size", "concept"]).where(F.size(F.array_except("m_concepts", "s_concepts")) == 0)
+    synonyms = rarest.join(held.hint("merge"), ["size", "concept"]).where(F.size(F.array_except("m_concepts", "s_concepts")) == 0)
     found.append(synonyms.select("m", "s", F.lit(dict(TIERS)["synonym"]).alias("confidence"), F.lit("synonym").alias("method")))
     alike = similar_names(bare[0].select(F.col("m_bare").alias("name")), bare[1].select(F.col("s_bare").alias("name")))
-    fuzzy = bare[0].select("m", F.col("m_bare").alias("a")).join(alike, "a").join(bare[1].select("s", F.col("s_bare").alias("b")), "b")
+    fuzzy = bare[0].select("m", F.col("m_bare").alias("a")).join(alike.hint("merge"), "a").join(bare[1].select("s", F.col("s_bare").alias("b")).hint("merge"), "b")
     # Two names of one bare form are settled above; the tier that is surest stays.
     found.append(fuzzy.select("m", "s", F.round(F.least("ratio", F.lit(FUZZY_TOP)), 3).alias("confidence"), F.lit("fuzzy").alias("method")))
     every = found[0]

@@ -486,7 +486,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit("parts").alias("table")
     found = matching.matched_columns(part.select(one, name.alias("column")), part.select(one, other.alias("column")))
     keys = part.select(name.alias("column"), k.alias("part"))
-    return found.join(keys, "column").select("part", "method", "confidence")
+    return found.join(keys.hint("merge"), "column").select("part", "method", "confidence")
 
 
 @query(

@@ -44,6 +44,20 @@ def test_similar_names_are_those_of_all_pairs(spark):
         similar.similar_names(names(spark, left), names(spark, right), 0.5)
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_index_of_names_goes_through_the_driver(spark, tmp_path):
+    for x in ("l", "r"):  # only files are taken for small
+        names(spark, [f"{x}name_{i:04d}" for i in range(50)]).write.parquet(str(tmp_path / x))
+    left, right = (spark.read.parquet(str(tmp_path / x)) for x in ("l", "r"))
+    assert "Broadcast" not in physical(similar.similar_names(left, right))
+    frames = [df.select(F.lit("t").alias("table"), F.col("name").alias("column")) for df in (left, right)]
+    found = matching.matched_columns(*frames)
+    assert "Broadcast" not in physical(found) and found.where("method = 'fuzzy'").count() >= 50
+
+
 def test_least_shared_grams_holds_for_all_matches():
     rng = random.Random(2)
     for _ in range(3000):
