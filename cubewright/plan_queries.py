@@ -500,7 +500,7 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = (k % 7).cast("string").alias("table")
     taken = matching.assign_columns(matching.matched_columns(part.select(table, name.alias("column")), part.select(table, other.alias("column"))))
     keys = [part.select(x.alias(c), k.alias(y)) for x, c, y in ((name, "column", "part"), (other, "source_column", "other"))]
-    return taken.join(keys[0], "column").join(keys[1], "source_column").select("part", "other")
+    return taken.join(keys[0].hint("merge"), "column").join(keys[1].hint("merge"), "source_column").select("part", "other")
 
 
 @query(

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cubewright import queries
 from cubewright.functions.logic import running_total
 from cubewright.operators import expansion, matching, similar
+from tests.against_sql import SF_DIR
 
 
 def plan(df):
@@ -58,6 +60,11 @@ def test_no_index_of_names_goes_through_the_driver(spark, tmp_path):
     assert "Broadcast" not in physical(found) and found.where("method = 'fuzzy'").count() >= 50
 
 
+def test_keys_of_assigned_columns_do_not_go_through_the_driver(spark):
+    out = physical(queries.QUERIES["STR-05_assigned_columns"](spark, SF_DIR))
+    assert "Broadcast" not in out and "SortMergeJoin" in out
+
+
 def test_least_shared_grams_holds_for_all_matches():
     rng = random.Random(2)
     for _ in range(3000):
