@@ -119,6 +119,17 @@ def test_contained_texts_are_those_of_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == {(p, w) for p in parts if p for w in wholes if p in w}
 
 
+def test_long_parts_are_found_and_no_index_of_texts_goes_through_the_driver(spark, tmp_path):
+    rng = random.Random(4)
+    wholes = ["".join(rng.choices("ab", k=rng.randrange(60))) for _ in range(100)]
+    parts = [w[i : i + rng.randrange(1, 40)] for w in wholes for i in (0, 3, 7)] + ["ab" * 15, "aab" * 9]
+    for x, texts in (("p", parts), ("w", wholes)):  # only files are taken for small
+        names(spark, texts).write.parquet(str(tmp_path / x))
+    out = expansion.contained(*[spark.read.parquet(str(tmp_path / x)) for x in ("p", "w")])
+    assert "Broadcast" not in physical(out)
+    assert sorted(map(tuple, out.collect())) == sorted({(p, w) for p in parts if p for w in wholes if p in w})
+
+
 def test_findings_come_without_all_entities_in_one_row(spark):
     cases = spark.createDataFrame([(1, "R", "b"), (2, None, "none"), (3, "R", None)], "test_case_id int, rule_id string, entity string")
     found = spark.createDataFrame([("R", f"e{i}b", i % 2 == 0) for i in range(40)], "rule_id string, entity string, passed boolean")
