@@ -1,7 +1,9 @@
-"""Gradient-boosted trees for a two-class problem of a few thousand rows, in numpy."""
+"""Gradient-boosted trees for a two-class problem, in numpy or from sums that tasks bring."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -40,6 +42,49 @@ class BoostedTrees:
             margin += self.nodes[-1][1][leaf]
         return self
 
+    def fit_sums(self, share: float, cuts: list[np.ndarray], sums: Callable[[BoostedTrees, tuple | None], np.ndarray]) -> BoostedTrees:
+        """The trees of ``fit`` for rows that never come together.
+
+        share: of positive rows.  cuts: of each feature, in order.  ``sums`` gives what
+        :meth:`histogram` adds up over all rows under the trees so far: for a root, or
+        for the two sides of the root it is given.
+        """
+        share = float(np.clip(share, 1e-3, 1 - 1e-3))
+        self.base = float(np.log(share / (1 - share)))
+        for _ in range(self.trees):
+            root = self._best(sums(self, None)[0], cuts)
+            if root is None:
+                break
+            below = sums(self, root)
+            children = [self._best(side, cuts) or (0, np.inf) for side in below]
+            values = []
+            for side, (f, c) in zip(below, children):
+                low = side[f, : np.searchsorted(cuts[f], c) + 1].sum(axis=0) if np.isfinite(c) else side[0].sum(axis=0)
+                values += [self.rate * g / (h + 1.0) for g, h, _ in (low, side[0].sum(axis=0) - low)]
+            self.nodes.append(((root, *children), np.array(values)))
+        return self
+
+    def histogram(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, cuts: list[np.ndarray], root: tuple | None) -> np.ndarray:
+        """(sides, features, bins, 3): gradient, weight and number of the rows, of which there are ``n`` each."""
+        p = 1 / (1 + np.exp(-self.margin(x)))
+        parts = np.stack([(y - p) * n, (p * (1 - p) + 1e-6) * n, n], axis=1)
+        side = np.zeros(len(x), int) if root is None else (x[:, root[0]] > root[1]).astype(int)
+        out = np.zeros((1 if root is None else 2, x.shape[1], self.bins + 1, 3))
+        for f, points in enumerate(cuts):
+            np.add.at(out[:, f], (side, np.searchsorted(points, x[:, f])), parts)
+        return out
+
+    def _best(self, side: np.ndarray, cuts: list[np.ndarray]) -> tuple | None:
+        best, found = 1e-9, None
+        g, h, n = side[0].sum(axis=0)
+        for f, points in enumerate(cuts):
+            for (gl, hl, nl), c in zip(side[f].cumsum(axis=0), points):
+                if nl >= self.least and n - nl >= self.least:
+                    gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                    if gain > best:
+                        best, found = gain, (f, float(c))
+        return found
+
     def _split(self, x, gradient, weight, cuts, rows):
         best, found = 1e-9, None
         g, h = gradient[rows].sum(), weight[rows].sum()
@@ -71,13 +116,19 @@ class BoostedTrees:
         """Fit the slope and offset of the probability on held-out rows by Newton's method."""
         if len(x) == 0 or y.min() == y.max():
             return self
-        m = np.stack([self.margin(x), np.ones(len(x))], axis=1)
+        return self.calibrate_margins(self.margin(x), y, np.ones(len(x)), steps)
+
+    def calibrate_margins(self, margin: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 50) -> BoostedTrees:
+        """The same from sums of the trees, each of ``n`` rows."""
+        if len(y) == 0 or y.min() == y.max():
+            return self
+        m = np.stack([margin, np.ones(len(margin))], axis=1)
         prior = np.array([1.0, 0.0])
         w = prior.copy()
         for _ in range(steps):
             p = 1 / (1 + np.exp(-m @ w))
-            gradient = m.T @ (p - y) + (w - prior)
-            hessian = (m * (p * (1 - p))[:, None]).T @ m + np.eye(2)
+            gradient = m.T @ ((p - y) * n) + (w - prior)
+            hessian = (m * (p * (1 - p) * n)[:, None]).T @ m + np.eye(2)
             w -= np.linalg.solve(hessian, gradient)
         self.slope, self.offset = float(w[0]), float(w[1])
         return self

@@ -7,32 +7,38 @@ score each by its format and its surroundings, and a calibrated probability abov
 kind's threshold adds it, valid forms and then the best first, where it overlaps neither
 a base span nor a better one.
 
-The trees learn from a bounded sample of documents (``SAMPLE_ROWS`` texts of at most
-``SAMPLE_CHARS`` characters, and ``KIND_ROWS`` of each kind from the whole table).  Positive are candidates on base spans and on spellings of
+The trees learn from all texts that hold a digit or an at sign.  Positive are candidates on base spans and on spellings of
 them that the base patterns don't know.  Other candidates are negative, but for those
 off base spans that have a valid form of their kind (``valid_form``) or overlap one that has:
-what they are isn't known, so they are neither taught nor counted.  Half of the sample's documents fit the trees, the
-other half calibrates them and sets thresholds.  For a kind with fewer than ``LEAST_SPANS`` base spans in
-a half, spellings of ``STAND_INS`` put into that half's texts are positives too.
+what they are isn't known, so they are neither taught nor counted.  Tasks count the different
+rows of features, one written table holds them, and each level of a tree is one sum of
+gradients over it, so that only sums by feature and bin reach the driver.  One half of the
+texts, by a hash, fits the trees, the other half calibrates them and sets thresholds, from counts by kind
+and by steps of ``1 / STEPS`` of the trees' sum.  For a kind with fewer than ``LEAST_SPANS`` base spans in
+a half, spellings of ``STAND_INS`` put into ``CARRIERS`` of that half's texts are positives too.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import with_text_columns
+from .batches import slices, with_text_columns
 from .boosting import BoostedTrees
+from .scratch import Scratch
+from .worker import give_back, release
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS, SAMPLE_CHARS, KIND_ROWS, LEAST_SPANS = 800, 8_192, 100, 50
-TEXTS_OF_ID = 16
+LEAST_SPANS, CARRIERS = 50, 40
+#: Steps of one of the trees' sum at which held-out rows are counted, and the sum beyond which steps aren't told apart.
+STEPS, FARTHEST = 256, 30
 #: Precision wanted on the calibration rows, and the least probability in any case.
 PRECISION, LEAST_PROBABILITY = 0.98, 0.95
 STAND_INS = (
@@ -224,42 +230,20 @@ def _respelled(kind: int, left: str, base: str, right: str) -> Iterator[tuple[li
                 yield features(whole, c), 1.0
 
 
-def _stand_ins(texts: list[str]) -> Iterator[tuple[list[float], float]]:
-    """Positives of the kinds that fewer than ``LEAST_SPANS`` base spans of the texts have."""
-    counts = np.bincount([k for t in texts for _, k, _ in base_spans(t)], minlength=len(KINDS))
-    missing = np.flatnonzero(counts < LEAST_SPANS).tolist()
-    for i, text in enumerate(texts[:40]):
-        words = text[:200].split()
+def _stand_ins(texts: list[str], missing: list[int]) -> Iterator[tuple[list[float], float]]:
+    """Positives of the kinds that too few base spans have."""
+    for i, text in enumerate(texts):
+        words = text.split()
         for kind in missing:
             yield from _respelled(kind, " ".join(words[:5]) + " ", STAND_INS[kind][i % 3], " " + " ".join(words[5:10]))
 
 
 class SpanModel:
-    """Trees and a threshold for each kind."""
-
-    def __init__(self, texts: list[str]):
-        self.trees: BoostedTrees | None = None
-        self.thresholds = np.full(len(KINDS), np.inf)
-        sets = [[*(e for t in texts[k::2] for e in _examples(t)), *_stand_ins(texts[k::2])] for k in (0, 1)]
-        if not all(sets):  # fewer than two texts
-            return
-        x, y = (np.array([e[i] for e in sets[0]], float) for i in (0, 1))
-        vx, vy = (np.array([e[i] for e in sets[1]], float) for i in (0, 1))
-        if not 0 < y.mean() < 1:
-            return
-        self.trees = BoostedTrees().fit(x, y).calibrate(vx, vy)
-        p = self.trees.probability(vx)
-        for k in range(len(KINDS)):
-            rows = vx[:, k] == 1
-            if not vy[rows].any():
-                continue
-            order = np.argsort(-p[rows], kind="stable")
-            precision = np.cumsum(vy[rows][order]) / np.arange(1, len(order) + 1)
-            good = np.flatnonzero(precision >= PRECISION)
-            if len(good):
-                last = good[-1]
-                # Where all rows may pass, less probable ones than the least of this half may too.
-                self.thresholds[k] = max(LEAST_PROBABILITY, p[rows][order][last] if last + 1 < len(order) else 0.0)
+    """Trees and a threshold for each kind; without any, only base spans are found."""
+
+    def __init__(self, trees: BoostedTrees | None = None, thresholds: np.ndarray | None = None):
+        self.trees = trees or None
+        self.thresholds = np.full(len(KINDS), np.inf) if thresholds is None else thresholds
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int, bool]]]:
         """(start, kind index, end, base) of all spans of each text, in order of start, then kind."""
@@ -324,38 +308,116 @@ def redact(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | N
     return "".join([*out, text[upto:]])
 
 
-#: Texts that may hold a base span of each kind: a character, which is looked for first, and a pattern.
-_MAY_HOLD = (("@", "@[A-Za-z0-9-]+[.]"), (".", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), ("", "[0-9]([ -]?[0-9]){13}"), ("+", r"\+[0-9][ ().0-9-]{8,}[0-9]"))
+#: Rows of :func:`_counted`: half of the texts, what the row is (1 and 0: a taught row, -1: base spans of the kind in x), features, number.
+_ROWS = "half int, y double, x array<double>, n bigint"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Different taught rows of the texts of each slice, and their base spans by kind, with their numbers."""
+    release()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            counts: Counter = Counter()
+            for half, text in zip(part.column("half").to_pylist(), part.column("text").to_pylist()):
+                counts.update((half, y, tuple(x)) for x, y in _examples(text))
+                counts.update((half, -1.0, (float(k),)) for _, k, _ in base_spans(text))
+            yield _row_batch([(*key, n) for key, n in counts.items()])
+    give_back()
+
+
+def _row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["half", "y", "x", "n"])
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y and n of a batch of taught rows."""
+    x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+    return x, batch.column("y").to_numpy(), batch.column("n").to_numpy().astype(float)
+
+
+def _sums(rows: DataFrame, cuts: list[np.ndarray]) -> Callable[[BoostedTrees, tuple | None], np.ndarray]:
+    """What :meth:`BoostedTrees.fit_sums` asks for, by one Spark job each; a task gives one row."""
+
+    def over(trees: BoostedTrees, root: tuple | None) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(trees.histogram(*_arrays(b), cuts, root) for b in batches if b.num_rows)
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        got = [np.frombuffer(r["sums"]) for r in rows.mapInArrow(run, "sums binary").collect()]
+        return sum(got).reshape(1 if root is None else 2, len(cuts), trees.bins + 1, 3)
+
+    return over
+
+
+def _cells(trees: BoostedTrees) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y, n = _arrays(batch)
+                cell = np.floor(np.clip(trees.margin(x), -FARTHEST, FARTHEST) * STEPS).astype(np.int64)
+                columns = (x[:, : len(KINDS)].argmax(axis=1).astype(np.int64), cell, y, n.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "cell", "y", "n"])
+
+    return run
 
 
 def fit_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
-    """Learn from bounded samples, chosen by a hash of the id: of the texts with a digit or an at sign, and of each kind's texts;
-    of one id at most ``TEXTS_OF_ID``.
+    """Learn from every text with a digit or an at sign; halves are told by a hash of id and text.
 
-    Kinds with few spans in the samples are taught by stand-ins.  With fewer than two
-    such texts there is nothing to learn from, and only base spans are found later.
+    Kinds with few base spans are taught by stand-ins.  If a half has nothing to teach,
+    as with fewer than two such texts, only base spans are found later.
     """
-    order = F.xxhash64(F.col(id_col), F.lit("personal data"))
-    text, some = F.col("text"), F.col("text").rlike("[0-9@]")
-    wanted = [SAMPLE_ROWS, *[KIND_ROWS] * len(_MAY_HOLD)]
-    holds = [F.lit(1), *(F.when(text.contains(c) & text.rlike(p), 2 << i).otherwise(0) for i, (c, p) in enumerate(_MAY_HOLD))]
-    bits = F.when(some, reduce(Column.bitwiseOR, holds)).otherwise(0)
-    short = docs.select(F.col(text_col).alias("text"), order.alias("order")).where(F.length("text") <= SAMPLE_CHARS)
-    marked = short.select("order", bits.alias("bits"), "text").where("bits <> 0")
-    # One pass counts what texts may hold, a second brings those that are drawn.
-    found = marked.agg(*[F.count_if(F.col("bits").bitwiseAND(1 << i) != 0).alias(f"n{i}") for i in range(len(wanted))]).first()
-    # Rows below a threshold of the hash, some more than wanted: few rows come together, whatever the number of partitions.
-    below = [int(min(1.0, 3 * n / max(1, found[f"n{i}"])) * (1 << 30)) for i, n in enumerate(wanted)]
-    place = F.pmod("order", F.lit(1 << 30))
-    drawn = marked.where(reduce(Column.__or__, [(place < limit) & (F.col("bits").bitwiseAND(1 << i) != 0) for i, limit in enumerate(below)])).distinct()
-    same = Window.partitionBy("order").orderBy("text")
-    rows = drawn.withColumn("n", F.row_number().over(same)).where(F.col("n") <= TEXTS_OF_ID).collect()  # a few thousand short texts
-    rows.sort(key=lambda r: (r["order"], r["text"]))
-    texts: dict[str, None] = {}
-    for i, (n, limit) in enumerate(zip(wanted, below)):
-        own = [r["text"] for r in rows if r["bits"] >> i & 1 and r["order"] % (1 << 30) < limit]
-        texts |= dict.fromkeys(own[:n])
-    return SpanModel(list(texts))  # a text of several samples counts once, in the first
+    scratch = Scratch(docs.sparkSession, "spans")
+    place = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("personal data"))
+    some = docs.select(F.col(text_col).alias("text"), place.alias("place")).where(F.col("text").rlike("[0-9@]"))
+    halved = some.withColumn("half", F.pmod("place", F.lit(2)).cast("int"))
+    counted = halved.select("half", "text").mapInArrow(_counted, _ROWS).groupBy("half", "y", "x").agg(F.sum("n").alias("n"))
+    every = scratch.table(counted, "rows")
+    held = {(r["half"], int(r["kind"])): r["n"] for r in every.where("y < 0").select("half", F.col("x")[0].alias("kind"), "n").collect()}
+    missing = [[k for k in range(len(KINDS)) if held.get((half, k), 0) < LEAST_SPANS] for half in (0, 1)]
+    rows = every.where("y >= 0")
+    if any(missing):
+        carriers = [[r["text"] for r in halved.where(F.col("half") == h).select(F.substring("text", 1, 200).alias("text"), "place").orderBy("place", "text").limit(CARRIERS).collect()] for h in (0, 1)]
+        extra = [(h, y, list(map(float, x)), 1) for h in (0, 1) for x, y in _stand_ins(carriers[h], missing[h])]
+        rows = rows.union(scratch.table(docs.sparkSession.createDataFrame(extra, _ROWS), "stand_ins"))
+    model = _taught(rows)
+    scratch.keep_only()
+    return model
+
+
+def _taught(rows: DataFrame) -> SpanModel:
+    """The model of taught rows: those of half 0 fit the trees, those of half 1 calibrate them and set the thresholds."""
+    fit, rest = (rows.where(F.col("half") == h) for h in (0, 1))
+    trees = BoostedTrees()
+    places = F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, trees.bins + 1)[1:-1]])
+    width = len(features("0", (0, 0, 1)))
+    asked = [z for i in range(width) for z in (F.percentile(F.col("x")[i], places, F.col("n")).alias(f"q{i}"), F.max(F.col("x")[i]).alias(f"m{i}"))]
+    told = fit.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good"), *asked).first()
+    if not told["n"] or not 0 < told["good"] < told["n"] or not rest.limit(1).count():
+        return SpanModel()
+    cuts = [np.unique(told[f"q{i}"]) for i in range(width)]
+    cuts = [c[c < told[f"m{i}"]] for i, c in enumerate(cuts)]
+    trees.fit_sums(told["good"] / told["n"], cuts, _sums(fit.select("y", "x", "n"), cuts))
+    seen = rest.select("y", "x", "n").mapInArrow(_cells(trees), "kind bigint, cell bigint, y double, n bigint")
+    cells = seen.groupBy("kind", "cell").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good")).collect()
+    kind, margin, n, good = (np.array([r[c] for r in cells], float) for c in ("kind", "cell", "n", "good"))
+    margin /= STEPS
+    trees.calibrate_margins(np.tile(margin, 2), np.repeat([1.0, 0.0], len(cells)), np.concatenate([good, n - good]))
+    thresholds = np.full(len(KINDS), np.inf)
+    for k in range(len(KINDS)):
+        own = np.flatnonzero(kind == k)
+        if not good[own].any():
+            continue
+        own = own[np.argsort(-margin[own])]
+        fine = np.flatnonzero(np.cumsum(good[own]) / np.cumsum(n[own]) >= PRECISION)
+        if len(fine):
+            last = fine[-1]
+            # Where all rows may pass, less probable ones than the least of this half may too.
+            least = 1 / (1 + np.exp(-(trees.slope * margin[own[last]] + trees.offset))) if last + 1 < len(own) else 0.0
+            thresholds[k] = max(LEAST_PROBABILITY, least)
+    return SpanModel(trees, thresholds)
 
 
 _SPANS = T.ArrayType(

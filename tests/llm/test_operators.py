@@ -398,6 +398,33 @@ def test_added_spans_and_redaction(spark, hard):
     assert pii.SpanModel([]).spans(["a@b.cd"]) == [[(0, 0, 6, True)]]
 
 
+def test_spans_are_learned_from_every_text(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [f"order {rng.randrange(10**9)} of {rng.randrange(300)}.{rng.randrange(300)}.1.{i % 300}, call ({rng.randrange(100, 999)}) 555-{i:04d}" for i in range(1500)]
+    texts += ["word " * 3000 + f"at 10.0.{i}.7 and 4111.1111.1111.{i:04d}" for i in range(20)]
+    given = spark.createDataFrame([(i % 700, t) for i, t in enumerate(texts)], DOCS)
+    taught, learn = [], pii._taught
+    monkeypatch.setattr(pii, "_taught", lambda rows: taught.append(rows.groupBy("y").agg(F.sum("n").alias("n")).collect()) or learn(rows))
+    monkeypatch.setattr(pii, "_stand_ins", lambda texts, missing: iter(()))
+    pii.fit_spans(given)
+    every = [y for t in texts for _, y in pii._examples(t)]
+    assert {r.y: r.n for r in taught[0]} == {y: every.count(y) for y in (0.0, 1.0)}
+
+
+def test_trees_from_sums_are_those_of_all_rows():
+    from cubewright.llm.boosting import BoostedTrees
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, size=(3000, 5)).astype(float)
+    y = (rng.random(len(x)) < np.where(x[:, 0] > 5, x[:, 1] / 12, 0.2)).astype(float)
+    whole, parts = BoostedTrees().fit(x, y), BoostedTrees()
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, parts.bins + 1)[1:-1])) for c in x.T]
+    cuts = [c[c < column.max()] for c, column in zip(cuts, x.T)]
+    ones = np.ones(1000)
+    parts.fit_sums(y.mean(), cuts, lambda trees, root: sum(trees.histogram(x[i : i + 1000], y[i : i + 1000], ones, cuts, root) for i in (0, 1000, 2000)))
+    assert np.allclose(whole.margin(x), parts.margin(x))
+
+
 def test_query_of_op6_by_brute_force(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     seen = 0
