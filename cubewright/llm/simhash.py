@@ -157,13 +157,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hashed = scratch.table(docs.select(F.col(id_col).alias("id"), simhash_column(F.col(text_col)).alias("fp")), "fingerprints")
     groups = scratch.table(hashed.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(near_links(groups.select("fp"), scratch), scratch)
-    rooted = groups.join(roots, groups.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    # These joins are of all fingerprints: none goes through the driver, and sides that are
+    # written before let Spark split the key of a large component.
+    rooted = scratch.table(
+        groups.join(roots.hint("merge"), groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted"
     )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = scratch.table(rooted.join(named, "root").select("fp", "component_id"), "labels")
+    named = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
+    label = scratch.table(rooted.join(named.hint("merge"), "root").select("fp", "component_id"), "labels")
     scratch.keep_only(hashed, label)
-    return hashed.join(label, "fp").select(
+    return hashed.join(label.hint("merge"), "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

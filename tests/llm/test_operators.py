@@ -165,6 +165,15 @@ def test_the_index_of_fingerprints_is_never_broadcast(spark, docs, monkeypatch):
     assert "SortMergeJoin" in plans["lists"] and "Broadcast" not in plans["lists"]
 
 
+def test_components_of_all_fingerprints_are_never_broadcast(spark, docs, monkeypatch):
+    plans = unwritten(monkeypatch)
+    given = _variants(docs, spark)
+    got = simhash.simhash_groups(given)
+    result = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in result and not [k for k, plan in {**plans, "result": result}.items() if k in ("rooted", "labels", "result") and "Broadcast" in plan]
+    assert got.count() == given.count()
+
+
 def test_near_duplicates_are_dropped_without_a_broadcast_of_the_index(spark, docs, monkeypatch):
     plans = unwritten(monkeypatch)
     assert simhash.drop_near_duplicates(docs).count() <= docs.count()
