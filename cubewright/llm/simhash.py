@@ -17,6 +17,7 @@ in which it differs are free in any list that holds both.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
@@ -76,6 +77,13 @@ def simhash_column(texts: pa.Array) -> pa.Array:
     return pa.array([simhash64(t.as_py()) for t in texts], pa.int64())
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, fp) of rows (id, text).  Beside :func:`simhash_column` Spark would hold the texts of rows that wait for theirs."""
+    for batch in batches:
+        release()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([simhash64(t.as_py()) for t in batch.column(1)], pa.int64())], ["id", "fp"])
+
+
 def _masks() -> list[tuple[int, list[int]]]:
     """(mask of the kept bytes, free bit positions) of each key."""
     out = []
@@ -154,7 +162,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    hashed = scratch.table(docs.select(F.col(id_col).alias("id"), simhash_column(F.col(text_col)).alias("fp")), "fingerprints")
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    hashed = scratch.table(given.mapInArrow(_hashed, T.StructType([given.schema["id"], T.StructField("fp", T.LongType())])), "fingerprints")
     groups = scratch.table(hashed.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected_components(near_links(groups.select("fp"), scratch), scratch)
     # These joins are of all fingerprints: none goes through the driver, and sides that are

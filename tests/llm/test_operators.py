@@ -165,6 +165,12 @@ def test_the_index_of_fingerprints_is_never_broadcast(spark, docs, monkeypatch):
     assert "SortMergeJoin" in plans["lists"] and "Broadcast" not in plans["lists"]
 
 
+def test_no_texts_wait_for_their_fingerprints(spark, docs, monkeypatch):
+    plans = unwritten(monkeypatch)
+    assert simhash.simhash_groups(docs).count() == docs.count()
+    assert "MapInArrow" in plans["fingerprints"] and "EvalPython" not in plans["fingerprints"]
+
+
 def test_components_of_all_fingerprints_are_never_broadcast(spark, docs, monkeypatch):
     plans = unwritten(monkeypatch)
     given = _variants(docs, spark)
