@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,12 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import column_concepts, column_words, normal_column
+from ..scratch import Scratch
 
 # How sure each way of matching two column names is, the surest first.
 TIERS = (("exact", 1.0), ("case", 0.99), ("normalised", 0.97), ("tokens", 0.96), ("tokens-reordered", 0.93), ("synonym", 0.91))
 FUZZY, FUZZY_TOP, REVIEW = 0.86, 0.88, 0.70
 #: Letters of the grams that index names.
 GRAM = 2
+#: Matched letters of the keys of beginnings and ends; letters without a match, and letters of a name, up to which these keys index names.
+END, MOST_EDITS, LONGEST = 5, 8, 64
+#: Names on either side that begin or end alike, beyond which grams tell their partners better than beginnings and ends.
+CROWDED = 200
 
 
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -37,25 +44,74 @@ def least_shared(letters: Column, at_least: float) -> Column:
     return F.ceil(1.5 * at_least * letters - letters - 1 - 1e-9)
 
 
-def similar_names(left: DataFrame, right: DataFrame, at_least: float = FUZZY) -> DataFrame:
-    """(a, b, ratio) of all names ``a`` of left and ``b`` of right whose letter-by-letter ratio is at least that; both frames: name.
+def end_levels(at_least: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """For each length (left out at the beginning, left out at the end): most letters of a name that its keys leave out, -1 for no key.
 
-    An index of two-letter grams, the rarest first: a name's least number of shared grams
-    says how many of its rarest grams must hold two of them, places, lengths and the edit
-    distance drop nearly all other pairs, and the ratio decides.  Equal names pair whatever
-    their length.  Null and empty names pair with nothing.  ``at_least`` must be above
-    0.8, below which short names would share no gram.  Spark takes an index for as small as
-    the names it is made of, so the hints keep it from being broadcast through the driver.
+    The first list is for names that are looked up, and ends before the first length with a
+    partner that may differ in more than ``MOST_EDITS`` letters; the second is for their
+    partners.  Two names of ratio ``at_least`` match m letters in order, and e letters of
+    both have no match.  Where the first and the last ``END`` matched letters are apart,
+    at most x of the e lie before the END-th matched letter, or else at most e - 1 - x
+    after the END-th last: keys that leave out so many letters meet, whatever x.
     """
-    if not 0.8 < at_least <= 1:
-        raise ValueError("the ratio must be above 0.8")
-
-    def indexed(names: DataFrame) -> DataFrame:
-        once = names.select(F.col("name").alias("n")).where("n <> ''").distinct()
-        listed = F.transform(F.sequence(F.lit(1), F.length("n") - GRAM + 1), lambda i: F.substr("n", i, F.lit(GRAM)))
-        return once.withColumn("list", F.when(F.length("n") >= GRAM, listed).otherwise(F.array().cast("array<string>")))
+    asked, partners = [(-1, -1)], {0: (-1, -1)}
+    for a in range(1, LONGEST + 1):
+        found = []
+        for b in range(math.ceil(a * at_least / (2 - at_least) - 1e-9), math.floor(a * (2 - at_least) / at_least + 1e-9) + 1):
+            m = math.ceil(at_least * (a + b) / 2 - 1e-9)
+            e = a + b - 2 * m
+            if m <= min(a, b) and e:  # without such letters the names are equal
+                found.append((b, m, e, *(((e - 1) // 2, e // 2) if 2 * END <= m + 1 else (e, -1))))
+        if any(e > MOST_EDITS for _, _, e, _, _ in found):
+            break
+        asked.append(tuple(max((min(f[i], a - f[1]) for f in found), default=-1) for i in (3, 4)))
+        for b, m, _, *levels in found:
+            partners[b] = tuple(max(old, min(new, b - m)) for old, new in zip(partners.get(b, (-1, -1)), levels))
+    return asked, [partners.get(n, (-1, -1)) for n in range(max(partners) + 1)]
+
+
+def _by_ends(left: DataFrame, right: DataFrame, levels: tuple[list, list], at_least: float) -> DataFrame:
+    """(a, b), ids of different names of left and right that may be alike; both frames: n, id.
+
+    A key is the first END letters that are left of a name when up to some letters are
+    left out, or the last.  What meets must be of fitting lengths, and differ in no more
+    letters than may stay without a match: each flips one of 64 bits at most, a bit for
+    a letter and one for its repeat.
+    """
+    most = [max(0, *(x[i] for side in levels for x in side)) for i in (0, 1)]
+    # Whether from the end, letters left out, places of the letters that stay.
+    kinds = [[back, level, *places, END + level] for back in (0, 1) for level in range(most[back] + 1) for places in itertools.combinations(range(1, END + level), END - 1)]
+
+    def keys(side: DataFrame, name: str, held: list) -> DataFrame:
+        letters = F.transform(F.sequence(F.lit(1), F.length("n")), lambda i: F.pmod(F.ascii(F.substr("n", i, F.lit(1))), F.lit(32)))
+        bits = F.transform(letters, lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k))
+        seen = F.aggregate(bits, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(k).bitwiseOR(F.shiftleft(s.bitwiseAND(k), 32)))
+        rows = side.where((F.length("n") > 0) & (F.length("n") < len(held))).select(
+            F.col("id").alias(name), F.length("n").alias(f"{name}_letters"), seen.alias(f"{name}_seen"),
+            *[F.get(F.lit([x[i] for x in held]), F.length("n")).alias(f"most{i}") for i in (0, 1)],
+            *[F.concat(text, F.lit(" " * (END + max(most)))).alias(f"text{i}") for i, text in enumerate((F.col("n"), F.reverse("n")))],
+        )
+        k = F.col("kind")
+        kept = rows.withColumn("kind", F.explode(F.lit(kinds))).where(k[1] <= F.when(k[0] == 0, F.col("most0")).otherwise(F.col("most1")))
+        kept = kept.withColumn("text", F.when(k[0] == 0, F.col("text0")).otherwise(F.col("text1")))
+        return kept.select(F.xxhash64(k[0], *[F.substr("text", k[2 + i], F.lit(1)) for i in range(END)]).alias("key"), name, f"{name}_letters", f"{name}_seen")
+
+    letters = F.col("a_letters") + F.col("b_letters")
+    matched = F.ceil(at_least * letters / 2 - 1e-9)
+    fits = (matched <= F.least("a_letters", "b_letters")) & (F.bit_count(F.col("a_seen").bitwiseXOR(F.col("b_seen"))) <= letters - 2 * matched)
+    met = keys(left, "a", levels[0]).join(keys(right, "b", levels[1]).hint("merge"), "key")
+    return met.where(fits & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+
+
+def _by_grams(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+    """(a, b), names of left and right that may be alike; both frames: n.
 
-    sides = [indexed(left), indexed(right)]
+    An index of two-letter grams, the rarest first: a name's least number of shared grams
+    says how many of its rarest grams must hold two of them; places, lengths and the edit
+    distance drop nearly all other pairs.
+    """
+    listed = F.transform(F.sequence(F.lit(1), F.length("n") - GRAM + 1), lambda i: F.substr("n", i, F.lit(GRAM)))
+    sides = [names.where(F.length("n") >= GRAM).select("n", listed.alias("list")) for names in (left, right)]
     counts = sides[0].union(sides[1]).select(F.explode("list").alias("gram")).groupBy("gram").agg(F.count("*").alias("held"))
 
     def keys(side: DataFrame, name: str) -> DataFrame:
@@ -76,19 +132,62 @@ def similar_names(left: DataFrame, right: DataFrame, at_least: float = FUZZY) ->
     # Matched blocks keep their order, so a matched letter is moved by the letters without a match at most.
     moved = (1 - at_least) * letters + 1e-9
     close = (F.abs(F.col("a_at") - F.col("b_at")) <= moved) & (F.coalesce(F.abs(F.col("a_too") - F.col("b_too")), F.lit(0)) <= moved)
-    # Letters without a match are the most edits that lead from one name to the other.
-    edits = F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor(moved).cast("int")) >= 0
     met = keys(sides[0], "a").join(keys(sides[1], "b").hint("merge"), "key")
-    near = met.where(close & (2 * most >= at_least * letters - 1e-9) & edits).select("a", "b").distinct()
-    found = near.select("a", "b", ratio("a", "b").alias("ratio")).where(F.col("ratio") >= at_least)
-    short = sides[0].where(F.length("n") < GRAM).select(F.col("n").alias("a")).join(sides[1].select(F.col("n").alias("b")).hint("merge"), F.col("a") == F.col("b"))
-    return found.unionByName(short.withColumn("ratio", F.lit(1.0)))
+    return met.where(close & (2 * most >= at_least * letters - 1e-9) & _few_edits(at_least)).select("a", "b").distinct()
 
 
-def _forms(names: DataFrame, name: str) -> DataFrame:
-    out = names.select(F.col("name").alias(name)).where(f"{name} <> ''").distinct()
-    out = out.withColumns({f"{name}_bare": normal_column(F.col(name)), f"{name}_words": column_words(F.col(name))})
-    return out.withColumns({f"{name}_sorted": F.array_sort(f"{name}_words"), f"{name}_concepts": F.array_distinct(column_concepts(F.col(f"{name}_words")))})
+def _few_edits(at_least: float) -> Column:
+    """Letters without a match are the most edits that lead from one name to the other."""
+    letters = F.length("a") + F.length("b")
+    return F.call_function("levenshtein", F.col("a"), F.col("b"), F.floor((1 - at_least) * letters + 1e-9).cast("int")) >= 0
+
+
+def similar_names(left: DataFrame, right: DataFrame, at_least: float = FUZZY) -> DataFrame:
+    """(a, b, ratio) of all names ``a`` of left and ``b`` of right whose letter-by-letter ratio is at least that; both frames: name.
+
+    Names are looked up by keys of their beginnings and ends, of which a pair that is
+    alike shares one; long names, and many that begin or end like many others, by their
+    rarest grams.  Every pair that may be alike is met in one of the two ways, and the
+    ratio decides.  Equal names pair whatever their length.  Null and empty names pair
+    with nothing.  ``at_least`` must be above 0.8, below which short names would share no
+    gram.  Spark takes an index for as small as the names it is made of, so the hints
+    keep it from being broadcast through the driver.
+    """
+    if not 0.8 < at_least <= 1:
+        raise ValueError("the ratio must be above 0.8")
+    a, b = (names.select(F.col("name").alias("n")).where("n <> ''").distinct().withColumn("id", F.xxhash64("n")) for names in (left, right))
+    levels = end_levels(at_least)
+    ends = F.array(F.concat(F.lit("^"), F.left("n", F.lit(END))), F.concat(F.right("n", F.lit(END)), F.lit("$")))
+    often = [side.select(F.explode(ends).alias("end")).groupBy("end").agg(F.count("*").alias("names")).where(F.col("names") > CROWDED).select("end") for side in (a, b)]
+    crowds = often[0].join(often[1].hint("merge"), "end")
+    crowded = a.select("n", F.explode(ends).alias("end")).join(crowds.hint("merge"), "end").select("n").distinct().withColumn("crowded", F.lit(True))
+    told = a.join(crowded.hint("merge"), "n", "left")
+    by_grams = F.col("crowded").isNotNull() | (F.length("n") >= len(levels[0]))
+
+    def partners(names: DataFrame) -> DataFrame:
+        """Names of right that have a length of which a partner among these may be."""
+        least, most = (names.select(of(F.length("n"))).scalar() for of in (F.min, F.max))
+        least, most = F.ceil(least * at_least / (2 - at_least) - 1e-9), F.floor(most * (2 - at_least) / at_least + 1e-9)
+        return b.where(F.length("n").between(least, most))
+
+    short, rest = told.where(~by_grams), told.where(by_grams)
+    found = _by_ends(short, partners(a.where(F.length("n") < len(levels[0]))), levels, at_least)
+    named = [side.select(F.col("id").alias(x), F.col("n").alias(f"{x}_n")) for side, x in ((a, "a"), (b, "b"))]
+    met = found.join(named[0].hint("merge"), "a").join(named[1].hint("merge"), "b").select(F.col("a_n").alias("a"), F.col("b_n").alias("b"))
+    # Names of one id are equal, but for chance.
+    one = a.select(F.col("n").alias("a"), "id").join(b.select(F.col("n").alias("b"), "id").hint("merge"), "id").select("a", "b")
+    near = met.union(one.where("a <> b")).where(_few_edits(at_least)).union(_by_grams(rest, partners(rest), at_least).where("a <> b"))
+    alike = near.select("a", "b", ratio("a", "b").alias("ratio")).where(F.col("ratio") >= at_least)
+    return alike.unionByName(one.where("a = b").withColumn("ratio", F.lit(1.0)))
+
+
+def _forms(model_names: DataFrame, source_names: DataFrame) -> list[DataFrame]:
+    """The different names of either frame (m and s) with their normal forms, worked out once, as what matches them reads them often."""
+    names = [df.select(F.lit(x).alias("side"), "name") for df, x in ((model_names, "m"), (source_names, "s"))]
+    out = names[0].union(names[1]).where("name <> ''").distinct().withColumns({"bare": normal_column(F.col("name")), "words": column_words(F.col("name"))})
+    out = out.withColumns({"sorted": F.array_sort("words"), "concepts": F.array_distinct(column_concepts(F.col("words")))})
+    held = Scratch(model_names.sparkSession, "names").table(out, "forms")
+    return [held.where(F.col("side") == x).select(F.col("name").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in out.columns[2:]]) for x in ("m", "s")]
 
 
 def name_matches(model_names: DataFrame, source_names: DataFrame) -> DataFrame:
@@ -96,9 +195,10 @@ def name_matches(model_names: DataFrame, source_names: DataFrame) -> DataFrame:
 
     The surest tier of ``TIERS`` that holds decides; what no tier settles is ``fuzzy``
     where :func:`similar_names` finds it.  Each tier is an equi-join, so names that are
-    unlike never meet.  Null and empty names match nothing.
+    unlike never meet.  Null and empty names match nothing.  The names and their forms
+    are written to the scratch folder, which the result reads.
     """
-    m, s = _forms(model_names, "m"), _forms(source_names, "s")
+    m, s = _forms(model_names, source_names)
 
     def tier(name: str, left: DataFrame, right: DataFrame, key: Callable[[str], Column]) -> DataFrame:
         both = [df.select(x, key(x).alias("key")) for df, x in ((left, "m"), (right, "s"))]

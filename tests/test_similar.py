@@ -1,6 +1,7 @@
 """Similarity joins, containment, assignment and running totals against plain loops."""
 
 import difflib
+import itertools
 import random
 
 import pytest
@@ -65,6 +66,58 @@ def test_keys_of_assigned_columns_do_not_go_through_the_driver(spark):
     assert "Broadcast" not in out and "SortMergeJoin" in out
 
 
+def test_names_by_ends_or_by_grams_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdef", k=rng.randrange(1, 34))) for _ in range(40)] + ["sales_" + "".join(rng.choices("abcdef", k=12)) for _ in range(25)]
+    left, right = alike(base, rng), alike(base, rng)
+    want = {(a, b) for a in left for b in right if a and b and difflib.SequenceMatcher(None, a, b).ratio() >= similar.FUZZY}
+    for crowded, edits in ((200, 8), (2, 8), (200, 2)):
+        monkeypatch.setattr(similar, "CROWDED", crowded)
+        monkeypatch.setattr(similar, "MOST_EDITS", edits)
+        got = [(r.a, r.b) for r in similar.similar_names(names(spark, left), names(spark, right)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_alike_names_share_a_key_of_an_end():
+    rng, levels = random.Random(12), similar.end_levels(similar.FUZZY)
+
+    def keys(name, side):
+        out = set()
+        if len(name) < len(side):
+            for back, text in enumerate((name, name[::-1])):
+                for level in range(side[len(name)][back] + 1):
+                    start = (text + " " * 9)[: similar.END + level]
+                    out |= {(back, "".join(start[i] for i in (*kept, similar.END + level - 1))) for kept in itertools.combinations(range(similar.END + level - 1), similar.END - 1)}
+        return out
+
+    met = 0
+    for _ in range(4000):
+        a = "".join(rng.choices("abcd", k=rng.randrange(1, len(levels[0]))))
+        b = list(a)
+        for _ in range(rng.randrange(1, 8)):
+            if rng.random() < 0.5:
+                b.insert(rng.randrange(len(b) + 1), rng.choice("abcd"))
+            elif b:
+                b.pop(rng.randrange(len(b)))
+        b = "".join(b)
+        if a != b and difflib.SequenceMatcher(None, a, b).ratio() >= similar.FUZZY:
+            assert keys(a, levels[0]) & keys(b, levels[1])
+            met += 1
+    assert met > 500
+
+
+def test_unlike_names_do_not_meet(spark):
+    rng = random.Random(13)
+    sides = [names(spark, ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=22)) for _ in range(3000)]).select(F.col("name").alias("n"), F.xxhash64("name").alias("id")) for _ in range(2)]
+    assert similar._by_ends(*sides, similar.end_levels(similar.FUZZY), similar.FUZZY).count() < 100
+
+
+def test_forms_of_names_are_worked_out_once(spark):
+    found = similar.name_matches(names(spark, ["Sales Amount", "qty"]), names(spark, ["SalesAmount", "QTY", "zip"]))
+    assert "regexp_replace" not in physical(found) and "split(" not in physical(found)
+    assert sorted(r.method for r in found.collect()) == ["case", "normalised"]
+
+
 def test_least_shared_grams_holds_for_all_matches():
     rng = random.Random(2)
     for _ in range(3000):
