@@ -13,7 +13,7 @@ from .plans import measures as M
 from .plans import validation
 from .queries import _SHOWN, _SLICERS, MEASURES, _evaluator, _measure, _round, _shown, net
 from .registry import query
-from .scratch import Scratch
+from .scratch import Scratch, owned
 from .sources import catalog, runs
 
 
@@ -498,7 +498,11 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.translate(F.lower(F.substring(F.base64(F.unhex(F.md5(k.cast("string").cast("binary")))), 1, 22)), "0123456789+/", "abcdefghijkl")
     other = F.when(k % 4 == 0, name).when(k % 4 == 1, F.upper(name)).when(k % 4 == 2, F.concat(name, F.lit("z"))).otherwise(F.concat(F.reverse(name), F.lit("qqqqqqqqqq")))
     table = (k % 7).cast("string").alias("table")
-    taken = matching.assign_columns(matching.matched_columns(part.select(table, name.alias("column")), part.select(table, other.alias("column"))))
+    with owned() as kept:
+        found = matching.matched_columns(part.select(table, name.alias("column")), part.select(table, other.alias("column")))
+    taken = matching.assign_columns(found)
+    for tables in kept:  # what only the pairs read
+        tables.delete()
     keys = [part.select(x.alias(c), k.alias(y)) for x, c, y in ((name, "column", "part"), (other, "source_column", "other"))]
     return taken.join(keys[0].hint("merge"), "column").join(keys[1].hint("merge"), "source_column").select("part", "other")
 

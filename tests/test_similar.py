@@ -106,6 +106,15 @@ def test_alike_names_share_a_key_of_an_end():
     assert met > 500
 
 
+def test_assigned_columns_leave_nothing_but_what_they_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("cubewright.scratch.scratch_root", lambda _: f"file://{tmp_path}")
+    out = queries.QUERIES["STR-05_assigned_columns"](spark, SF_DIR)
+    # The forms of names were written once and are gone; the rows are those of the SQL.
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["assigned"]
+    want = {(r.p_partkey, r.p_partkey) for r in spark.read.parquet(f"{SF_DIR}/part.parquet").where("p_partkey % 4 < 3").collect()}
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_unlike_names_do_not_meet(spark):
     rng = random.Random(13)
     sides = [names(spark, ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=22)) for _ in range(3000)]).select(F.col("name").alias("n"), F.xxhash64("name").alias("id")) for _ in range(2)]
