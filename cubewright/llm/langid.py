@@ -269,21 +269,23 @@ def identify_languages(
     return with_text_columns(docs, text_col, fields, model.predictor, keep)
 
 
-def drop_unidentified(docs: DataFrame, model: StringKernelClassifier, least_score: float, text_col: str = "text") -> DataFrame:
+def drop_unidentified(docs: DataFrame, model: StringKernelClassifier, least_score: float, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """``docs`` without texts that have no letter or that no language fits: a fit (0 to 1, see above) below ``least_score``.
 
     Null and empty texts go, and all texts if the model has seen no label.  Repeated
-    rows stay or go alike; columns, whatever their names, and their order stay.  An
-    empty table gives an empty one.  A very long text is read whole, as the prediction
-    reads it.
+    rows stay or go alike; columns, whatever their names, and their order stay.  With a
+    ``lang_col``, that column is the language that each text is identified as, whatever
+    it held.  An empty table gives an empty one.  A very long text is read whole, as the
+    prediction reads it.
     """
     columns = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    fields = [("fit", T.DoubleType())] + ([(f"c{columns.index(lang_col)}", T.StringType())] if lang_col else [])
 
     def make() -> Callable[[list], list[list]]:
-        score = model.fit.scorer()
-        return lambda texts: [score(texts)]
+        score, predict = model.fit.scorer(), model.predictor() if lang_col else None
+        return lambda texts: [score(texts)] + ([predict(texts)[0]] if predict else [])
 
-    judged = with_text_columns(renamed, f"c{columns.index(text_col)}", [("fit", T.DoubleType())], make)
+    judged = with_text_columns(renamed, f"c{columns.index(text_col)}", fields, make)
     stay = (F.col("fit") > 0) & (F.col("fit") >= least_score)
     return judged.where(stay).select(*[F.col(c).alias(n) for c, n in zip(renamed.columns, columns)])

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from cubewright.llm.text import id_bucket
 from tests.against_sql import SF_DIR
 from tests.llm import brute
 
@@ -35,6 +36,17 @@ def test_stages_keep_clean_documents_and_take_effect(spark):
         assert r.decoded == library.decode(want, skip_special_tokens=False) and len(r.token_ids) == 4 * len(want)
 
 
+def test_language_id_says_the_language_of_what_stays(spark):
+    every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = id_bucket(F.col("doc_id"), 3) == 1
+    given = every.withColumn("lang", F.when(~held, F.col("lang")).when(F.col("doc_id") % 2 == 0, F.lit("xx")))
+    out = corpus_pipeline.language_id(spark, given, SF_DIR)
+    assert out.columns == every.columns and out.where("lang IS NULL OR lang = 'xx'").count() == 0
+    both = out.where(held).join(every.select("doc_id", F.col("lang").alias("want")), "doc_id")
+    right, n = both.agg(F.count_if(F.col("lang") == F.col("want")), F.count("*")).first()
+    assert n > 300 and right > 0.98 * n
+
+
 def test_run_is_the_stages_in_order(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "personal_data", "bpe"]
     out = corpus_pipeline.run(spark, SF_DIR)
